@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, token_store
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -14,5 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORD_BPE)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_store.read_store(token_store.write_store(docs, WORD_BPE))
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_store": op4_token_store}
 ORACLES: dict[str, str] = {}
