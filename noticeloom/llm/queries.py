@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import language_id, packing, token_store
+from .shared import crc32_of_id
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,5 +21,14 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(token_store.write_store(docs, WORD_BPE))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_store": op4_token_store}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = crc32_of_id(F.col("doc_id")) % 4 == 2
+    model = language_id.train(docs.where(~held))
+    return language_id.predict(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store}
 ORACLES: dict[str, str] = {}
