@@ -7,10 +7,17 @@ ids of its chunks in order. Most chunks repeat; each task keeps the bytes of the
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 #: Chunks kept by one Python worker before it starts again: about 200 MB.
 CACHE_CHUNKS = 800_000
 
+#: Lower-case ASCII words; Latin words of letters that stay as they are when composed; words before a full stop or comma.
+ASCII_WORD = re.compile(rb"[a-z]+")
+LATIN_WORD = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+ENDED = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]")
+
 _kept: dict = {}
 
 
@@ -19,10 +26,14 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.word_ends = np.zeros(max(names.values()) + 1, bool)
+        self.word_ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -41,17 +52,35 @@ class Encoder:
         """Add the ids of unseen chunks. A word before a full stop or comma is split from it."""
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        cache, plain, ended = self.cache, [], []
-        for c in chunks:
-            if c[-1:] in (b".", b",") and len(c) > 1 and c[:-1].decode().isalpha():
-                ended.append(c)
-            else:
-                plain.append(c)
-        plain += {x for c in ended for x in (c[:-1], c[-1:])}.difference(cache, plain)
-        cache.update(zip(plain, self._ids([c.decode() for c in plain])))
+        cache = self.cache
+        ended = [c for c in chunks if ENDED.fullmatch(c)]
+        left = chunks.difference(ended)
+        left.update(x for c in ended for x in (c[:-1], c[-1:]))
+        left.difference_update(cache)
+        ascii_words = [c for c in left if ASCII_WORD.fullmatch(c)]
+        left.difference_update(ascii_words)
+        tokenize = self.tokenizer.model.tokenize  # these words are what the model is given, as they stand
+        for c in ascii_words:
+            cache[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
+        words = [c for c in left if LATIN_WORD.fullmatch(c.decode())]
+        left.difference_update(words)
+        for at in range(0, len(words), 256):
+            cache.update(zip(words[at : at + 256], self._joined([c.decode() for c in words[at : at + 256]])))
+        cache.update(zip(left, self._ids([c.decode() for c in left])))
         for c in ended:
             cache[c] = cache[c[:-1]] + cache[c[-1:]]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text and cut after each word's last id."""
+        import numpy as np
+
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.word_ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._ids(words)
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
     def encode(self, texts: list) -> list[bytes]:
         """`texts`: UTF-8 bytes or None; None counts as empty. Whole texts, any length."""
         out: list = []

@@ -58,8 +58,8 @@ class GramLexicon(Lexicon):
         self.grams += np.split(feature[order].astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
 
 
-def _words(texts: list) -> list[list[str]]:
-    return [(t or "").lower().split() for t in texts]
+def _words(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -71,7 +71,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
 
         lexicon, df = GramLexicon(), np.zeros(COLUMNS, np.int64)
         for batch in batches:
-            for ids in lexicon.ids(_words(batch.column(0).to_pylist())):
+            for ids in lexicon.ids(batch.column(0).to_pylist(), _words):
                 df[0] += 1
                 if len(ids):
                     df[np.unique(np.concatenate([lexicon.grams[i] for i in set(ids.tolist())]))] += 1
@@ -112,7 +112,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         lexicon = GramLexicon()
         for batch in batches:
             at, x = [], []
-            for ids in lexicon.ids(_words(batch.column(1).to_pylist())):
+            for ids in lexicon.ids(batch.column(1).to_pylist(), _words):
                 feature, n = np.unique(np.concatenate([lexicon.grams[i] for i in ids.tolist()]) if len(ids) else np.zeros(0, np.int32), return_counts=True)
                 v = n * idf[feature]
                 at.append(feature.astype(np.int32))
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             pred, score = [], []
-            for ids in lexicon.ids(_words(texts)) if languages else [[]] * len(texts):
+            for ids in lexicon.ids(texts, _words) if languages else [[]] * len(texts):
                 if not len(ids) or not letter[0].rows[ids, 0].any():
                     pred.append(UNDETERMINED)
                     score.append(0.0)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Distinct words that a task keeps before it starts again.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
+#: Texts split at a time.
+BLOCK = 256
 
 
 class Lexicon:
@@ -15,19 +17,25 @@ class Lexicon:
         self.number: dict = {}
         self.on_new, self.on_reset, self.limit = on_new, on_reset, limit
 
-    def ids(self, texts: list[list]) -> list:
-        """For each list of words an array of their numbers."""
+    def ids(self, texts: list, split: Callable[[object], list]) -> Iterator:
+        """For each text an array of its words' numbers, good until the next one is asked for.
+
+        Texts are split a block at a time, so the words of a whole batch never stand in memory.
+        """
         import numpy as np
 
-        if len(self.number) > self.limit:
-            self.number.clear()
-            self.on_reset()
-        new = [w for w in set().union(*texts) if w not in self.number]
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.on_new(new)
-        get = self.number.__getitem__
-        return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
+        for at in range(0, len(texts), BLOCK):
+            block = [split(t) for t in texts[at : at + BLOCK]]
+            if len(self.number) > self.limit:
+                self.number.clear()
+                self.on_reset()
+            new = [w for w in set().union(*block) if w not in self.number]
+            if new:
+                self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+                self.on_new(new)
+            get = self.number.__getitem__
+            for words in block:
+                yield np.fromiter(map(get, words), np.int64, len(words))
 
 
 class Rows:
