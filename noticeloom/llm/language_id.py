@@ -69,12 +69,15 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        lexicon, df = GramLexicon(), np.zeros(COLUMNS, np.int64)
+        lexicon, df, mark = GramLexicon(), np.zeros(COLUMNS, np.int64), np.zeros(COLUMNS, bool)
         for batch in batches:
             for ids in lexicon.ids(batch.column(0).to_pylist(), _words):
                 df[0] += 1
                 if len(ids):
-                    df[np.unique(np.concatenate([lexicon.grams[i] for i in set(ids.tolist())]))] += 1
+                    mark[np.concatenate([lexicon.grams[i] for i in set(ids.tolist())])] = True
+                    found = np.flatnonzero(mark)
+                    df[found] += 1
+                    mark[found] = False
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["feature", "df"])
 
@@ -137,7 +140,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         c, f, v = np.append(c, -1), np.append(f, 0), np.append(w[c, f], ftrl.temperature(logits, np.array([labels[k] for k in late], int)))
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(f), pa.array(v)], ["class", "feature", "weight"])
 
-    model = sample.mapInArrow(vectors, "label int, held boolean, at array<int>, x array<float>").coalesce(1).mapInArrow(learn, "class long, feature long, weight double").toPandas()
+    model = sample.mapInArrow(vectors, "label int, held boolean, at array<int>, x array<float>").repartition(1).mapInArrow(learn, "class long, feature long, weight double").toPandas()
     weights = np.zeros((len(languages), COLUMNS))
     known_rows = model[model["class"] >= 0]
     weights[known_rows["class"], known_rows["feature"]] = known_rows["weight"]
