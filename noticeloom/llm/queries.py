@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, token_store
+from . import language_id, packing, token_store, toxicity
 from .shared import crc32_of_id
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,5 +30,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(crc32_of_id(F.col("doc_id")) % 5 != 0))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(crc32_of_id(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op9_toxicity": op9_toxicity}
 ORACLES: dict[str, str] = {}
