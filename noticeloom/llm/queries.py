@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, token_store, toxicity
+from . import language_id, mixing, packing, token_store, toxicity
 from .shared import crc32_of_id
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -39,5 +39,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op9_toxicity": op9_toxicity}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.mix(docs, labels.select("doc_id", mixing.domain_of(labels).alias("domain")))
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
 ORACLES: dict[str, str] = {}
