@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, token_store, toxicity
+from . import language_id, lm_scoring, mixing, packing, token_store, toxicity
 from .shared import crc32_of_id
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(token_store.write_store(docs, WORD_BPE))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = lm_scoring.score_texts(docs, crc32_of_id(F.col("doc_id")) % 5 != 1)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = crc32_of_id(F.col("doc_id")) % 4 == 2
@@ -45,5 +51,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels.select("doc_id", mixing.domain_of(labels).alias("domain")))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
 ORACLES: dict[str, str] = {}
