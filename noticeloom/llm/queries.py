@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity
+from . import language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity, vector_dedup
 from .shared import crc32_of_id
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -55,5 +59,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels.select("doc_id", mixing.domain_of(labels).alias("domain")))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op6_shingle_join": op6_shingle_join, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
 ORACLES: dict[str, str] = {}
