@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import staged, text_bytes
 
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Tokens of the corpus for each bucket that adds up counts.
 BUCKET_TOKENS = 1_000_000
 #: Longest n-gram. More orders repeat one exchange of counts each.
