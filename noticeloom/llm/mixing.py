@@ -32,17 +32,16 @@ def domain_of(labels: DataFrame) -> Column:
 
 def word_features(words: list[str]):
     """Three hashed features a word: itself in lower case, its beginning, its shape."""
-    import zlib
+    from zlib import crc32
 
     import numpy as np
 
-    out = np.empty((len(words), 3), np.int64)
-    for k, w in enumerate(words):
-        low = w.lower()
-        shape = "".join(("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c for c in w[:1] + w[-3:])
-        for j, part in enumerate((low, f"{low[:5]}*", f"={shape}")):
-            out[k, j] = zlib.crc32(part.encode("utf-8", "surrogatepass")) % (COLUMNS - 1) + 1
-    return out
+    parts = [
+        p.encode("utf-8", "surrogatepass")
+        for w in words
+        for p in ((low := w.lower()), f"{low[:5]}*", f"={w.isupper()}{w[:1].isupper()}{'' if w.isalnum() else w[-2:]}")
+    ]
+    return (np.fromiter(map(crc32, parts), np.int64, len(parts)) % (COLUMNS - 1) + 1).reshape(-1, 3)
 
 
 def _split(text: str | None) -> list[str]:
