@@ -10,8 +10,8 @@ import os
 import re
 from array import array
 
-#: Chunks kept by one Python worker before it starts again: about 200 MB.
-CACHE_CHUNKS = 800_000
+#: Chunks in a generation of a Python worker's cache; two are kept, about 250 MB.
+CACHE_CHUNKS = 600_000
 
 #: Lower-case ASCII words; Latin words of letters that stay as they are when composed; words before a full stop or comma.
 ASCII_WORD = re.compile(rb"[a-z]+")
@@ -26,14 +26,14 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
-        names = self.tokenizer.get_vocab()
-        self.word_ends = np.zeros(max(names.values()) + 1, bool)
-        self.word_ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.older: dict[bytes, bytes] = {}
+        spelt, plain = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.normalizer.normalize_str
+        # How the model spells each letter of Latin words, as the tokenizer's own first steps give it.
+        self.letters = {ord(c): spelt(plain(c))[0][0] for c in map(chr, range(256)) if LATIN_WORD.fullmatch(c)}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -50,9 +50,11 @@ class Encoder:
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Add the ids of unseen chunks. A word before a full stop or comma is split from it."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
+        if len(self.cache) > CACHE_CHUNKS:  # what is used again moves to the new generation
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        cache.update((c, older[c]) for c in chunks if c in older)
+        chunks = chunks.difference(cache)
         ended = [c for c in chunks if ENDED.fullmatch(c)]
         left = chunks.difference(ended)
         left.update(x for c in ended for x in (c[:-1], c[-1:]))
@@ -64,23 +66,12 @@ class Encoder:
             cache[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
         words = [c for c in left if LATIN_WORD.fullmatch(c.decode())]
         left.difference_update(words)
-        for at in range(0, len(words), 256):
-            cache.update(zip(words[at : at + 256], self._joined([c.decode() for c in words[at : at + 256]])))
+        for c in words:
+            cache[c] = array("I", [t.id for t in tokenize(c.decode().translate(self.letters))]).tobytes()
         cache.update(zip(left, self._ids([c.decode() for c in left])))
         for c in ended:
             cache[c] = cache[c[:-1]] + cache[c[-1:]]
 
-    def _joined(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, encoded as one text and cut after each word's last id."""
-        import numpy as np
-
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.word_ends[ids]) + 1)).tolist()
-        if len(ends) != len(words):
-            return self._ids(words)
-        whole = ids.tobytes()
-        return [whole[a:b] for a, b in zip([0, *ends], ends)]
-
     def encode(self, texts: list) -> list[bytes]:
         """`texts`: UTF-8 bytes or None; None counts as empty. Whole texts, any length."""
         out: list = []
