@@ -39,7 +39,7 @@ def word_features(words: list[str]):
     parts = [
         p.encode("utf-8", "surrogatepass")
         for w in words
-        for p in ((low := w.lower()), f"{low[:5]}*", f"={w.isupper()}{w[:1].isupper()}{'' if w.isalnum() else w[-2:]}")
+        for p in (w.lower(), f"{w[:5].lower()}*", f"={w.isupper()}{w[:1].isupper()}{'' if w.isalnum() else w[-2:]}")
     ]
     return (np.fromiter(map(crc32, parts), np.int64, len(parts)) % (COLUMNS - 1) + 1).reshape(-1, 3)
 
