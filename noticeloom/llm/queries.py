@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity, vector_dedup
-from .shared import crc32_of_id
+from . import compaction, language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity, vector_dedup
+from .shared import crc32_of_id, shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +38,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as small shards, are compacted, and are read back by the manifest."""
+    root = f"{shared_dir(spark)}/noticeloom/{uuid.uuid4().hex}/sharded"
+    compaction.append(spark.read.parquet(f"{sf_dir}/documents.parquet"), root)
+    compaction.compact(spark, root)
+    rows = compaction.read(spark, root)
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+
+
+OP5_SQL = "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents"
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
 
@@ -59,5 +73,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels.select("doc_id", mixing.domain_of(labels).alias("domain")))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op5_sharding": op5_sharding, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
+ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL}
