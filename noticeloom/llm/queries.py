@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity, vector_dedup
+from . import compaction, image_copies, language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity, vector_dedup
 from .shared import crc32_of_id, shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no media column; every vector is drawn as a picture first."""
+    return image_copies.copies(image_copies.pictures(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -73,5 +78,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels.select("doc_id", mixing.domain_of(labels).alias("domain")))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op5_sharding": op5_sharding, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op5_sharding": op5_sharding, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op8_image_copies": op8_image_copies, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
 ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL}
