@@ -151,11 +151,12 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
     """Columns `keep` (by default all) of every row, with lang_pred and score (0 to 1).
 
     Texts that are null or have no letter, and any text under a model without languages,
-    are `und` with score 0. One pass, no shuffle; extra columns stay as they are.
+    are `und` with score 0. One pass, no shuffle; extra columns stay as they are, but for ones
+    named lang_pred, score or _text_.
     """
     import numpy as np
 
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "_text_")]
     taken = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_text_"))
     languages, heat = model["languages"], model["temperature"]
     if languages:

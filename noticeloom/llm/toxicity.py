@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn insult patterns and the logistic layer from labelled rows.
 
     The sample has SAMPLE_PER_CLASS rows of each class in expectation, chosen by hash, so
-    its ids are a bounded broadcast and texts are not shuffled. Half of it teaches patterns, the
-    other half the layer. Labels that are null, and ids labelled twice, keep the larger label.
+    its ids are a bounded broadcast and texts are not shuffled. Patterns of one half score the
+    other, on which the layer is fitted; then the whole sample teaches the patterns. Labels that are null, and ids labelled twice, keep the larger label.
     Without both classes the fixed words alone decide.
     """
     import numpy as np
@@ -167,14 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.where(chance < F.when(F.col("toxic") == 1, min(1.0, SAMPLE_PER_CLASS / bad)).otherwise(min(1.0, SAMPLE_PER_CLASS / (total - bad))))
     sample = sample.withColumn("late", F.pmod(F.xxhash64("_id_", F.lit("late")), F.lit(2)) == 1)
     read = docs.select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_")
-    n = {r["toxic"]: r["n"] for r in read.where("not late").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) == 2:
-        odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-        learned = _pattern_counts(read.where("not late")).where(F.col("toxic") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= ODDS)
-        insults |= {r["pattern"]: r["odds"] for r in learned.orderBy(F.desc("odds"), "pattern").limit(PATTERNS).collect()}
-    fitted = _path_features(read.where("late").select("toxic", "text"), insults, "text").toPandas()
-    share = bad / total
-    return {"insults": insults, "layer": fit_layer(np.array(fitted["paths"].tolist()).reshape(-1, len(PATHS)), fitted["toxic"].to_numpy(), share)}
+    early = insults | _learned(read.where("not late"))
+    fitted = _path_features(read.where("late").select("toxic", "text"), early, "text").toPandas()
+    layer = fit_layer(np.array(fitted["paths"].tolist()).reshape(-1, len(PATHS)), fitted["toxic"].to_numpy(), bad / total)
+    return {"insults": insults | _learned(read), "layer": layer}
+
+
+def _learned(sample: DataFrame) -> dict[str, float]:
+    """Patterns with enough toxic rows and log odds, at most PATTERNS of them."""
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return {}
+    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
+    found = _pattern_counts(sample).where(F.col("toxic") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= ODDS)
+    return {r["pattern"]: r["odds"] for r in found.orderBy(F.desc("odds"), "pattern").limit(PATTERNS).collect()}
 
 
 def squash(paths):
@@ -206,9 +212,10 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str]
     """Columns `keep` (by default all) with score (0 to 1) and predicted (1 from 0.5).
 
     Null and empty texts have the score of a text without a matched clause. One pass, no
-    shuffle; repeated rows score alike; extra columns stay as they are.
+    shuffle; repeated rows score alike; extra columns stay as they are, but for ones that have
+    the names of results or of working columns (score, predicted, paths, _scored_, _text_).
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in keep or docs.columns if c not in ("score", "predicted", "paths", "_scored_", "_text_")]
     taken = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_scored_"))
     layer = [float(x) for x in model["layer"]]
     logit = F.lit(layer[0])
