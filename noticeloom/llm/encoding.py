@@ -13,10 +13,11 @@ from array import array
 #: Chunks in a generation of a Python worker's cache; two are kept, about 250 MB.
 CACHE_CHUNKS = 600_000
 
-#: Lower-case ASCII words; Latin words of letters that stay as they are when composed; words before a full stop or comma.
+#: Lower-case ASCII words; Latin words of letters that stay as they are when composed; words before marks.
 ASCII_WORD = re.compile(rb"[a-z]+")
 LATIN_WORD = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-ENDED = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]")
+MARKS = frozenset(bytes([b]) for b in b".,!?%*$&#;:|")
+ENDED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?%*$&#;:|]+)")
 
 _kept: dict = {}
 
@@ -49,15 +50,16 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        """Add the ids of unseen chunks. A word before a full stop or comma is split from it."""
+        """Add the ids of unseen chunks. A word of letters is split from the marks after it, as the tokenizer does."""
         if len(self.cache) > CACHE_CHUNKS:  # what is used again moves to the new generation
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
         cache.update((c, older[c]) for c in chunks if c in older)
         chunks = chunks.difference(cache)
-        ended = [c for c in chunks if ENDED.fullmatch(c)]
+        marked = [m for m in map(ENDED.fullmatch, [c for c in chunks if c[-1:] in MARKS]) if m]
+        ended = {m[0]: m.groups() for m in marked}
         left = chunks.difference(ended)
-        left.update(x for c in ended for x in (c[:-1], c[-1:]))
+        left.update(x for parts in ended.values() for x in parts)
         left.difference_update(cache)
         ascii_words = [c for c in left if ASCII_WORD.fullmatch(c)]
         left.difference_update(ascii_words)
@@ -69,8 +71,8 @@ class Encoder:
         for c in words:
             cache[c] = array("I", [t.id for t in tokenize(c.decode().translate(self.letters))]).tobytes()
         cache.update(zip(left, self._ids([c.decode() for c in left])))
-        for c in ended:
-            cache[c] = cache[c[:-1]] + cache[c[-1:]]
+        for c, (word, marks) in ended.items():
+            cache[c] = cache[word] + cache[marks]
 
     def encode(self, texts: list) -> list[bytes]:
         """`texts`: UTF-8 bytes or None; None counts as empty. Whole texts, any length."""
