@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import ftrl
 from .lexicon import Lexicon, Rows
+from .shared import small_batches
 
 ORDERS = (1, 2, 3, 4)
 #: Columns of hashed n-grams: bounds the statistics and the model, whatever the corpus.
@@ -93,7 +94,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     import numpy as np
 
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    known = small_batches(docs).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     languages = sorted(counts)
     if not languages:
@@ -157,8 +158,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
     import numpy as np
 
     keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "_text_")]
-    taken = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_text_"))
-    languages, heat = model["languages"], model["temperature"]
+    taken = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep if c != text_col), F.col(text_col).alias("_text_"))
+    languages, heat, text_kept = model["languages"], model["temperature"], text_col in keep
     if languages:
         table = np.concatenate([model["weights"] * model["idf"] * SCALE, model["idf"][None]]).T.astype(np.float32)
         constant = model["weights"][:, 0]
@@ -191,9 +192,12 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
                 p = ftrl.softmax((total[:-1] / total[-1] + constant) / heat)
                 pred.append(languages[best := int(p.argmax())])
                 score.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            kept = batch.columns if text_kept else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema_names)
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType(taken.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
-    return taken.mapInArrow(run, schema)
+    schema = StructType(taken.schema.fields[:] if text_kept else taken.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema_names = schema.names
+    found = taken.mapInArrow(run, schema)
+    return found.withColumnRenamed("_text_", text_col).select(*(f"`{c}`" for c in keep), "lang_pred", "score")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, text_bytes
+from .shared import small_batches, staged, text_bytes
 
 SHARD_TOKENS = 2_000_000
 #: Tokens of the corpus for each bucket that adds up counts.
@@ -79,7 +79,7 @@ def shard_tokens(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_
         if ids:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(text_col).cast("string").alias("text"))
     return staged(rows.mapInArrow(run, SHARDS), "lm-shards")
 
 

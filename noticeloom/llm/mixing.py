@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import ftrl
 from .lexicon import Lexicon, Rows
-from .shared import staged
+from .shared import small_batches, staged
 
 COLUMNS = 1 << 16
 SCALE = 20.0
@@ -67,7 +67,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         number = F.when(F.col("domain") == d, k).otherwise(number)
     chance = F.pmod(F.xxhash64("_id_", F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
     sample = known.where(chance < share).select("_id_", number.alias("label"))
-    read = docs.select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_").select("label", "text")
+    read = small_batches(docs).select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_").select("label", "text")
 
     def vectors(batches):
         import pyarrow as pa
@@ -125,7 +125,7 @@ def memberships(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
             p = ftrl.softmax(np.array(logits).reshape(-1, k))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "tokens", "posterior"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
 
 
 def _rate(steps: list[list[float]]) -> Column:

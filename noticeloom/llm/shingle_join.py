@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, staged, text_bytes
+from .shared import connected_components, small_batches, staged, text_bytes
 
 #: Bits of a set's bitmap: twice its size to the next power of two, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 1 << 15
@@ -266,7 +266,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     id stays null and represents nothing, but its row joins the component of equal sets. An
     empty table gives no rows; columns besides id and text are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = staged(shingle_sets(rows, n, num, den), "shingle-sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     # One representative a set: its smallest id. Ids that repeat with other texts are told apart by their set.

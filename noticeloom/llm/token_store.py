@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import Encoder
-from .shared import staged, text_bytes
+from .shared import small_batches, staged, text_bytes
 
 MAGIC = b"RPS1"
 HEADER = "<4sHIIIQ"  # magic, bytes per symbol, documents, rules, symbols, ids
@@ -37,26 +37,29 @@ def re_pair(ids, last):
     import numpy as np
 
     base = int(ids.max()) + 1 if len(ids) else 1
+    # A pair is one number; where symbols fit 16 bits it is a short one, which sorts twice as fast.
+    word, half, factor = (np.uint32, 16, 0x9E3779B1) if base + sum(ROUNDS) < 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+    none, down = np.iinfo(word).max, 2 * half - 20
     seq, rules = ids.astype(np.uint32), []
     for wanted in ROUNDS:
         if len(seq) < 2:
             break
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        code[last[:-1]] = np.uint64(2**64 - 1)
+        code = (seq[:-1].astype(word) << word(half)) | seq[1:].astype(word)
+        code[last[:-1]] = none
         pairs, n = np.unique(code, return_counts=True)
-        keep = (n >= LEAST) & (pairs != np.uint64(2**64 - 1))
+        keep = (n >= LEAST) & (pairs != none)
         pairs, n = pairs[keep], n[keep]
         if len(pairs) > wanted:
             top = np.argpartition(n, len(n) - wanted)[-wanted:]
             pairs = pairs[top]
         if not len(pairs):
             break
-        slot = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        slot = (pairs * word(factor)) >> word(down)
         table = np.full(1 << 20, -1, np.int32)
         table[slot] = np.arange(len(pairs), dtype=np.int32)
         pairs = pairs[won := table[slot] == np.arange(len(pairs))]  # of two in a slot one waits for the next round
         table[slot[won]] = np.arange(len(pairs), dtype=np.int32)
-        rule = table[(code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)]
+        rule = table[(code * word(factor)) >> word(down)]
         hit = (rule >= 0) & (pairs[rule] == code)
         at = np.flatnonzero(hit)
         if len(at):  # of neighbouring hits every second one, from the left
@@ -70,7 +73,7 @@ def re_pair(ids, last):
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([pairs >> word(half), pairs & word((1 << half) - 1)], 1).astype(np.uint32))
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), base
 
 
@@ -199,7 +202,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int
         if ids:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return staged(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, STORED), "token-shards")
 
 

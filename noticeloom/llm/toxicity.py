@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, Rows
+from .shared import small_batches
 
 # The words that each transducer accepts beside what labels teach.
 INSULTS = "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb garbage imbecile idiota estúpido imbécil basura idiot dumm abschaum müll versager connard crétin ordure minable".split()
@@ -108,10 +109,10 @@ def score_clauses(codes) -> list[float]:
 
 
 def _path_features(docs: DataFrame, insults: dict[str, float], text_col: str) -> DataFrame:
-    """`docs` without its text, with an array column of path sums. One pass, no shuffle."""
+    """`docs` with an array column of path sums. One pass, no shuffle."""
     from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-    taken = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(text_col).alias("_text_"))
+    taken, at = small_batches(docs), docs.columns.index(text_col)
     model = docs.sparkSession.sparkContext.broadcast(insults)
 
     def run(batches):
@@ -119,10 +120,10 @@ def _path_features(docs: DataFrame, insults: dict[str, float], text_col: str) ->
 
         lexicon = WordCodes(model.value)
         for batch in batches:
-            rows = [score_clauses(lexicon.codes.rows[ids]) for ids in lexicon.ids(batch.column(batch.num_columns - 1).to_pylist(), split_words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "paths"])
+            rows = [score_clauses(lexicon.codes.rows[ids]) for ids in lexicon.ids(batch.column(at).to_pylist(), split_words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names, "paths"])
 
-    return taken.mapInArrow(run, StructType(taken.schema.fields[:-1]).add("paths", ArrayType(DoubleType())))
+    return taken.mapInArrow(run, StructType([*taken.schema.fields]).add("paths", ArrayType(DoubleType())))
 
 
 def _pattern_counts(sample: DataFrame) -> DataFrame:
@@ -166,9 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chance = F.pmod(F.xxhash64("_id_", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     sample = known.where(chance < F.when(F.col("toxic") == 1, min(1.0, SAMPLE_PER_CLASS / bad)).otherwise(min(1.0, SAMPLE_PER_CLASS / (total - bad))))
     sample = sample.withColumn("late", F.pmod(F.xxhash64("_id_", F.lit("late")), F.lit(2)) == 1)
-    read = docs.select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_")
+    read = small_batches(docs).select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_")
     early = insults | _learned(read.where("not late"))
-    fitted = _path_features(read.where("late").select("toxic", "text"), early, "text").toPandas()
+    fitted = _path_features(read.where("late").select("toxic", "text"), early, "text").select("toxic", "paths").toPandas()
     layer = fit_layer(np.array(fitted["paths"].tolist()).reshape(-1, len(PATHS)), fitted["toxic"].to_numpy(), bad / total)
     return {"insults": insults | _learned(read), "layer": layer}
 
@@ -213,14 +214,14 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str]
 
     Null and empty texts have the score of a text without a matched clause. One pass, no
     shuffle; repeated rows score alike; extra columns stay as they are, but for ones that have
-    the names of results or of working columns (score, predicted, paths, _scored_, _text_).
+    the names of results or of working columns (score, predicted, paths, _scored_).
     """
-    keep = [c for c in keep or docs.columns if c not in ("score", "predicted", "paths", "_scored_", "_text_")]
-    taken = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_scored_"))
+    keep = [c for c in keep or docs.columns if c not in ("score", "predicted", "paths", "_scored_")]
+    taken = docs.select(*(F.col(f"`{c}`") for c in keep if c != text_col), F.col(text_col).alias("_scored_"))
     layer = [float(x) for x in model["layer"]]
     logit = F.lit(layer[0])
     for k, w in enumerate(layer[1:]):
         logit = logit + w * F.log1p(F.greatest(F.element_at("paths", k + 1), F.lit(0.0)))
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
-    found = _path_features(taken, model["insults"], "_scored_").withColumn("score", p).drop("paths")
-    return found.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    found = _path_features(taken, model["insults"], "_scored_").withColumn("score", p).withColumnRenamed("_scored_", text_col)
+    return found.select(*(f"`{c}`" for c in keep), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
