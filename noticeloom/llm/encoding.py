@@ -22,6 +22,33 @@ ENDED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?%*$&#;
 _kept: dict = {}
 
 
+class Chunks(dict):
+    """Ids of chunks, worked out when first asked for. What an older generation knows moves here."""
+
+    def __init__(self, tokenizer, letters: dict[int, str], older: dict):
+        self.tokenize, self.encode = tokenizer.model.tokenize, tokenizer.encode
+        self.letters, self.older = letters, older
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.learn(chunk)
+        self[chunk] = found
+        return found
+
+    def learn(self, chunk: bytes) -> bytes:
+        if ASCII_WORD.fullmatch(chunk):  # such words are what the model is given, as they stand
+            return array("I", [t.id for t in self.tokenize(chunk.decode())]).tobytes()
+        if chunk[-1:] in MARKS:
+            parts = ENDED.fullmatch(chunk)
+            if parts:  # a word of letters is split from the marks after it, as the tokenizer does
+                return self[parts[1]] + self[parts[2]]
+        text = chunk.decode()
+        if LATIN_WORD.fullmatch(text):
+            return array("I", [t.id for t in self.tokenize(text.translate(self.letters))]).tobytes()
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of a text, as bytes."""
 
@@ -30,11 +57,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         spelt, plain = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.normalizer.normalize_str
         # How the model spells each letter of Latin words, as the tokenizer's own first steps give it.
         self.letters = {ord(c): spelt(plain(c))[0][0] for c in map(chr, range(256)) if LATIN_WORD.fullmatch(c)}
+        self.chunks = Chunks(self.tokenizer, self.letters, {})
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -43,52 +69,17 @@ class Encoder:
             _kept[path] = cls(path)
         return _kept[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Add the ids of unseen chunks. A word of letters is split from the marks after it, as the tokenizer does."""
-        if len(self.cache) > CACHE_CHUNKS:  # what is used again moves to the new generation
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        cache.update((c, older[c]) for c in chunks if c in older)
-        chunks = chunks.difference(cache)
-        marked = [m for m in map(ENDED.fullmatch, [c for c in chunks if c[-1:] in MARKS]) if m]
-        ended = {m[0]: m.groups() for m in marked}
-        left = chunks.difference(ended)
-        left.update(x for parts in ended.values() for x in parts)
-        left.difference_update(cache)
-        ascii_words = [c for c in left if ASCII_WORD.fullmatch(c)]
-        left.difference_update(ascii_words)
-        tokenize = self.tokenizer.model.tokenize  # these words are what the model is given, as they stand
-        for c in ascii_words:
-            cache[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
-        words = [c for c in left if LATIN_WORD.fullmatch(c.decode())]
-        left.difference_update(words)
-        for c in words:
-            cache[c] = array("I", [t.id for t in tokenize(c.decode().translate(self.letters))]).tobytes()
-        cache.update(zip(left, self._ids([c.decode() for c in left])))
-        for c, (word, marks) in ended.items():
-            cache[c] = cache[word] + cache[marks]
-
     def encode(self, texts: list) -> list[bytes]:
         """`texts`: UTF-8 bytes or None; None counts as empty. Whole texts, any length."""
         out: list = []
-        for at in range(0, len(texts), 512):
-            some = texts[at : at + 512]
-            # Special tokens are found by case before white space counts: such texts go whole.
-            split = [None if t and b"<|" in t else (t or b"").lower().replace(b"\n", b" ").split(b" ") for t in some]
-            unseen = set().union(*(s for s in split if s is not None)).difference(self.cache)
-            if unseen:
-                self._learn(unseen)
-            take = self.cache.__getitem__
-            try:
-                out += [self._ids([t.decode()])[0] if s is None else b"".join(map(take, s)) for t, s in zip(some, split)]
-            except KeyError:  # the cache began anew between; a block's own chunks always fit
-                self._learn(set().union(*(s for s in split if s is not None)))
-                take = self.cache.__getitem__
-                out += [self._ids([t.decode()])[0] if s is None else b"".join(map(take, s)) for t, s in zip(some, split)]
+        for t in texts:
+            if len(self.chunks) > CACHE_CHUNKS:
+                self.chunks.older = {}
+                self.chunks = Chunks(self.tokenizer, self.letters, self.chunks)
+            if not t:
+                out.append(b"")
+            elif b"<|" in t:  # special tokens are found by case, before white space counts: such texts go whole
+                out.append(array("I", self.tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(self.chunks.__getitem__, t.lower().replace(b"\n", b" ").split(b" "))))
         return out

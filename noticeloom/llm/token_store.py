@@ -22,7 +22,7 @@ HEADER = "<4sHIIIQ"  # magic, bytes per symbol, documents, rules, symbols, ids
 #: Ids per shard; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 #: New rules in each round, and the least count that pays for a rule's 12 bytes.
-ROUNDS, LEAST = (6000, 5000, 4500), 8
+ROUNDS, LEAST = (8000, 7500), 8
 
 STORED = "part int, shard int, offset long, n_docs int, n_ids long, first_id long, last_id long, body binary"
 READ = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
