@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import ftrl
 from .lexicon import Lexicon, Rows
-from .shared import small_batches
+from .shared import give_back, small_batches
 
 ORDERS = (1, 2, 3, 4)
 #: Columns of hashed n-grams: bounds the statistics and the model, whatever the corpus.
@@ -70,6 +70,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        give_back()
         lexicon, df, mark = GramLexicon(), np.zeros(COLUMNS, np.int64), np.zeros(COLUMNS, bool)
         for batch in batches:
             for ids in lexicon.ids(batch.column(0).to_pylist(), _words):
@@ -168,6 +169,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         sums, letter = [Rows(len(languages) + 1)], [Rows(1, bool)]
 
         def new(words):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import ftrl
 from .lexicon import Lexicon, Rows
-from .shared import small_batches, staged
+from .shared import give_back, small_batches, staged
 
 COLUMNS = 1 << 16
 SCALE = 20.0
@@ -114,6 +114,7 @@ def memberships(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         sums = [Rows(k)]
         lexicon = Lexicon(lambda w: sums[0].add(table.value[word_features(w)].sum(1)), lambda: sums.__setitem__(0, Rows(k)))
         constant = table.value[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import Encoder
-from .shared import small_batches, staged, text_bytes
+from .shared import give_back, small_batches, staged, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -58,6 +58,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        give_back()
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = [0] * (capacity + 1)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, small_batches, staged, text_bytes
+from .shared import connected_components, give_back, small_batches, staged, text_bytes
 
 #: Bits of a set's bitmap: twice its size to the next power of two, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 1 << 15
@@ -41,7 +41,7 @@ class Shingler:
         import xxhash
 
         lists = [words_of(t) for t in texts]
-        if len(self.number) > 500_000:
+        if len(self.number) > 200_000:
             self.number, self.hashes = {}, None
         new = list(set().union(*lists).difference(self.number))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
@@ -105,6 +105,7 @@ def frequent_shingles(docs: DataFrame, n: int):
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         shingler, gathered, size = Shingler(n), [], 0
 
         def recurring():
@@ -117,7 +118,7 @@ def frequent_shingles(docs: DataFrame, n: int):
             for at in range(0, len(texts), 256):
                 gathered += shingler.block(texts[at : at + 256])
                 size += sum(map(len, gathered[-256:]))
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield recurring()
                     gathered, size = [], 0
         if gathered:
@@ -141,6 +142,7 @@ def shingle_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        give_back()
         shingler, often = Shingler(n), frequent.value
         sent: set = set()
         for batch in batches:
@@ -156,7 +158,7 @@ def shingle_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         bits.append(None)
                         prefixes.append(np.zeros(0, np.int64))
                         continue
-                    if len(sent) < 1_000_000:
+                    if len(sent) < 200_000:
                         sent.add(name)
                     bits.append(bitmap(own))
                     common = np.zeros(len(own), bool)
@@ -182,7 +184,8 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
 
     one, two = (reps.select(F.col("rep").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
     left = staged(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(allowed, "a long, b long"), f"{name}-survivors")
-    members = left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct()
+    # Written first: its size is then known, and Spark sends a small list of ids to the texts, not texts to the ids.
+    members = staged(left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-members")
 
     def arrays(batches):
         import pyarrow as pa

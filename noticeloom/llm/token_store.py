@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import Encoder
-from .shared import small_batches, staged, text_bytes
+from .shared import give_back, small_batches, staged, text_bytes
 
 MAGIC = b"RPS1"
 HEADER = "<4sHIIIQ"  # magic, bytes per symbol, documents, rules, symbols, ids
@@ -177,6 +177,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int
         import pyarrow as pa
         from pyspark import TaskContext
 
+        give_back()
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         held: list = []

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, Rows
-from .shared import small_batches
+from .shared import give_back, small_batches
 
 # The words that each transducer accepts beside what labels teach.
 INSULTS = "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb garbage imbecile idiota estúpido imbécil basura idiot dumm abschaum müll versager connard crétin ordure minable".split()
@@ -118,6 +118,7 @@ def _path_features(docs: DataFrame, insults: dict[str, float], text_col: str) ->
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         lexicon = WordCodes(model.value)
         for batch in batches:
             rows = [score_clauses(lexicon.codes.rows[ids]) for ids in lexicon.ids(batch.column(at).to_pylist(), split_words)]
