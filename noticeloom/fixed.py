@@ -133,6 +133,15 @@ MORTGAGE_SERVICER = [
     (r"(?i)Mortgage Servicer:?\s*([^\n]+)", 0.85),
     (rf"Current\s+\b[A-Z]{PARTY_CHARS}{{1,80}}?\s+Loan\s+Servicer:?\s*~*\s*([^\n]+)", 0.55),
 ]
+# What every match of a costly pattern has: the part after its open group.
+LENDER_GUARDS = {
+    "_o": [r"(?i)nominee\s+for\s", r"(?i)for\s+the\s+benefit\s+of\s", r"(?i)Original\s+(?:Mortgagee|Beneficiary)"],
+    "_c": [
+        rf"is\s+the\s+{CURRENT}\s+{MORTGAGEE}", rf"is\s+the\s+{CURRENT}\s+owner\s+and\s+holder", r"(?i)Current\s+(?:Mortgag|Beneficiary)", r"(?i)(?:Lender|Payee):",
+        r"MORTGAGE ELECTRONIC REGISTRATION SYSTEMS", r"Loan\s+Servicer",
+    ],
+    "_s": [rf"is\s+(?:acting\s+as\s+the\s+{SERVICER}|the\s+{CURRENT}\s+mortgage\s+servicer|mortgage\s+servicer)", rf"as\s+{SERVICER},?\s+is\s+representing", rf"is\s+representing\s+the\s+{CURRENT}", r"(?i)Mortgage Servicer", r"Loan\s+Servicer"],
+}
 NOT_A_PARTY = [
     r"(?i)^(?:Original|Current)\s+(?:Mortgagee|Beneficiary)",
     r"(?i)^(?:Mortgagee|Beneficiary|Lender|Servicer|Trustee)s?\z",

@@ -179,8 +179,8 @@ def known_elsewhere(address) -> Column:
 def word_bigrams(text) -> Column:
     """Distinct neighbouring words of a notice without its document header."""
     words = F.filter(F.split(comparison_key(replace(text, r"(?i)^Doc-\d+\s*")), " "), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws("_", F.element_at(words, i), F.element_at(words, i + 1)))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws("_", a, b)))
 
 
 def role_of_context(text, address) -> Column:

@@ -48,14 +48,18 @@ def first_date(text) -> Column:
     return F.when(name.isNotNull(), long).otherwise(short)
 
 
-def _from_label(text, label: str, size: int) -> Column:
+#: Characters from a label's beginning in which a date, or a time, is looked for.
+DATE_WINDOW, TIME_WINDOW = 200, 120
+
+
+def from_label(text, label: str, size: int) -> Column:
     """`size` characters from where a label begins; null without the label."""
     return F.when(_col(text).rlike(label), F.substring(_col(text), F.regexp_instr(_col(text), F.lit(label)), F.lit(size)))
 
 
 def labeled_date(text, labels: list[str]) -> Column:
     """First label, in order, whose next 200 characters hold a date."""
-    return F.coalesce(*(first_date(_from_label(text, p, 200)) for p in labels))
+    return F.coalesce(*(first_date(from_label(text, p, DATE_WINDOW)) for p in labels))
 
 
 def labeled_time(text, labels: list[str]) -> Column:
@@ -64,7 +68,7 @@ def labeled_time(text, labels: list[str]) -> Column:
     def time(window: Column) -> Column:
         return F.when(window.rlike(fixed.CLOCK_TIME), F.upper(F.regexp_replace(grab(window, fixed.CLOCK_TIME, 0), r"(?i)\s?(AM|PM)\z", " $1")))
 
-    return F.coalesce(*(time(_from_label(text, p, 120)) for p in labels))
+    return F.coalesce(*(time(from_label(text, p, TIME_WINDOW)) for p in labels))
 
 
 def sale_month(slug) -> Column:

@@ -39,7 +39,7 @@ def rate_limited(events: DataFrame, key: str, time: str, id_col: str, window_s:
     Keys are first cut where a gap of a whole window makes a fresh start certain, so that a busy key's history is as
     many small folds as it has such gaps.
     """
-    t = F.unix_micros(F.col(time)) / 1e6
+    t = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     order = Window.partitionBy(key).orderBy(time, id_col)
     gaps = events.withColumn("_t", t).withColumn("_gap", F.coalesce((F.col("_t") - F.lag("_t").over(order) >= window_s).cast("int"), F.lit(1)))
     runs = gaps.withColumn("_run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
