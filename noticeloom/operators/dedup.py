@@ -90,7 +90,7 @@ def text_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Texts without a bigram are alone.
     """
     own = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(T.word_bigrams(text_col), lambda g: F.xxhash64(g))).alias("grams"))
-    named = own.withColumn("_name", F.when(F.size("grams") > 0, F.sha2(F.concat_ws(",", F.transform("grams", lambda g: g.cast("string"))), 256)))
+    named = own.withColumn("_name", F.when(F.size("grams") > 0, F.struct(F.xxhash64("grams"), F.hash("grams"), F.size("grams"))))
     least = named.where("_name is not null").groupBy("_name").agg(F.min("id").alias("class_id"))
     return named.join(least, "_name", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "grams")
 

@@ -9,7 +9,6 @@ from .. import fixed
 from ..functions import values as V
 from ..functions.text import _col
 
-NONE = F.lit(None).cast
 
 
 def trusted_address(street, method, confidence) -> Column:
