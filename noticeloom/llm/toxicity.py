@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total, bad = sum(counts.values()), counts.get(1, 0)
     insults = {w: ODDS for w in INSULTS}
     if not bad or bad == total:
-        return {"insults": insults, "layer": np.array([-4.0, 1.0, 0.5, 0.0, 0.0, 2.0, 0.5, 0.5])}
+        return {"insults": insults, "layer": np.array([-2.5, 1.0, 0.5, 0.0, 0.0, 2.0, 0.5, 0.5])}
     chance = F.pmod(F.xxhash64("_id_", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     sample = known.where(chance < F.when(F.col("toxic") == 1, min(1.0, SAMPLE_PER_CLASS / bad)).otherwise(min(1.0, SAMPLE_PER_CLASS / (total - bad))))
     sample = sample.withColumn("late", F.pmod(F.xxhash64("_id_", F.lit("late")), F.lit(2)) == 1)
