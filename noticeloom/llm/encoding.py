@@ -10,8 +10,8 @@ import os
 import re
 from array import array
 
-#: Chunks in a generation of a Python worker's cache; two are kept, about 170 MB.
-CACHE_CHUNKS = 400_000
+#: Chunks in a generation of a Python worker's cache; two are kept, about 110 MB.
+CACHE_CHUNKS = 250_000
 
 #: Lower-case ASCII words; Latin words of letters that stay as they are when composed; words before marks.
 ASCII_WORD = re.compile(rb"[a-z]+")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 #: Distinct words that a task keeps before it starts again.
-MOST_WORDS = 250_000
+MOST_WORDS = 150_000
 #: Texts split at a time.
 BLOCK = 256
 
