@@ -13,7 +13,7 @@ from noticeloom.streaming import events
 NOTICE = """NOTICE OF SUBSTITUTE TRUSTEE'S SALE
 Deed of Trust Date: March 5, 2019
 Grantor(s): CARL DOVE, Jr. AND ANA BELT
-Original Mortgagee: Mortgage Registry, as nominee for Meadow Savings Bank, its successors and assigns
+Original Mortgagee: Mortgage Registry, as nominee for Meadow Savings Bank, its successors and assigns.
 Summit Ridge Bank is the current mortgagee of the note.
 Harbor Point Loans LLC is acting as the Mortgage Servicer for it.
 Original Principal Amount: $185,000.00
@@ -37,6 +37,14 @@ def test_extraction(spark):
     assert r[1]["review_reasons"] == ["NO_ADDRESS_RESOLVED", "BORROWER_NAME_CONFLICT", "SALE_DATE_CONFLICT", "LOW_CONFIDENCE"]
 
 
+def test_a_party_runs_on_where_no_period_ends_the_line(spark):
+    """A name may hold commas and line breaks; only a period before a capital ends it."""
+    text = NOTICE.replace("assigns.\n", "assigns\n")
+    r = extract.lender_parties(spark.createDataFrame([(text,)], "text string")).first()
+    assert r["current_mortgagee"]["value"] == "Mortgage Registry, as nominee for Meadow Savings Bank, its successors and assigns Summit Ridge Bank"
+    assert r["original_mortgagee"]["value"] == "Meadow Savings Bank"
+
+
 def test_bare_addresses_skip_other_peoples(spark):
     texts = [("law firm at 1 Elm St, Weslaco, TX 78596 and 2 Oak St, Weslaco, TX 78596",), ("x 3 Elm St, Dallas, TX 75001",), ("Lot here 4 Elm St, Weslaco, TX 78596",)]
     got = [r["a"] for r in spark.createDataFrame(texts, "text string").select(extract.stated_address(F.col("text")).alias("a")).collect()]
