@@ -119,33 +119,76 @@ def dice_join(df: DataFrame, id_col: str, text_col: str, least: float = fixed.SA
     return full.select("a", "b", dice.alias("dice")).where(F.col("dice") >= least)
 
 
-def blocked_pairs(cases: DataFrame, id_col: str = "case_id", least: float = fixed.SAME_TEXT) -> DataFrame:
-    """Pairs a < b worth scoring, with dice where texts are near: same tracking number, near text, or two equal fields.
+def text_dice(pairs: DataFrame, df: DataFrame, a: str, b: str, id_col: str, text_col: str) -> DataFrame:
+    """Pairs with `dice`, the Dice of the word bigrams of both texts; 0 if either has none."""
+    own = df.select(F.col(id_col).alias("_id"), F.transform(T.word_bigrams(text_col), lambda g: F.xxhash64(g)).alias("_g"))
+    full = pairs.join(own.select(F.col("_id").alias(a), F.col("_g").alias("_x")), a).join(own.select(F.col("_id").alias(b), F.col("_g").alias("_y")), b)
+    dice = F.coalesce(F.size(F.array_intersect("_x", "_y")) * 2.0 / F.nullif(F.size("_x") + F.size("_y"), F.lit(0)), F.lit(0.0))
+    return full.withColumn("dice", dice).drop("_x", "_y")
 
-    Fields meet by equal normalised keys, so names or addresses that only contain one another meet
+
+#: What `score_pairs` reads of a case.
+SCORED = ["borrower_names", "property_address", "subdivision", "lot", "principal_cents", "sale_date", "deed_date", "lender_name", "raw_text"]
+#: Members of a key that meet in one block; longer keys meet block by block.
+BLOCK = 256
+
+
+def snapshot_classes(cases: DataFrame, id_col: str = "case_id") -> DataFrame:
+    """Every row with the smallest id of the rows equal in all scored fields, and their number: id, class_id, members."""
+    named = cases.select(F.col(id_col).alias("id"), F.sha2(F.to_json(F.struct(*SCORED)), 256).alias("_name"))
+    least = named.groupBy("_name").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    return named.join(least, "_name").select("id", "class_id", "members")
+
+
+def class_members(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b, and more) as pairs a < b of all their rows; a = b stands for the pairs within a class."""
+    one, two = (classes.select(F.col("class_id").alias(k), F.col("id").alias(f"_{k}")) for k in "ab")
+    full = pairs.join(one, "a").join(two, "b").where("a <> b or _a < _b")
+    return full.withColumns({"a": F.least("_a", "_b"), "b": F.greatest("_a", "_b")}).drop("_a", "_b")
+
+
+def met_by_key(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs a <= b of the ids of a key, of distinct rows (key, id, several); a = b only where `several` holds. Pairs repeat.
+
+    A key's ids fall into blocks by hash and blocks meet two at a time, each two under a key of their own.
+    """
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("several").alias("any")).where("n > 1 or any")
+    cut = F.ceil(F.col("n") / block).cast("int")
+    told = keyed.join(sizes, "key").withColumns({"cut": cut, "own": F.pmod(F.xxhash64("id"), cut).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    dealt = told.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "several")
+    one = dealt.where("own = i").select("key", "i", "j", F.col("id").alias("x"), "several")
+    two = dealt.where("own = j").select("key", "i", "j", F.col("id").alias("y"))
+    met = one.join(two, ["key", "i", "j"]).where("i <> j or x < y or (x = y and several)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def blocked_pairs(cases: DataFrame, id_col: str = "case_id", least: float = fixed.SAME_TEXT, block: int = BLOCK) -> DataFrame:
+    """Pairs a <= b of classes worth scoring, with dice where texts are near: same tracking number, near text, or two equal fields.
+
+    Rows equal in all scored fields are a class (`snapshot_classes`) and its smallest id stands for it; a = b says that
+    a class of several rows is worth scoring with itself, and `class_members` gives the pairs of rows. All classes of a
+    key meet. Fields meet by equal normalised keys, so names or addresses that only contain one another meet
     through another field or not at all: the one bound on recall.
     """
+    alone = snapshot_classes(cases, id_col).where("id = class_id").select("id", (F.col("members") > 1).alias("several"))
+    reps = cases.withColumnRenamed(id_col, "id").join(alone, "id")
     names = F.array_sort(F.transform("borrower_names", T.comparison_key))
     values = {
         "track": T.tracking_number("raw_text"), "address": T.comparison_key("property_address"), "legal": F.concat_ws("|", T.comparison_key("subdivision"), T.comparison_key("lot")),
         "names": F.array_join(names, "|"), "principal": F.col("principal_cents").cast("string"), "deed": F.col("deed_date").cast("string"),
         "sale": F.col("sale_date").cast("string"), "lender": T.comparison_key("lender_name"),
     }
-    one = cases.select(F.col(id_col).alias("id"), *(F.nullif(v, F.lit("")).alias(k) for k, v in values.items()))
+    one = reps.select("id", "several", *(F.nullif(v, F.lit("")).alias(k) for k, v in values.items()))
     fields = [k for k in values if k != "track"]
-    keyed = [one.select("id", F.concat_ws("=", F.lit("track"), "track").alias("key")).where("track is not null")]
-    for i, p in enumerate(fields):
-        for q in fields[i + 1 :]:
-            keyed.append(one.where(F.col(p).isNotNull() & F.col(q).isNotNull()).select("id", F.concat_ws("\x1f", F.lit(f"{p}+{q}"), p, q).alias("key")))
-    every = keyed[0]
-    for k in keyed[1:]:
-        every = every.unionByName(k)
-    # Members of a key meet its first and their predecessor: as many pairs as members.
-    window = Window.partitionBy("key").orderBy("id")
-    meet = every.distinct().withColumns({"first": F.first("id").over(window), "before": F.lag("id").over(window)})
-    pairs = meet.select(F.explode(F.array("first", "before")).alias("a"), F.col("id").alias("b")).where("a is not null and a < b").distinct()
-    near = dice_join(cases, id_col, "raw_text", least)
-    return pairs.join(near, ["a", "b"], "full").select("a", "b", F.coalesce("dice", F.lit(0.0)).alias("dice"))
+    told = lambda p, q: F.when(F.col(p).isNotNull() & F.col(q).isNotNull(), F.concat_ws("\x1f", F.lit(f"{p}+{q}"), p, q))
+    keys = [F.concat(F.lit("track="), "track"), *(told(p, q) for i, p in enumerate(fields) for q in fields[i + 1 :])]
+    every = one.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "id", "several")
+    # Equal texts meet by their class; near ones by their classes' representatives.
+    texts = text_classes(reps, "id", "raw_text").where("size(grams) > 0").select("id", "class_id")
+    same = met_by_key(texts.join(alone, "id").select(F.col("class_id").alias("key"), "id", "several"), block).withColumn("dice", F.lit(1.0))
+    near = class_members(dice_join(reps, "id", "raw_text", least), texts).select("a", "b", "dice")
+    met = met_by_key(every, block).withColumn("dice", F.lit(0.0)).unionByName(same).unionByName(near)
+    return met.groupBy("a", "b").agg(F.max("dice").alias("dice"))
 
 
 def canonical_score(has_property, method, confidence, candidate_score, completeness, resolved) -> Column:

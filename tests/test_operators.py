@@ -92,6 +92,52 @@ def test_duplicate_tiers(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_blocked_pairs_are_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefghij") for _ in range(30))
+    base, texts, rows = text(), [text() for _ in range(3)], []
+    for i in range(40):
+        raw = rng.choice([None, "one", base, base + " x", "2026-12345-TX z", *texts])
+        names = rng.choice([None, ["Ana Belt"], ["Ana Belt", "Bo Cole"], ["Dee Fox"]])
+        rows.append((i, names, rng.choice(["1 Elm", "2 Elm", None]), None, None, rng.choice([1, 2, 3, None]), f"d{rng.randint(0, 4)}", f"e{i}", rng.choice(["Bank", None]), raw))
+    rows += [(100, *rows[0][1:]), (101, *rows[0][1:]), (102, *rows[3][1:])]
+    df = spark.createDataFrame(rows, "case_id int, borrower_names array<string>, property_address string, subdivision string, lot string, principal_cents long, sale_date string, deed_date string, lender_name string, raw_text string")
+
+    def dice(x, y):
+        x, y = (set(zip((t or "").split(), (t or "").split()[1:])) for t in (x, y))
+        return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+
+    want = {}
+    for x, y in itertools.combinations(rows, 2):
+        near = dice(x[9], y[9])
+        equal = sum(p is not None and p == q for p, q in zip(x[1:9], y[1:9]))
+        if near >= 0.9 or equal >= 2 or (x[9] and x[9] == y[9] and x[9].startswith("2026")):
+            want[x[0], y[0]] = near if near >= 0.9 else 0.0
+    for block in (256, 3):
+        got = dedup.class_members(dedup.blocked_pairs(df, block=block), dedup.snapshot_classes(df)).collect()
+        assert len(got) == len(want)
+        assert {(r["a"], r["b"]): round(r["dice"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_duplicate_tier_scores_all_pairs(spark):
+    """Against every two notices of one house; near texts all share a field besides the lender."""
+    from noticeloom.plans import catalogue, views
+
+    d = "/root/testdata/sf0.001"
+    n = views.notices(spark, d).select("doc_id", "house", "grantor", "kind", "lot", "dollars", "sale", "deed", "text").cache()
+    got = catalogue.QUERIES["duplicate_tier"](spark, d).collect()
+    pairs = [(r["case_a"], r["case_b"]) for r in got]
+    x, y = n.alias("x"), n.alias("y")
+    want = {tuple(r) for r in x.join(y, F.expr("x.house = y.house and x.doc_id < y.doc_id")).select("x.doc_id", "y.doc_id").collect()}
+    assert len(pairs) == len(set(pairs)) and want <= set(pairs)
+    near = dedup.dice_join(n, "doc_id", "text").alias("p").join(x, F.expr("x.doc_id = p.a")).join(y, F.expr("y.doc_id = p.b"))
+    equal = " or ".join([*(f"x.{c} = y.{c}" for c in ("house", "grantor", "dollars", "sale", "deed")), "(x.kind = y.kind and x.lot = y.lot)"])
+    assert near.where(f"not ({equal})").count() == 0
+
+
 def test_dice_join_is_exact(spark):
     import random
     import re
