@@ -149,12 +149,12 @@ def shingle_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             texts = text_bytes(batch.column(1))
             for at in range(0, len(texts), 256):
                 sizes, high, low, bits, prefixes = [], [], [], [], []
-                for own in shingler.block(texts[at : at + 256]):
+                for k, own in zip(batch.column(0).slice(at, 256).is_valid().to_pylist(), shingler.block(texts[at : at + 256])):
                     name = xxhash.xxh128_digest(own.tobytes())
                     sizes.append(len(own))
                     high.append(int.from_bytes(name[:8], "big", signed=True))
                     low.append(int.from_bytes(name[8:], "big", signed=True))
-                    if name in sent or not len(own):  # this task has sent the set's tiles and bits already
+                    if not k or name in sent or not len(own):  # a row without an id sends nothing, a task a set's tiles and bits once
                         bits.append(None)
                         prefixes.append(np.zeros(0, np.int64))
                         continue

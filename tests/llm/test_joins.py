@@ -63,6 +63,13 @@ def test_shingle_join_edge_rows(spark):
     assert shingle_join.join(df.limit(0)).count() == 0
 
 
+def test_shingle_join_null_id_before_its_set(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(None, text), (5, text), (9, text + " more")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.join(df).collect()}
+    assert got == {None: 5, 5: 5, 9: 5}
+
+
 def test_vectors_are_exact(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 16))
