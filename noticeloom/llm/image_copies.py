@@ -5,8 +5,9 @@ and 256 brightness tests turned to that orientation. Equal 40-bit words at one p
 descriptors put them in one entry of a Hamming table. Images that share entries are copies if
 enough of their matches agree on one shift, turn and scale.
 
-Equal images meet before and count once. An entry's members meet its first member and their
-predecessor only, so an entry costs its length; components join what these links join.
+Equal images meet before and count once. First an entry's members meet its first member and
+their predecessor; then all images of an entry meet whose components still differ, block by
+block. A pair with enough meetings is decided by all corners of both.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SCALES, CORNERS, TESTS = (1.0, 1.41, 2.0), (28, 18, 10), 256
 PATCH = 10
 #: 40-bit words of a descriptor that make table entries, and the most bits in which matches differ.
 WORDS, MOST_BITS = TESTS // 40, 32
+#: Images of an entry that meet in one block; longer entries meet block by block.
+BLOCK = 256
 #: Matches that must agree, and how far (pixels) a match may be off the common motion.
 AGREEING, REACH = 8, 4.0
 
@@ -147,6 +150,21 @@ def agreeing(matches) -> int:
     return best
 
 
+def met_in_entries(entries: DataFrame, components: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of images whose components differ and whose corners meet AGREEING times or more in entries.
+
+    `entries` has entry, image, point; `components` has image, component, none for an image alone.
+    """
+    held = entries.groupBy("entry", "image").agg(F.count(F.lit(1)).alias("n")).join(components, "image", "left").withColumn("component", F.coalesce("component", "image"))
+    sizes = held.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry", "members")
+    cut = F.ceil(F.col("members") / block).cast("int")
+    told = held.join(sizes, "entry").withColumns({"cut": cut, "own": F.pmod(F.xxhash64("image"), cut).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    dealt = told.select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "image", "n", "component")
+    one, two = (dealt.where(f"own = {k}").select("entry", "i", "j", *(F.col(c).alias(f"{c}_{k}") for c in ("image", "n", "component"))) for k in "ij")
+    met = one.join(two, ["entry", "i", "j"]).where("component_i <> component_j and (i <> j or image_i < image_j)")
+    return met.groupBy(F.least("image_i", "image_j").alias("a"), F.greatest("image_i", "image_j").alias("b")).agg(F.sum(F.col("n_i") * F.col("n_j")).alias("n")).where(F.col("n") >= AGREEING).select("a", "b")
+
+
 def copies(table: DataFrame, id_col: str = "image_id", body_col: str = "body") -> DataFrame:
     """Per row: image_id, n_points, component_id (smallest id reachable by copies), n_agreeing.
 
@@ -201,23 +219,31 @@ def copies(table: DataFrame, id_col: str = "image_id", body_col: str = "body") -
     run = Window.partitionBy("entry", F.pmod(F.xxhash64("image"), F.ceil(F.col("members") / 1024))).orderBy("image", "point")
     met = shared.select(spot.alias("spot"), "other").union(shared.select(spot.alias("spot"), F.lag(spot).over(run).alias("other")))
     pairs = met.where("other is not null and other.image < spot.image").distinct()
-    matches = pairs.groupBy(F.col("other.image").alias("a"), F.col("spot.image").alias("b")).agg(F.collect_list(F.struct(F.col("other.point").alias("p"), F.col("spot.point").alias("q"))).alias("m"))
+    first = pairs.groupBy(F.col("other.image").alias("a"), F.col("spot.image").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= AGREEING).select("a", "b")
     held = points.select("image", "points")
-    both = matches.where(F.size("m") >= AGREEING).join(held.select(F.col("image").alias("a"), F.col("points").alias("x")), "a").join(held.select(F.col("image").alias("b"), F.col("points").alias("y")), "b")
 
     def decided(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = []
-            for m, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                x, y = np.frombuffer(x, POINT)[[k["p"] for k in m]], np.frombuffer(y, POINT)[[k["q"] for k in m]]
-                near = np.bitwise_count(x["bits"] ^ y["bits"]).sum(1) <= MOST_BITS
-                found.append(agreeing(np.stack([side[c][near] for side in (x, y) for c in ("x", "y", "size", "angle")], 1)))
+            for x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3))):
+                x, y = np.frombuffer(x, POINT), np.frombuffer(y, POINT)
+                rows = max(1, (1 << 20) // len(y))
+                near = [np.argwhere(np.bitwise_count(x["bits"][k : k + rows, None] ^ y["bits"][None]).sum(2, np.int32) <= MOST_BITS) + (k, 0) for k in range(0, len(x), rows)]
+                p, q = np.concatenate(near).T
+                found.append(agreeing(np.stack([side[c] for side in (x[p], y[q]) for c in ("x", "y", "size", "angle")], 1)))
             keep = pa.array([n >= AGREEING for n in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["u", "v", "n"]).filter(keep)
 
-    links = staged(both.select("a", "b", "m", "x", "y").mapInArrow(decided, "u long, v long, n long"), "image-links")
+    def linked(met, name):
+        both = met.join(held.select(F.col("image").alias("a"), F.col("points").alias("x")), "a").join(held.select(F.col("image").alias("b"), F.col("points").alias("y")), "b")
+        return staged(both.select("a", "b", "x", "y").mapInArrow(decided, "u long, v long, n long"), f"image-{name}")
+
+    first = staged(first, "image-first")
+    links = linked(first, "links")
+    found = connected_components(links.select("u", "v"), "image-found").withColumnRenamed("id", "image")
+    links = links.union(linked(met_in_entries(shared.select("entry", "image", "point"), found).join(first, ["a", "b"], "left_anti"), "more"))
     components = connected_components(links.select("u", "v"), "image-components").withColumnRenamed("id", "image")
     rests = links.select(F.col("u").alias("image"), "n").union(links.select(F.col("v").alias("image"), "n")).groupBy("image").agg(F.max("n").alias("n_agreeing"))
     told = points.select("name", "image").join(components, "image", "left").join(rests, "image", "left").withColumn("component", F.coalesce("component", "image")).drop("image")

@@ -96,3 +96,12 @@ def test_images(spark):
     got = {r["image_id"]: r for r in image_copies.copies(spark.createDataFrame(rows, "image_id long, body binary")).collect()}
     assert [got[k]["component_id"] for k in range(1, 10)] == [1, 1, 1, 1, 5, 5, 7, 8, 9]
     assert got[7]["n_points"] == got[8]["n_points"] == got[9]["n_points"] == 0 and got[2]["n_agreeing"] >= 8
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_images_of_an_entry_all_meet(spark, block):
+    # In each of 12 entries other images stand first and between 50 and 90; 107 and 108 are of one component.
+    rows = [(k, i, 0) for k in range(12) for i in (k, 50, 60 + k, 90)] + [(k, i, 0) for k in range(20, 40) for i in (107, 108)] + [(k, 200, p) for k in (50, 51) for p in (0, 1)] + [(k, 201, p) for k in (50, 51) for p in (3, 4)]
+    entries = spark.createDataFrame(rows, "entry long, image long, point int")
+    found = spark.createDataFrame([(107, 107), (108, 107)], "image long, component long")
+    assert {tuple(r) for r in image_copies.met_in_entries(entries, found, block).collect()} == {(50, 90), (200, 201)}
