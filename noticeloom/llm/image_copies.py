@@ -1,7 +1,7 @@
 """Cropped or edited copies of images by local descriptors and geometric consensus.
 
 Every image gives corners on several scales, each with the orientation of its surroundings
-and 256 brightness tests turned to that orientation. Equal 40-bit words at one place of two
+and 256 brightness tests turned to that orientation. Equal 32-bit words at one place of two
 descriptors put them in one entry of a Hamming table. Images that share entries are copies if
 enough of their matches agree on one shift, turn and scale.
 
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, staged
 
-#: Scales of the pyramid, corners kept on each (the strongest), and tests of a descriptor.
+#: Scales of the pyramid, corners kept on each (the strongest) up to AREA pixels and in proportion beyond, and tests of a descriptor.
 SCALES, CORNERS, TESTS = (1.0, 1.41, 2.0), (28, 18, 10), 256
-PATCH = 10
-#: 40-bit words of a descriptor that make table entries, and the most bits in which matches differ.
-WORDS, MOST_BITS = TESTS // 40, 32
+PATCH, AREA = 10, 96 * 96
+#: 32-bit words of a descriptor that make table entries, and the most bits in which matches differ.
+WORDS, MOST_BITS = TESTS // 32, 32
 #: Images of an entry that meet in one block; longer entries meet block by block.
 BLOCK = 256
 #: Matches that must agree, and how far (pixels) a match may be off the common motion.
@@ -114,7 +114,7 @@ def descriptors(pixels) -> list[tuple]:
         inner = strength[edge : h - edge, edge : w - edge]
         y, x = np.nonzero((inner >= peak) & (inner > 1.0))
         y, x = y + edge, x + edge
-        best = np.lexsort((x, y, -strength[y, x]))[:most]
+        best = np.lexsort((x, y, -strength[y, x]))[: -(-most * max(AREA, pixels.size) // AREA)]
         y, x = y[best], x[best]
         if not len(y):
             continue
@@ -130,6 +130,14 @@ def descriptors(pixels) -> list[tuple]:
     return out
 
 
+def table_keys(bits):
+    """The table entries of descriptors' packed bits: every word, with its place."""
+    import numpy as np
+
+    words = np.ascontiguousarray(bits).reshape(-1, WORDS, TESTS // 8 // WORDS).view("<u4")[:, :, 0]
+    return words.astype(np.int64) + (np.arange(WORDS, dtype=np.int64) << 48)
+
+
 def agreeing(matches) -> int:
     """Most matches that one motion explains. `matches`: x, y, size, angle there and here.
 
@@ -203,9 +211,7 @@ def copies(table: DataFrame, id_col: str = "image_id", body_col: str = "body") -
         for batch in batches:
             for image, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bits = np.frombuffer(body, POINT)["bits"]
-                words = np.zeros((len(bits), WORDS, 8), np.uint8)
-                words[:, :, :5] = bits[:, : 5 * WORDS].reshape(-1, WORDS, 5)
-                keys = words.view("<i8")[:, :, 0] + (np.arange(WORDS, dtype=np.int64) << 48)
+                keys = table_keys(bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel()), pa.array(np.full(keys.size, image)), pa.array(np.repeat(np.arange(len(bits), dtype=np.int32), WORDS))], ["entry", "image", "point"]
                 )

@@ -105,3 +105,21 @@ def test_images_of_an_entry_all_meet(spark, block):
     entries = spark.createDataFrame(rows, "entry long, image long, point int")
     found = spark.createDataFrame([(107, 107), (108, 107)], "image long, component long")
     assert {tuple(r) for r in image_copies.met_in_entries(entries, found, block).collect()} == {(50, 90), (200, 201)}
+
+
+def test_image_tables_hold_all_tests_and_corners_grow():
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 256, (1, 32), np.uint8)
+    for word in range(8):  # descriptors that agree in one word of 32 tests only
+        other = ~one
+        other[:, 4 * word : 4 * word + 4] = one[:, 4 * word : 4 * word + 4]
+        assert (image_copies.table_keys(one) == image_copies.table_keys(other)).sum() == 1
+    small, large = (len(image_copies.descriptors(128 + 45 * image_copies.textures(1, side)[0])) for side in (96, 384))
+    assert small <= 56 and large > 8 * small
+
+
+def test_small_crop_of_a_large_image(spark):
+    picture = 128 + 45 * image_copies.textures(1, 384)[0]
+    rows = [(1, image_copies.encode(picture)), (2, image_copies.encode(picture[200:296, 150:246]))]
+    got = {r["image_id"]: r["component_id"] for r in image_copies.copies(spark.createDataFrame(rows, "image_id long, body binary")).collect()}
+    assert got == {1: 1, 2: 1}
