@@ -40,10 +40,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows that repeat an id and a text one stays; rows without an id stay.
     """
-    found = shingle_join.join(docs)
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    found = shingle_join.join(docs, by_text=True)
+    gone = staged(found.where("not stays").select("doc_id", F.col("text_key").alias("noticeloom_text")).distinct(), "near-duplicates")
     repeated = staged(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.withColumn("noticeloom_text", F.xxhash64("text")).join(gone, ["doc_id", "noticeloom_text"], "left_anti")
     if repeated.limit(1).count():
         again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)

@@ -129,11 +129,11 @@ def frequent_shingles(docs: DataFrame, n: int):
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-SETS = "doc_id long, n_shingles long, set_hi long, set_lo long, bits binary, prefix array<long>"
+SETS = "doc_id long, text_key long, n_shingles long, set_hi long, set_lo long, bits binary, prefix array<long>"
 
 
 def shingle_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, size of its set, 128 bits that name the set, bitmap, prefix."""
+    """Per row: doc_id, text_key, size of its set, 128 bits that name the set, bitmap, prefix."""
     import numpy as np
 
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
@@ -146,7 +146,7 @@ def shingle_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         shingler, often = Shingler(n), frequent.value
         sent: set = set()
         for batch in batches:
-            texts = text_bytes(batch.column(1))
+            texts = text_bytes(batch.column(2))
             for at in range(0, len(texts), 256):
                 sizes, high, low, bits, prefixes = [], [], [], [], []
                 for k, own in zip(batch.column(0).slice(at, 256).is_valid().to_pylist(), shingler.block(texts[at : at + 256])):
@@ -165,10 +165,10 @@ def shingle_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     if len(often):
                         common = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
                     prefixes.append(np.concatenate([own[~common], own[common]])[: prefix_length(len(own), num, den)].view(np.int64))
-                cells = [batch.column(0).slice(at, 256), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n_shingles", "set_hi", "set_lo", "bits", "prefix"])
+                cells = [batch.column(0).slice(at, 256), batch.column(1).slice(at, 256), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "text_key", "n_shingles", "set_hi", "set_lo", "bits", "prefix"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, SETS)
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
@@ -185,7 +185,8 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
     one, two = (reps.select(F.col("rep").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
     left = staged(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(allowed, "a long, b long"), f"{name}-survivors")
     # Written first: its size is then known, and Spark sends a small list of ids to the texts, not texts to the ids.
-    members = staged(left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-members")
+    ends = left.select(F.col("a").alias("rep")).union(left.select(F.col("b").alias("rep"))).distinct()
+    members = staged(ends.join(reps, "rep").select("rep", "doc_id", "text_key"), f"{name}-members")
 
     def arrays(batches):
         import pyarrow as pa
@@ -196,7 +197,7 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
             for at in range(0, len(texts), 256):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array([x.tobytes() for x in shingler.block(texts[at : at + 256])], pa.binary())], ["id", "own"])
 
-    sets = staged(docs.join(members, "doc_id", "left_semi").mapInArrow(arrays, "id long, own binary").groupBy("id").agg(F.first("own").alias("own")), f"{name}-arrays")
+    sets = staged(docs.join(members, ["doc_id", "text_key"]).select("rep", "text").mapInArrow(arrays, "id long, own binary").groupBy("id").agg(F.first("own").alias("own")), f"{name}-arrays")
 
     def decided(batches):
         import pyarrow as pa
@@ -260,7 +261,7 @@ def met_in_blocks(tiles: DataFrame, reps: DataFrame, num: int, den: int, block:
     return met.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block: int = TILE) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block: int = TILE, by_text: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Two texts link when den * common >= num * union of their sets of distinct `n`-word
@@ -268,14 +269,17 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     without words have no shingle and no link. Repeated ids and rows each get a row; a null
     id stays null and represents nothing, but its row joins the component of equal sets. An
     empty table gives no rows; columns besides id and text are ignored.
+    An id on several texts links none of them. With `by_text` also text_key, xxhash64 of the text, and stays: false on all
+    rows of a component but those with its smallest id and one text of it; rows without an id or words stay.
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     sets = staged(shingle_sets(rows, n, num, den), "shingle-sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    # One representative a set: its smallest id. Ids that repeat with other texts are told apart by their set.
-    names = staged(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "shingle-reps")
+    # Sets are numbered, as an id can stand on several; a set's smallest id and that row's text represent it.
+    least = full.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("n_shingles").alias("size"))
+    names = staged(least.select("set_hi", "set_lo", "least.*", "size").withColumn("rep", F.monotonically_increasing_id()), "shingle-reps")
     sent = full.where("bits is not null").select("set_hi", "set_lo", "bits", "prefix")
-    reps = staged(sent.select("set_hi", "set_lo", "bits").groupBy("set_hi", "set_lo").agg(F.first("bits").alias("bits")).join(names, ["set_hi", "set_lo"]).select("set_hi", "set_lo", "rep", "size", "bits"), "shingle-bits")
+    reps = staged(sent.select("set_hi", "set_lo", "bits").groupBy("set_hi", "set_lo").agg(F.first("bits").alias("bits")).join(names, ["set_hi", "set_lo"]).select("rep", "doc_id", "text_key", "size", "bits"), "shingle-bits")
     # Tiles: shingles in the prefixes of two sets at least. A shingle's count is added up before it is shuffled.
     keys = sent.select("set_hi", "set_lo", F.explode("prefix").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -297,5 +301,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     second = staged(candidates.distinct().join(first, ["a", "b"], "left_anti"), "cross-pairs")
     more = linked(second, reps, rows, n, num, den, "cross")
     final = connected_components(links.union(more), "components").withColumnRenamed("id", "rep")
-    by_set = names.join(final, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(by_set, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = names.join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    label = by_set.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("label"))
+    named = sets.join(by_set.join(label, "component").select("set_hi", "set_lo", "label"), ["set_hi", "set_lo"], "left")
+    stays = F.col("doc_id").isNull() | F.col("label").isNull() | (F.col("label") == F.struct("doc_id", "text_key"))
+    out = named.withColumn("stays", stays).withColumn("component_id", F.coalesce("label.doc_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", *(("text_key", "stays") if by_text else ()))

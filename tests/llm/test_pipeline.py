@@ -35,6 +35,15 @@ def test_stages_and_planted_cases(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == kept[3] and all(r["offset"] + r["length"] <= 2048 for r in rows)
 
 
+def test_an_id_on_two_texts_loses_only_the_copy(spark):
+    x, y, z = (" ".join(f"{k}{i}" for i in range(60)) for k in "xyz")
+    rows = [(3, x), (5, x), (5, y), (6, y + " more"), (7, z), (7, z + " more"), (None, x), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len([r for r in got if r[0] == 7]) == 1
+    assert sorted((r for r in got if r[0] != 7), key=str) == sorted([(3, x), (5, y), (None, x), (8, None)], key=str)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
