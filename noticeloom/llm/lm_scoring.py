@@ -21,7 +21,7 @@ SHARD_TOKENS = 2_000_000
 #: Tokens of the corpus for each bucket that adds up counts.
 BUCKET_TOKENS = 1_000_000
 #: Longest n-gram. More orders repeat one exchange of counts each.
-ORDER = 2
+ORDER = 3
 
 SHARDS = "shard long, doc_ids array<long>, trained array<boolean>, lengths array<int>, tokens binary, words binary"
 ASK = "bucket int, shard long, keys binary, counts binary"

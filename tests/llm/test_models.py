@@ -128,3 +128,11 @@ def test_mixing_meets_targets(spark):
         assert sum(r["rate"] * r["tokens"] * r[p] for r in got) / total == pytest.approx(0.5, abs=0.01)
     assert len(got) == 403 and all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 for r in got)
     assert mixing.mix(df.limit(0), labels).count() == 0 and {r["rate"] for r in mixing.mix(df, labels.limit(0), {}).collect()} == {1.0}
+
+
+def test_language_model_knows_two_words_before(spark):
+    """With bigrams alone "a b d" and "x b d" have one score."""
+    texts = ["a b c"] * 6 + ["x b d"] * 6 + ["a b d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(df, F.col("doc_id") < 12).collect()}
+    assert got[12] < got[11] - 0.1
