@@ -201,6 +201,59 @@ CRITICAL_REASONS = ["CAD_OWNER_CONFLICT", "BORROWER_NAME_CONFLICT", "SALE_DATE_C
 ADDRESS_TRUST = 0.7
 PUBLIC = ["PUBLISHED", "PUBLISHED_WITH_LIMITED_DATA"]
 
+# --- Triage of review tasks: buckets by rank, and the reasons that lead to them.
+TRIAGE_ORDER = ["MEANINGFUL_REVIEW", "MISSING_DATA", "QUICK_APPROVAL", "NON_BLOCKING_ENRICHMENT"]
+CONFLICT_REASONS = ["CAD_OWNER_CONFLICT", "BORROWER_NAME_CONFLICT", "SALE_DATE_CONFLICT", "POSSIBLE_CONTENT_DUPLICATE"]
+GAP_REASONS = ["POOR_TEXT_QUALITY", "MISSING_FILING_NUMBER"]
+
+# --- Accounts.
+GOOD_STANDING = ["ACTIVE", "TRIALING", "PROMOTIONAL"]
+PAYMENT_LATE = ["PAST_DUE", "PAYMENT_FAILED"]
+PLANS = ["FREE", "COUNTY", "UNLIMITED"]
+
+# --- Whose address a notice states: roles in the order in which they are tried.
+ADDRESS_ROLES = {
+    "TRUSTEE OFFICE": [r"(?i)substitute trustee'?s?\s+address", r"(?i)trustee'?s?\s+address", r"(?is)trustee:.{0,80}address"],
+    "LENDER/MORTGAGEE OFFICE": [r"(?i)lender'?s?\s+address", r"(?i)mortgagee'?s?\s+address", r"(?i)beneficiary'?s?\s+address", r"(?i)servicer'?s?\s+address"],
+    "COURTHOUSE": [r"(?i)county courthouse", r"(?i)317 n\.?\s*closner", r"(?i)courthouse door"],
+    "LAW FIRM": [r"(?i)attorney at law", r"(?i)law firm", r"(?i)law office", r"(?i),\s*p\.?c\.?\b", r"(?i),\s*l\.?l\.?p\.?\b"],
+    "MAILING/RETURN ADDRESS": [r"(?i)return to:", r"(?i)after recording,?\s*return to", r"(?i)return address", r"(?i)prepared by"],
+}
+ROLE_BEFORE, ROLE_AFTER, ROLE_HEAD = 200, 50, 2000
+
+# --- Legacy rows against ingested ones.
+SAME_EVENT_FIELDS, SAME_NAMES = 3, 0.6
+
+# --- Reasons of gap-fill changes.
+GAP_REASON = {
+    "placeholder": "Gap: old value was null/placeholder.",
+    "null": "Gap: old value was null.",
+    "legal": "Gap: no LegalDescription row existed.",
+    "sale": "Gap: no ForeclosureSale row existed.",
+    "name_cut": "Truncation repair: old value is a prefix of the corrected value (real line-wrap defect).",
+    "legal_cut": "Truncation repair: old value is a prefix of the corrected value (real character-budget defect).",
+}
+
+# --- Sentences on decisions; {} are the parts that differ.
+EXPLANATIONS = {
+    "parcel_id_match": "Exact parcel ID match to the county appraisal record{uniqueness}.",
+    "geographic_id_match": "Exact geographic ID match to the county appraisal record{uniqueness}.",
+    "subdivision_lot_block": "Subdivision, lot, and block matched the county appraisal record (matched fields: {fields}){uniqueness}.",
+    "exact_legal_description": "Legal description text matched the county appraisal record's legal description{uniqueness}.",
+    "multi_field_match": "Multiple corroborating fields matched the county appraisal record ({fields}){uniqueness}.",
+    "manual": "Matched on: {fields}{uniqueness}.",
+}
+UNIQUENESS = " (best of {n} candidates considered)"
+REVIEW_EXPLANATIONS = {
+    "owner": "The top candidate scored {score} but the county record's current owner conflicts with the foreclosure's borrower/grantor — never auto-accepted regardless of score, sent to manual review.",
+    "conflict": "The top candidate scored {score} but has a conflicting {conflicts} — sent to manual review rather than auto-accepted.",
+    "owner_alone": "The top candidate matched on owner name only (score {score}) — owner name alone is never sufficient to auto-publish, sent to manual review.",
+    "close": "The top candidate scored {score}, only {margin} ahead of the next candidate ({second}) — sent to manual review.",
+    "below": "The top candidate scored {score}, below the auto-accept threshold — sent to manual review.",
+    "nothing": "No candidate scored above the manual-review threshold (best was {score}).",
+    "none": "No appraisal-district candidates were found for the available fields (legal description / owner name / parcel / geographic ID).",
+}
+
 # --- Loans and values.
 ANNUAL_RATE_PCT, TERM_YEARS, DAYS_A_MONTH = 6.5, 30, 30.44
 HIGH_CONFIDENCE, MEDIUM_CONFIDENCE = 0.85, 0.6

@@ -184,15 +184,18 @@ def word_bigrams(text) -> Column:
 
 
 def role_of_context(text, address) -> Column:
-    """Whose address it is, from the words around it, then from the whole text; AMBIGUOUS otherwise."""
-    at = F.instr(_col(text), _col(address))
-    around = F.when(at > 0, F.substring(_col(text), F.greatest(at - 200, F.lit(1)), F.length(_col(address)) + 250))
-    roles = [
-        ("TRUSTEE", r"(?i)substitute\s+trustee|trustee'?s?\s+address"), ("LAW_FIRM", r"(?i)attorney\s+at\s+law|law\s+firm|\bP\.?C\.?\b"),
-        ("SERVICER", r"(?i)servicer"), ("LENDER", r"(?i)\blender\b|mortgagee"), ("SALE_PLACE", r"(?i)place\s+of\s+sale|location\s+of\s+sale|courthouse"),
-    ]
-    ladder = F.lit(None).cast("string")
-    for where in (_col(text), around):
-        for role, pattern in reversed(roles):
-            ladder = F.when(where.rlike(pattern), role).otherwise(ladder)
-    return F.coalesce(ladder, F.lit("AMBIGUOUS"))
+    """Whose address it is: the first role that the words around it name, else the whole text; AMBIGUOUS without either.
+
+    Around is 200 characters before and 50 after; of a text that does not hold the address, its first 2,000.
+    """
+    t, own = _col(text), F.coalesce(_col(address), F.lit(""))
+    at = F.instr(F.lower(t), F.lower(own))
+    start = F.greatest(at - fixed.ROLE_BEFORE, F.lit(1))
+    around = F.when(at > 0, F.substring(t, start, at - start + F.length(own) + fixed.ROLE_AFTER)).otherwise(F.substring(t, 1, fixed.ROLE_HEAD))
+
+    def role(where: Column) -> Column:
+        named = F.array_compact(F.array(*(F.when(where.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(r)) for r, patterns in fixed.ADDRESS_ROLES.items())))
+        return F.get(named, F.lit(0))
+
+    told = F.filter(F.transform(F.array(around, t), role), lambda r: r.isNotNull())
+    return F.when(F.length(t) > 0, F.coalesce(F.get(told, F.lit(0)), F.lit("AMBIGUOUS"))).otherwise("AMBIGUOUS")

@@ -236,25 +236,59 @@ def archive_duplicates(cases: DataFrame, chosen: DataFrame, keys: list[str], as_
     }).drop("_donor", "canonical_id")
 
 
-def token_overlap(a, b) -> Column:
-    """Common words over those of the shorter name; 0 if either has none."""
-    x, y = (F.array_distinct(F.filter(F.split(T.comparison_key(c), " "), lambda w: w != "")) for c in (a, b))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.least(F.size(x), F.size(y)).cast("double")), F.lit(0.0))
+def owner_tokens(name) -> Column:
+    """Words of two letters or more in any spelling of an owner's name."""
+    words = F.flatten(F.transform(N.variants(name), lambda v: F.split(v, r"\s+")))
+    return F.coalesce(F.array_distinct(F.filter(words, lambda w: F.length(w) > 1)), F.array().cast("array<string>"))
 
 
 def legacy_matches(legacy: DataFrame, ingested: DataFrame, fields: list[str], id_l: str = "legacy_id", id_r: str = "case_id") -> DataFrame:
-    """Per legacy row its best ingested row by equal fields: A for a shared number, B for three, C for one or two, E for none.
+    """Per legacy row its class and ingested row. A: same filing number. B: same instrument number, or three equal fields of `fields`
+    and names. E: one or two. C: none, and no match.
 
-    `number` decides by itself; the other `fields` each are a key to join on, so only rows that share one meet. Of
-    several rows with a number the last id counts; of equal counts the smallest id does.
+    Both have number, instrument and names (array of strings, null without an owner's name); names that share 0.6 of the
+    shorter list count as a field. Of several rows with a number the last id counts, of equally many fields the first.
+    Only rows that share a field or a word of a name meet, and rows that are equal in all of these meet once.
     """
-    last = ingested.where("number is not null").groupBy("number").agg(F.max(id_r).alias("exact_id"))
-    side = lambda df, i: df.select(F.col(i).alias("id"), F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields))).alias("k")).where("k.v is not null")
-    shared = side(legacy, id_l).withColumnRenamed("id", "l").join(side(ingested, id_r).withColumnRenamed("id", "r"), "k").groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("l").agg(F.min(F.struct((-F.col("n")).alias("n"), "r")).alias("b")).select(F.col("l").alias(id_l), F.col("b.r").alias("best_id"), (-F.col("b.n")).alias("n_equal"))
-    told = legacy.select(id_l, "number").join(last, "number", "left").join(best, id_l, "left")
+    last = lambda c, name: ingested.where(F.col(c).isNotNull()).groupBy(c).agg(F.max(id_r).alias(name))
+    told = [*fields, "names"]
+    named = lambda df: df.withColumn("_name", F.sha2(F.to_json(F.struct(*told)), 256))
+    classes = lambda df, i: df.groupBy("_name").agg(F.min(F.col(i)).alias("id"), *(F.first(c).alias(c) for c in told))
+    legacy = named(legacy)
+    one, two = classes(legacy, id_l), classes(named(ingested), id_r)
+    cells = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields))
+    side = lambda df, k: df.select(F.col("id").alias(k), F.explode(cells).alias("k")).where("k.v is not null")
+    equal = side(one, "l").join(side(two, "r"), "k").groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
+    words = lambda df, k: df.select(F.col("id").alias(k), F.size("names").alias(f"n{k}"), F.explode("names").alias("w"))
+    shared = words(one, "l").join(words(two, "r"), "w").groupBy("l", "r", "nl", "nr").agg(F.count(F.lit(1)).alias("n"))
+    alike = shared.where(F.col("n") / F.least("nl", "nr") >= fixed.SAME_NAMES).select("l", "r", F.lit(1).cast("long").alias("n"))
+    counted = equal.unionByName(alike).groupBy("l", "r").agg(F.sum("n").alias("n"))
+    best = counted.groupBy("l").agg(F.min(F.struct((-F.col("n")).alias("n"), "r")).alias("b")).select(F.col("l").alias("id"), F.col("b.r").alias("best_id"), (-F.col("b.n")).alias("n_equal"))
+    found = one.select("_name", "id").join(best, "id", "left").drop("id")
+    full = legacy.select(id_l, "number", "instrument", "_name").join(last("number", "exact_id"), "number", "left").join(last("instrument", "instrument_id"), "instrument", "left").join(found, "_name")
     n = F.coalesce("n_equal", F.lit(0)).cast("long")
-    return told.select(
-        id_l, F.when(F.col("exact_id").isNotNull(), "A").when(n >= 3, "B").when(n >= 1, "C").otherwise("E").alias("class"),
-        F.coalesce("exact_id", "best_id").alias("match_id"), n.alias("n_equal"),
+    decided = F.coalesce("exact_id", "instrument_id").isNotNull()
+    return full.select(
+        id_l, F.when(F.col("exact_id").isNotNull(), "A").when(decided | (n >= fixed.SAME_EVENT_FIELDS), "B").when(n >= 1, "E").otherwise("C").alias("class"),
+        F.coalesce("exact_id", "instrument_id", "best_id").alias("match_id"), F.when(decided, 0).otherwise(n).cast("long").alias("n_equal"),
     )
+
+
+def linked(scored: DataFrame, links: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and review tasks after scored pairs (case_a, case_b, confidence, score, matched, conflicting) are recorded.
+
+    A pair with a tier becomes a link, smaller id first, or renews the link that there is, whose status stays. The later case gets one
+    POSSIBLE_CONTENT_DUPLICATE task, if it never had one. `links` adds status to the columns of pairs, `tasks` is case_id, reason, status, notes.
+    """
+    told = scored.where("confidence is not null").select(
+        F.least("case_a", "case_b").alias("case_a"), F.greatest("case_a", "case_b").alias("case_b"), "confidence", "score", "matched", "conflicting"
+    ).dropDuplicates(["case_a", "case_b"])
+    old = links.select("case_a", "case_b", F.col("status").alias("_status"))
+    renewed = told.join(old, ["case_a", "case_b"], "left").withColumn("status", F.coalesce("_status", F.lit("OPEN"))).drop("_status")
+    kept = links.join(told.select("case_a", "case_b"), ["case_a", "case_b"], "left_anti")
+    reason = "POSSIBLE_CONTENT_DUPLICATE"
+    first = told.groupBy("case_b").agg(F.min(F.struct("case_a", "confidence")).alias("l"))
+    had = tasks.where(F.col("reason") == reason).select(F.col("case_id").alias("case_b")).distinct()
+    notes = F.concat(F.lit("Possible duplicate of case "), F.col("l.case_a").cast("string"), F.lit(" ("), F.col("l.confidence"), F.lit(")."))
+    opened = first.join(had, "case_b", "left_anti").select(F.col("case_b").alias("case_id"), F.lit(reason).alias("reason"), F.lit("OPEN").alias("status"), notes.alias("notes"))
+    return kept.unionByName(renewed.select(*kept.columns)), tasks.unionByName(opened)

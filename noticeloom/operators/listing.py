@@ -133,6 +133,14 @@ def listing(cases: DataFrame, f: ListingFilter, as_of: Column, **children: DataF
     return page(chosen, f.page, f.page_size, [F.col("n_sales").desc(), F.col("case_id")])
 
 
+def with_saved(items: DataFrame, saved: DataFrame, profile_id: int | None) -> DataFrame:
+    """`items` with is_saved: whether the reader has saved their property. Without a reader, or a property, it is false."""
+    if profile_id is None:
+        return items.withColumn("is_saved", F.lit(False))
+    own = saved.where(F.col("profile_id") == profile_id).select("property_id", F.lit(True).alias("is_saved")).distinct()
+    return items.join(own, "property_id", "left").withColumn("is_saved", F.coalesce("is_saved", F.lit(False)))
+
+
 def total_count(cases: DataFrame, f: ListingFilter, as_of: Column, free: bool = False, **children: DataFrame) -> DataFrame:
     """The number of cases that the listing has over all pages; those without a plan see 20 at most."""
     n = public_only(upcoming(select_cases(cases, f, as_of, **children), as_of)).agg(F.count(F.lit(1)).alias("total_count"))

@@ -123,11 +123,43 @@ def explain(matched: Column, conflicting: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("; ", why, against), F.lit("")), F.lit("No matching fields found."))
 
 
+def _filled(template: str, **parts) -> Column:
+    """A fixed sentence with columns in place of its {names}."""
+    out = F.lit(template)
+    for name, part in parts.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), part)
+    return out
+
+
+def explanation_for(method: Column, matched: Column, count: Column) -> Column:
+    """Why a record was accepted, and of how many."""
+    uniqueness = F.when(count > 1, _filled(fixed.UNIQUENESS, n=count.cast("string"))).otherwise("")
+    listed = F.array_join(matched, ", ")
+    out = _filled(fixed.EXPLANATIONS["manual"], fields=F.when(listed == "", "no fields").otherwise(listed), uniqueness=uniqueness)
+    for name, template in fixed.EXPLANATIONS.items():
+        if name != "manual":
+            out = F.when(method == name, _filled(template, fields=listed, uniqueness=uniqueness)).otherwise(out)
+    return out
+
+
+def decision_explanation(accepted: Column, reviewed: Column, method: Column, score: Column, second: Column, matched: Column, conflicting: Column, count: Column) -> Column:
+    """One sentence on a case's decision. `second` is the next candidate's score, null without one."""
+    two = lambda c: F.format_string("%.2f", c)
+    say = lambda name, **more: _filled(fixed.REVIEW_EXPLANATIONS[name], score=two(score), **more)
+    alone = (F.size(matched) == 1) & F.array_contains(matched, "ownerName")
+    review = (
+        F.when(critical(conflicting), F.when(F.array_contains(conflicting, "ownerName"), say("owner")).otherwise(say("conflict", conflicts=F.array_join(conflicting, "/"))))
+        .when(alone, say("owner_alone")).when(second.isNotNull(), say("close", margin=two(score - second), second=two(second))).otherwise(say("below"))
+    )
+    told = F.when(accepted, explanation_for(method, matched, count)).when(reviewed, review).otherwise(say("nothing"))
+    return F.when(F.coalesce(count, F.lit(0)) == 0, fixed.REVIEW_EXPLANATIONS["none"]).otherwise(told)
+
+
 def decide(scored: DataFrame, thresholds: Thresholds = Thresholds(), keys: list[str] | None = None, order: str = "strategy") -> DataFrame:
     """Per case the decision on its best candidate. `scored` has candidate_id, score, matched, conflicting.
 
     Ties go to the smaller `order`, then the smaller candidate id. Columns: selected_id, confidence,
-    method, matched, conflicting, candidate_count, requires_review.
+    method, matched, conflicting, candidate_count, requires_review, explanation.
     """
     keys = keys or ["case_id"]
     best = F.struct((-F.col("score")).alias("s"), F.col(order).alias("o"), F.col("candidate_id").alias("id"), "matched", "conflicting")
@@ -146,6 +178,7 @@ def decide(scored: DataFrame, thresholds: Thresholds = Thresholds(), keys: list[
         *keys, F.when(accept, F.col("top.id")).alias("selected_id"), value.alias("confidence"),
         F.when(accept | review, method_of(matched)).otherwise("unresolved").alias("method"),
         F.when(accept | review, matched).otherwise(F.array().cast("array<string>")).alias("matched"), conflicting.alias("conflicting"), "candidate_count", (~accept).alias("requires_review"),
+        decision_explanation(accept, review, method_of(matched), value, F.col("_second"), matched, conflicting, F.col("candidate_count")).alias("explanation"),
     )
 
 
@@ -156,18 +189,30 @@ def _unioned(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def candidates(cases: DataFrame, records: DataFrame, county: str = "county") -> DataFrame:
+def searches_of(budget: int | None = None) -> Column:
+    """The searches that a case's fields allow, in their order; with a budget the first so many: one request each."""
+    known = lambda c: F.coalesce(F.length(F.trim(F.col(c))) > 0, F.lit(False))
+    owners, place = F.coalesce(F.size("owner_names"), F.lit(0)) > 0, known("subdivision")
+    able = [known("stated_address"), known("parcel_id"), known("geographic_id"), place, known("legal_text"), owners & place, owners & F.col("acreage").isNotNull(), owners]
+    every = F.array_compact(F.array(*(F.when(a, F.lit(k)) for k, a in enumerate(able))))
+    return every if budget is None else F.slice(every, F.lit(1), F.lit(budget)) if budget > 0 else F.array().cast("array<int>")
+
+
+def candidates(cases: DataFrame, records: DataFrame, county: str = "county", budget: int | None = None) -> DataFrame:
     """(case_id, candidate_id, strategy) of eight equi-join searches; a pair keeps its first strategy.
 
+    With `budget` each case makes its first so many searches only, as `searches_of` tells.
+
     Cases have `stated_address` beside CASE, records RECORD; both have `county`. Every search joins on an equal key: parcel,
     geographic id, street, subdivision key, legal text, owner's surname (alone, or with subdivision or acreage).
     Substring searches of the source become equality of normalised keys, so no search compares all with all.
     """
-    left = cases.select(county, "case_id", *(c for c in cases.columns if c not in (county, "case_id")))
+    left = cases if budget is None else cases.withColumn("_searches", searches_of(budget))
     owners = F.array_distinct(F.flatten(F.transform("owner_names", lambda n: N.surname_tokens(n))))
 
     def search(ord_: int, key_l: Column, key_r: Column, more=None) -> DataFrame:
-        a = left.select(county, "case_id", "acreage", F.explode(key_l).alias("_k") if more != "one" else key_l.alias("_k")).where("_k is not null and _k <> ''")
+        asked = left if budget is None else left.where(F.array_contains("_searches", ord_))
+        a = asked.select(county, "case_id", "acreage", F.explode(key_l).alias("_k") if more != "one" else key_l.alias("_k")).where("_k is not null and _k <> ''")
         b = records.select(county, "candidate_id", F.col("acreage").alias("_acreage"), F.explode(key_r).alias("_k") if more != "one" else key_r.alias("_k")).where("_k is not null and _k <> ''")
         found = a.join(b, [county, "_k"])
         if more == "acreage":
@@ -261,7 +306,7 @@ def reuse_cached(cases: DataFrame, cache: DataFrame, county: str = "county") ->
 def rerun_status(selected: Column, requires_review: Column, count: Column, within_budget: Column, error: Column) -> Column:
     """What a repeated search of an open case leads to; nothing is written for those not confirmed."""
     return (
-        F.when(error.isNotNull(), "ERROR").when(~within_budget, "SKIPPED_BUDGET").when(count == 0, "NO_CAD_MATCH")
+        F.when(error.isNotNull(), "ERROR").when(~within_budget, "SKIPPED_GLOBAL_BUDGET_EXHAUSTED").when(count == 0, "NO_CAD_MATCH")
         .when(selected.isNotNull() & ~requires_review, "CAD_PARCEL_CONFIRMED").otherwise("REQUIRES_HUMAN_APPROVAL")
     )
 

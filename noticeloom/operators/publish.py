@@ -72,16 +72,21 @@ def publication_inputs(cases: DataFrame, sales: DataFrame, tasks: DataFrame, lin
 
 
 def entitlements(profiles: DataFrame, subscriptions: DataFrame, plans: DataFrame, as_of) -> DataFrame:
-    """Per profile its plan now: in good standing or within grace, else FREE; UNLIMITED opens all counties.
+    """Per profile its plan now, one row each: in good standing, or late on a payment with an end of grace still to come, else FREE.
 
-    Columns: profile_id, plan, is_all, counties, max_saved, monthly_exports.
+    A plan that `plans` does not have is FREE. UNLIMITED opens all counties. Of several holding subscriptions of
+    a profile the largest plan counts. Columns: profile_id, plan, is_all, counties, max_saved, monthly_exports.
     """
-    now = _col(as_of)
-    holds = F.col("status").isin("ACTIVE", "TRIALING") | (F.col("status").isin("PAST_DUE", "CANCELED") & (F.col("grace_until") >= now))
-    own = subscriptions.where(holds).select("profile_id", "plan", "counties")
-    plan = F.coalesce("plan", F.lit("FREE"))
-    joined = profiles.select("profile_id").join(own, "profile_id", "left").withColumn("plan", plan).join(F.broadcast(plans), "plan", "left")
-    return joined.select("profile_id", "plan", (F.col("plan") == "UNLIMITED").alias("is_all"), F.coalesce("counties", F.array().cast("array<string>")).alias("counties"), "max_saved", "monthly_exports")
+    holds = F.col("status").isin(fixed.GOOD_STANDING) | (F.col("status").isin(fixed.PAYMENT_LATE) & (F.col("grace_until") > _col(as_of)))
+    rank = F.array_position(F.array(*map(F.lit, fixed.PLANS)), F.col("plan"))
+    known = plans.select("plan", "max_saved", "monthly_exports")
+    paid = subscriptions.where(holds & (F.col("plan") != "FREE")).select("profile_id", "plan", "counties").join(known, "plan")
+    own = paid.groupBy("profile_id").agg(F.max_by(F.struct("plan", "counties", "max_saved", "monthly_exports"), F.struct(rank, "plan", "counties")).alias("own"))
+    free = known.where("plan = 'FREE'").select(F.struct("plan", F.array().cast("array<string>").alias("counties"), "max_saved", "monthly_exports").alias("free"))
+    held = profiles.select("profile_id").join(own, "profile_id", "left").join(free).withColumn("own", F.coalesce("own", "free"))
+    return held.select(
+        "profile_id", "own.plan", (F.col("own.plan") == "UNLIMITED").alias("is_all"), F.coalesce("own.counties", F.array().cast("array<string>")).alias("counties"), "own.max_saved", "own.monthly_exports"
+    )
 
 
 def has_county(county, is_all, counties) -> Column:
@@ -104,20 +109,23 @@ def within_quota(used, most) -> Column:
 
 
 def triage_bucket(reason, best, second, count, strict_single: bool = False) -> Column:
-    """What a review task needs. A single candidate is quick, with `strict_single` only from a score of 0.15."""
-    single = (_col(count) == 1) & ((F.coalesce(_col(best), F.lit(0.0)) >= fixed.MARGIN) if strict_single else F.lit(True))
-    lead = F.round(_col(best) - F.coalesce(_col(second), F.lit(0.0)), 9) >= fixed.MARGIN
+    """What a review task needs, by its reason; only several appraisal matches are told apart by their candidates.
+
+    A single candidate is quick, with `strict_single` only from a score of 0.15. A missing score counts as 0.
+    """
+    n, score = F.coalesce(_col(count), F.lit(0)), lambda c: F.coalesce(_col(c), F.lit(0.0))
+    lead = score(best) - score(second) >= fixed.MARGIN
+    single = (n == 1) & (score(best) >= fixed.MARGIN if strict_single else F.lit(True))
+    several = F.when(n == 0, "MISSING_DATA").when(single | ((n > 1) & lead), "QUICK_APPROVAL").otherwise("MEANINGFUL_REVIEW")
     return (
-        F.when(_col(reason).isin("CAD_OWNER_CONFLICT", "BORROWER_NAME_CONFLICT"), "OWNER_CONFLICT").when(_col(reason) == "POSSIBLE_CONTENT_DUPLICATE", "DUPLICATE")
-        .when(_col(count) == 0, "NO_CANDIDATE").when(single | F.coalesce(lead, F.lit(False)), "QUICK").otherwise("NEEDS_RESEARCH")
+        F.when(_col(reason) == "MULTIPLE_APPRAISAL_MATCHES", several)
+        .when(_col(reason) == "NO_ADDRESS_RESOLVED", F.when(n == 0, "MISSING_DATA").otherwise("NON_BLOCKING_ENRICHMENT"))
+        .when(_col(reason).isin(fixed.CONFLICT_REASONS), "MEANINGFUL_REVIEW").when(_col(reason).isin(fixed.GAP_REASONS), "MISSING_DATA").otherwise("NON_BLOCKING_ENRICHMENT")
     )
 
 
-TRIAGE_ORDER = ("QUICK", "DUPLICATE", "OWNER_CONFLICT", "NEEDS_RESEARCH", "NO_CANDIDATE")
-
-
 def triage_rank(bucket) -> Column:
-    return F.array_position(F.array(*map(F.lit, TRIAGE_ORDER)), _col(bucket)).cast("int")
+    return F.array_position(F.array(*map(F.lit, fixed.TRIAGE_ORDER)), _col(bucket)).cast("int")
 
 
 def summary(kind, address, city, subdivision, sale_date, borrower, lender, loan_date, principal_cents, balance_cents, method) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import values as V
 from .publish import real_borrower
 
@@ -14,14 +15,18 @@ def pct(part: Column, whole: Column) -> Column:
     return F.round(F.try_divide(part.cast("double") * 100, whole.cast("double")), 1)
 
 
-def county_stats(df: DataFrame, as_of: Column, key: str = "county") -> DataFrame:
-    """Per county: cases, mean appraised value, residential and commercial, next sale, mean days to it."""
-    days = F.greatest(F.lit(0).cast("long"), V.days_until("current_sale", as_of))
-    return df.groupBy(key).agg(
+def county_stats(visible: DataFrame, documents: DataFrame, as_of: Column, key: str = "county") -> DataFrame:
+    """Per county of `documents` (county, collected_at): its visible cases, their mean value and classes, the earliest of their
+    first sales, the mean of the whole days to those, and when its newest document came. `visible` has first_sale.
+    """
+    days = F.greatest(F.lit(0).cast("long"), V.days_until("first_sale", as_of))
+    stats = visible.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_cases"), V.half_up(F.avg("value_cents")).alias("avg_value_cents"), F.count_if(F.col("classification") == "RESIDENTIAL").alias("residential"),
-        F.count_if(F.col("classification") == "COMMERCIAL").alias("commercial"), F.min(F.when(F.col("current_sale") >= as_of, F.col("current_sale"))).alias("next_sale"),
-        F.ceil(F.round(F.avg(days), 9)).alias("avg_days"),
+        F.count_if(F.col("classification") == "COMMERCIAL").alias("commercial"), F.min("first_sale").alias("next_sale"), V.half_up(F.avg(days)).alias("avg_days"),
     )
+    newest = documents.groupBy(key).agg(F.max("collected_at").alias("newest_notice"))
+    zero = F.lit(0).cast("long")
+    return newest.join(stats, key, "left").withColumns({n: F.coalesce(n, zero) for n in ("n_cases", "residential", "commercial")})
 
 
 def conditional_counts(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
@@ -30,8 +35,8 @@ def conditional_counts(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
 
 
 def monthly_revenue(subscriptions: DataFrame, plans: DataFrame, legacy: bool = False) -> DataFrame:
-    """Revenue a month in cents: yearly prices count a twelfth. `legacy` divides the monthly price, as was done once."""
-    joined = subscriptions.where("status = 'ACTIVE'").join(F.broadcast(plans), "plan")
+    """Revenue a month in cents of subscriptions in good standing: yearly prices count a twelfth. `legacy` divides the monthly price, as was done once."""
+    joined = subscriptions.where(F.col("status").isin(fixed.GOOD_STANDING)).join(plans, "plan")
     yearly = F.col("monthly_cents") if legacy else F.col("yearly_cents")
     return joined.agg(F.coalesce(F.sum(F.when(F.col("interval") == "YEAR", V.half_up(yearly / 12.0)).otherwise(F.col("monthly_cents"))), F.lit(0)).cast("long").alias("mrr_cents"))
 
@@ -50,10 +55,41 @@ def borrower_quality(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, kind.alias("borrower_kind")).agg(F.count(F.lit(1)).alias("n_cases"))
 
 
-def usefulness(known: list[Column]) -> Column:
-    """FULLY_USEFUL with all of the given facts, USEFUL with more than half, else LIMITED."""
-    n = sum((F.coalesce(k, F.lit(False)).cast("int") for k in known), F.lit(0))
-    return F.when(n == len(known), "FULLY_USEFUL").when(n * 2 > len(known), "USEFUL").otherwise("LIMITED")
+def usefulness(address: Column, sale_date: Column, principal: Column, borrower: Column, legal: Column) -> Column:
+    """FULLY_USEFUL with all five facts; USEFUL with a sale date, a real borrower and an address or legal text; else LIMITED."""
+    a, s, p, b, t = (F.coalesce(k, F.lit(False)) for k in (address, sale_date, principal, borrower, legal))
+    return F.when(a & s & p & b & t, "FULLY_USEFUL").when(s & b & (a | t), "USEFUL").otherwise("LIMITED")
+
+
+def run_summary(bundles: DataFrame, notices: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row of what a run did.
+
+    `bundles` has outcome (PROCESSED, SKIPPED_UNCHANGED, FAILED); `notices` outcome, low_confidence, content_source,
+    ocr_confidence and reasons; `calls` of the fallback have cost_cents, within_budget and merged.
+    """
+    is_ = lambda c, v: F.count_if(F.coalesce(F.col(c) == v, F.lit(False)))
+    kept = F.col("outcome").isin("persisted", "extraction_failed")
+    held = F.col("outcome") != "skipped_not_in_target"
+    of_bundles = bundles.agg(
+        F.count(F.lit(1)).alias("bundles_discovered"), is_("outcome", "PROCESSED").alias("bundles_processed"), is_("outcome", "SKIPPED_UNCHANGED").alias("bundles_skipped_unchanged"), is_("outcome", "FAILED").alias("bundles_failed")
+    )
+    of_notices = notices.agg(
+        F.count(F.lit(1)).alias("notices_split"), is_("outcome", "skipped_not_in_target").alias("notices_skipped_not_in_target"), F.count_if(held & F.coalesce("low_confidence", F.lit(False))).alias("notices_low_confidence"),
+        F.count_if(held & (F.col("content_source") == "ocr")).alias("notices_ocr"), F.count_if(held & (F.col("content_source") == "other")).alias("notices_other_reader"), is_("outcome", "duplicate").alias("notices_duplicate"),
+        F.count_if(kept).alias("notices_persisted"), F.count_if(kept).alias("notices_extracted"), is_("outcome", "failed").alias("notices_failed"),
+        F.count_if(kept & (F.coalesce(F.size("reasons"), F.lit(0)) > 0)).alias("notices_for_review"), F.round(F.avg(F.when(held, F.col("ocr_confidence"))), 6).alias("avg_ocr_confidence"),
+        is_("outcome", "extraction_failed").alias("extraction_errors"),
+    )
+    of_calls = calls.agg(
+        F.count_if("within_budget").alias("fallback_calls"), F.coalesce(F.max(~F.col("within_budget")), F.lit(False)).alias("budget_exhausted"),
+        F.coalesce(F.sum(F.when(F.col("within_budget"), F.col("cost_cents"))), F.lit(0)).cast("long").alias("fallback_cost_cents"), F.count_if(F.col("within_budget") & ~F.col("merged")).alias("fallback_errors"),
+    )
+    return of_bundles.join(of_notices).join(of_calls)
+
+
+def facet(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column that are neither null nor empty, sorted."""
+    return df.select(column).where(F.col(column) != "").distinct().orderBy(column)
 
 
 def funnel(cases: DataFrame, candidates: DataFrame) -> DataFrame:

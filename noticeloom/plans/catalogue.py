@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import names as N
 from ..functions import text as T
 from ..functions import values as V
@@ -88,6 +89,9 @@ FILTERS: dict[str, tuple[ListingFilter, str]] = {
     "sale_window": (ListingFilter(sale_from=date(1998, 10, 1), sale_to=date(1998, 12, 31)), "case_id IN (SELECT case_id FROM v_sale WHERE sale_date BETWEEN DATE '1998-10-01' AND DATE '1998-12-31')"),
     "saved_only": (ListingFilter(saved_by=5), "case_id IN (SELECT event_id FROM events WHERE user_id = 5 AND event_type = 'click')"),
     "lender_or": (ListingFilter(lender="#00000001"), "case_id IN (SELECT l_orderkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1 HAVING contains(lower(min(s_name)), '#00000001') OR contains(lower(max(s_name)), '#00000001'))"),
+    "subdivision": (ListingFilter(subdivision="ing est"), "contains(lower(concat(city, ' ESTATES')), 'ing est')"),
+    "property_type": (ListingFilter(property_type="HOUS"), "substr(city, 1, 4) = 'HOUS'"),
+    "has_street": (ListingFilter(has_street=True), "street IS NOT NULL"),
     "review_status": (ListingFilter(review_status="OPEN"), "case_id IN (SELECT case_id FROM v_task WHERE status = 'OPEN')"),
 }
 
@@ -96,7 +100,7 @@ def _filter_query(f: ListingFilter) -> Query:
     def run(spark, d):
         saved = views.table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("case_id"), F.col("user_id").alias("profile_id"))
         lenders = views.table(spark, d, "lineitem").join(views.table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("l_orderkey").alias("case_id")).agg(F.min("s_name").alias("lender"), F.max("s_name").alias("mortgagee"))
-        cases = _published(spark, d)
+        cases = _published(spark, d).withColumns({"subdivision": F.concat("city", F.lit(" ESTATES")), "property_type": F.substring("city", 1, 4)})
         cases = cases.join(lenders, "case_id", "left") if f.lender else cases
         return _listed(listing.select_cases(cases, f, views.as_of(), sales=views.sales(spark, d), saved=saved, documents=views.tasks(spark, d).withColumnRenamed("status", "review_status")))
 
@@ -169,37 +173,43 @@ def csv_export(spark, d):
     return df.select(sinks.csv_line(["case_id", "county", "borrower", "place"]).alias("line"))
 
 
-PLAN_OF = "CASE c_mktsegment WHEN 'BUILDING' THEN 'COUNTY' WHEN 'MACHINERY' THEN 'UNLIMITED' END"
+HOLDS = "(c_nationkey % 6 < 3 OR (c_nationkey % 6 < 5 AND c_acctbal > 0))"
 
 
-@query(f"""SELECT c_custkey AS profile_id, CASE WHEN {PLAN_OF} IS NOT NULL AND (c_acctbal > 0 OR (c_acctbal > -500)) THEN {PLAN_OF} ELSE 'FREE' END AS plan,
-    CASE WHEN {PLAN_OF} = 'UNLIMITED' AND c_acctbal > -500 THEN TRUE ELSE FALSE END AS is_all,
-    CAST(CASE WHEN {PLAN_OF} = 'UNLIMITED' AND c_acctbal > -500 THEN NULL WHEN {PLAN_OF} = 'COUNTY' AND c_acctbal > -500 THEN 100 ELSE 5 END AS INTEGER) AS max_saved FROM customer""")
+@query(f"""SELECT profile_id, plan, plan = 'UNLIMITED' AS is_all, CASE WHEN plan = 'UNLIMITED' THEN 'ALL' WHEN main = 'COUNTY' THEN county WHEN plan = 'COUNTY' THEN 'EXTRA' ELSE '' END AS counties,
+    CAST(CASE plan WHEN 'COUNTY' THEN 100 WHEN 'FREE' THEN 5 END AS INTEGER) AS max_saved FROM (SELECT *, CASE WHEN main = 'UNLIMITED' THEN main WHEN main = 'COUNTY' OR profile_id % 10 = 0 THEN 'COUNTY' ELSE 'FREE' END AS plan
+    FROM (SELECT c_custkey AS profile_id, concat('NATION_', c_nationkey) AS county, CASE WHEN {HOLDS} THEN CASE c_mktsegment WHEN 'BUILDING' THEN 'COUNTY' WHEN 'MACHINERY' THEN 'UNLIMITED' END END AS main FROM customer))""")
 def entitlement_resolve(spark, d):
-    """Accounts in the black are active; those a little below are past due within grace."""
+    """Six states by nation; grace ends later for accounts in the black, today for those just below, else it is unknown. Every tenth has a second subscription."""
     c = views.table(spark, d, "customer")
-    plan = F.when(F.col("c_mktsegment") == "BUILDING", "COUNTY").when(F.col("c_mktsegment") == "MACHINERY", "UNLIMITED")
-    state = F.when(F.col("c_acctbal") > 0, "ACTIVE").otherwise("PAST_DUE")
-    grace = F.when(F.col("c_acctbal") > -500, F.lit("1999-01-01")).otherwise("1998-01-01").cast("date")
-    subs = c.select(F.col("c_custkey").alias("profile_id"), plan.alias("plan"), state.alias("status"), grace.alias("grace_until"), F.lit(None).cast("array<string>").alias("counties")).where("plan is not null")
+    states = F.array(*map(F.lit, ("ACTIVE", "TRIALING", "PROMOTIONAL", "PAST_DUE", "PAYMENT_FAILED", "CANCELED")))
+    plan = F.create_map(*map(F.lit, ("BUILDING", "COUNTY", "MACHINERY", "UNLIMITED", "FURNITURE", "FREE", "HOUSEHOLD", "LEGACY")))[F.col("c_mktsegment")]
+    grace = F.when(F.col("c_acctbal") > 0, F.lit("1999-01-01")).when(F.col("c_acctbal") > -500, views.AS_OF).cast("date")
+    county = F.when(plan == "UNLIMITED", F.array(F.lit("ALL"))).otherwise(F.array(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))))
+    subs = c.select(F.col("c_custkey").alias("profile_id"), plan.alias("plan"), F.get(states, F.col("c_nationkey") % 6).alias("status"), grace.alias("grace_until"), county.alias("counties")).where("plan is not null")
+    more = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("profile_id"), F.lit("COUNTY").alias("plan"), F.lit("ACTIVE").alias("status"), F.lit(None).cast("date").alias("grace_until"), F.array(F.lit("EXTRA")).alias("counties"))
     plans = spark.sql("SELECT * FROM VALUES ('FREE', 5, 0), ('COUNTY', 100, 10), ('UNLIMITED', NULL, NULL) AS t(plan, max_saved, monthly_exports)")
-    return publish.entitlements(c.select(F.col("c_custkey").alias("profile_id")), subs, plans, views.as_of()).select("profile_id", "plan", "is_all", "max_saved")
+    told = publish.entitlements(c.select(F.col("c_custkey").alias("profile_id")), subs.unionByName(more), plans, views.as_of())
+    return told.select("profile_id", "plan", "is_all", text("counties").alias("counties"), "max_saved")
 
 
-TRIAGE = f"""WITH s AS (SELECT case_id, count(*) AS n, max(score) AS best, max(score) FILTER (WHERE k = 2) AS second FROM
-    (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, candidate_id) AS k FROM ({{cand}})) GROUP BY case_id)
-    SELECT t.case_id, t.reason, CASE WHEN t.reason = 'CAD_OWNER_CONFLICT' THEN 'OWNER_CONFLICT' WHEN coalesce(n, 0) = 0 THEN 'NO_CANDIDATE'
-      WHEN n = 1 OR round(best - coalesce(second, 0), 9) >= 0.15 THEN 'QUICK' ELSE 'NEEDS_RESEARCH' END AS bucket FROM ({{task}}) t LEFT JOIN s USING (case_id)""".format(
-    cand=views.SQL["v_candidate"].split(" AS (", 1)[1][:-1], task="SELECT DISTINCT case_id, reason FROM (" + views.SQL["v_task"].split(" AS (", 1)[1][:-1] + ") WHERE status = 'OPEN'"
-)
+TRIAGE = """WITH s AS (SELECT case_id, count(*) AS n, max(score) AS best, max(score) FILTER (WHERE k = 2) AS second FROM
+    (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC) AS k FROM (SELECT case_id, coalesce(score, 0) AS score FROM v_scored)) GROUP BY case_id)
+    SELECT t.case_id, t.reason, CASE WHEN reason = 'MULTIPLE_APPRAISAL_MATCHES' THEN CASE WHEN coalesce(n, 0) = 0 THEN 'MISSING_DATA' WHEN n = 1 OR best - second >= 0.15::DOUBLE THEN 'QUICK_APPROVAL' ELSE 'MEANINGFUL_REVIEW' END
+      WHEN reason = 'NO_ADDRESS_RESOLVED' THEN CASE WHEN coalesce(n, 0) = 0 THEN 'MISSING_DATA' ELSE 'NON_BLOCKING_ENRICHMENT' END
+      WHEN reason IN ('CAD_OWNER_CONFLICT', 'BORROWER_NAME_CONFLICT', 'SALE_DATE_CONFLICT', 'POSSIBLE_CONTENT_DUPLICATE') THEN 'MEANINGFUL_REVIEW'
+      WHEN reason IN ('POOR_TEXT_QUALITY', 'MISSING_FILING_NUMBER') THEN 'MISSING_DATA' ELSE 'NON_BLOCKING_ENRICHMENT' END AS bucket
+    FROM (SELECT DISTINCT case_id, reason FROM v_review WHERE status = 'OPEN') t LEFT JOIN s USING (case_id)"""
+RANKED = "CASE bucket WHEN 'MEANINGFUL_REVIEW' THEN 1 WHEN 'MISSING_DATA' THEN 2 WHEN 'QUICK_APPROVAL' THEN 3 ELSE 4 END"
 
 
 def _triaged(spark, d):
-    scores = F.sort_array(F.collect_list("score"), False)
-    per = views.candidates(spark, d).groupBy("case_id").agg(scores.alias("s"), F.count(F.lit(1)).alias("n"))
-    tasks = views.tasks(spark, d).where("status = 'OPEN'").select("case_id", "reason").distinct().join(per, "case_id", "left")
-    first, second = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
-    return tasks.withColumn("bucket", publish.triage_bucket("reason", first, second, F.coalesce("n", F.lit(0))))
+    own = views.scored(spark, d).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    # The best two of each case: the second is the largest below the first row of its rank.
+    ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("score").desc())))
+    per = ranked.groupBy("case_id").agg(F.max("score").alias("best"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("second"), F.count(F.lit(1)).alias("n"))
+    tasks = views.review_tasks(spark, d).where("status = 'OPEN'").select("case_id", "reason").distinct().join(per, "case_id", "left")
+    return tasks.withColumn("bucket", publish.triage_bucket("reason", "best", "second", "n"))
 
 
 @query(TRIAGE)
@@ -207,11 +217,18 @@ def triage_task_buckets(spark, d):
     return _triaged(spark, d).select("case_id", "reason", "bucket")
 
 
-@query(f"SELECT case_id, CAST(min(CASE bucket WHEN 'QUICK' THEN 1 WHEN 'DUPLICATE' THEN 2 WHEN 'OWNER_CONFLICT' THEN 3 WHEN 'NEEDS_RESEARCH' THEN 4 ELSE 5 END) AS INTEGER) AS priority, count(*) AS n_tasks FROM ({TRIAGE}) GROUP BY case_id")
+@query(f"SELECT case_id, CAST(min({RANKED}) AS INTEGER) AS priority, count(*) AS n_tasks FROM ({TRIAGE}) GROUP BY case_id")
 def triage_case_priority(spark, d):
     return reports.rollup_priority(_triaged(spark, d), publish.triage_rank("bucket"))
 
 
+@query(f"SELECT publication_status AS row, " + ", ".join(f"count(*) FILTER (WHERE bucket = '{b}') AS \"{b}\"" for b in fixed.TRIAGE_ORDER) + f" FROM v_status JOIN ({TRIAGE}) USING (case_id) GROUP BY 1")
+def status_triage_crosstab(spark, d):
+    """Tasks by their case's publication status and their bucket."""
+    told = _triaged(spark, d).join(views.publication(spark, d).select("case_id", "publication_status"), "case_id")
+    return reports.crosstab(told, F.col("publication_status"), F.col("bucket"), fixed.TRIAGE_ORDER)
+
+
 @query(f"""SELECT case_id, concat_ws(' ', concat('This ', CASE classification WHEN 'COMMERCIAL' THEN 'commercial ' WHEN 'RESIDENTIAL' THEN 'residential ' ELSE '' END,
       CASE WHEN street IS NOT NULL THEN concat('property is located at ', street, ', ', city, ', TX') ELSE 'property''s location has not yet been confirmed' END, ' ',
       CASE WHEN sale_date IS NOT NULL THEN concat('is scheduled for foreclosure sale on ', strftime(sale_date, '%B %-d, %Y')) ELSE 'does not yet have a confirmed foreclosure sale date' END, '.'),
@@ -230,11 +247,15 @@ def summary_text(spark, d):
 
 # ---- Reports
 
-@query(f"""SELECT county, count(*) AS n_cases, CAST(floor(avg(value_cents) + 0.5) AS BIGINT) AS avg_value_cents, count(*) FILTER (WHERE classification = 'RESIDENTIAL') AS residential,
-    count(*) FILTER (WHERE classification = 'COMMERCIAL') AS commercial, strftime(min(current_sale) FILTER (WHERE current_sale >= {DAY}), '%Y-%m-%d') AS next_sale,
-    CAST(ceil(round(avg(greatest(0, date_diff('day', {DAY}, current_sale))), 9)) AS BIGINT) AS avg_days FROM v_pub GROUP BY county""")
+@query(f"""WITH s AS (SELECT county, count(*) AS n_cases, CAST(floor(avg(value_cents) + 0.5) AS BIGINT) AS avg_value_cents, count(*) FILTER (WHERE classification = 'RESIDENTIAL') AS residential,
+    count(*) FILTER (WHERE classification = 'COMMERCIAL') AS commercial, strftime(min(first_sale), '%Y-%m-%d') AS next_sale, CAST(floor(avg(greatest(0, date_diff('day', {DAY}, first_sale))) + 0.5) AS BIGINT) AS avg_days
+    FROM v_status WHERE publication_status IN ('PUBLISHED', 'PUBLISHED_WITH_LIMITED_DATA') GROUP BY county)
+    SELECT c.county, coalesce(n_cases, 0) AS n_cases, avg_value_cents, coalesce(residential, 0) AS residential, coalesce(commercial, 0) AS commercial, next_sale, avg_days, strftime(newest, '%Y-%m-%d') AS newest_notice
+    FROM (SELECT county, max(created_at) AS newest FROM v_case GROUP BY 1) c LEFT JOIN s USING (county)""")
 def county_stats(spark, d):
-    return reports.county_stats(listing.with_sales(views.cases(spark, d), views.sales(spark, d)), views.as_of()).withColumn("next_sale", day("next_sale"))
+    documents = views.cases(spark, d).select("county", F.col("created_at").alias("collected_at"))
+    stats = reports.county_stats(publish.public_only(_published(spark, d)), documents, views.as_of())
+    return stats.withColumns({"next_sale": day("next_sale"), "newest_notice": day("newest_notice")})
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE archived_at IS NOT NULL) AS archived, count(*) FILTER (WHERE street IS NOT NULL) AS with_street, count(value_cents) AS with_value, count(*) FILTER (WHERE address_confidence >= 0.85) AS sure FROM v_case")
@@ -243,10 +264,12 @@ def dashboard_counts(spark, d):
     return reports.conditional_counts(views.cases(spark, d), {"archived": c("archived_at").isNotNull(), "with_street": c("street").isNotNull(), "with_value": c("value_cents").isNotNull(), "sure": V.confidence_band("address_confidence") == "high"})
 
 
-@query("SELECT CAST(sum(CASE WHEN c_nationkey < 5 THEN floor((CASE c_mktsegment WHEN 'BUILDING' THEN 7000 ELSE 27000 END) / 12.0 + 0.5) ELSE CASE c_mktsegment WHEN 'BUILDING' THEN 700 ELSE 2700 END END) AS BIGINT) AS mrr_cents FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0")
+@query("SELECT CAST(sum(CASE WHEN c_nationkey < 5 THEN floor((CASE c_mktsegment WHEN 'BUILDING' THEN 7000 ELSE 27000 END) / 12.0 + 0.5) ELSE CASE c_mktsegment WHEN 'BUILDING' THEN 700 ELSE 2700 END END) AS BIGINT) AS mrr_cents FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey % 4 < 3")
 def mrr(spark, d):
+    """Active, trialing and promotional subscriptions count, cancelled ones do not."""
     plan = F.when(F.col("c_mktsegment") == "BUILDING", "COUNTY").when(F.col("c_mktsegment") == "MACHINERY", "UNLIMITED")
-    subs = views.table(spark, d, "customer").select(plan.alias("plan"), F.when(F.col("c_acctbal") > 0, "ACTIVE").otherwise("CANCELED").alias("status"), F.when(F.col("c_nationkey") < 5, "YEAR").otherwise("MONTH").alias("interval"))
+    status = F.get(F.array(*map(F.lit, ("ACTIVE", "TRIALING", "PROMOTIONAL", "CANCELED"))), F.col("c_nationkey") % 4)
+    subs = views.table(spark, d, "customer").select(plan.alias("plan"), status.alias("status"), F.when(F.col("c_nationkey") < 5, "YEAR").otherwise("MONTH").alias("interval"))
     return reports.monthly_revenue(subs, spark.sql("SELECT * FROM VALUES ('COUNTY', 700, 7000), ('UNLIMITED', 2700, 27000) AS t(plan, monthly_cents, yearly_cents)"))
 
 
@@ -263,11 +286,14 @@ def borrower_quality(spark, d):
     return reports.borrower_quality(views.cases(spark, d), ["county"])
 
 
-@query("""SELECT tier, count(*) AS n_rows FROM (SELECT CASE WHEN n = 4 THEN 'FULLY_USEFUL' WHEN n > 2 THEN 'USEFUL' ELSE 'LIMITED' END AS tier FROM
-    (SELECT (borrower IS NOT NULL)::INT + (street IS NOT NULL)::INT + (value_cents IS NOT NULL)::INT + has_legal::INT AS n FROM v_case)) GROUP BY 1""")
+@query("""SELECT tier, count(*) AS n_rows FROM (SELECT CASE WHEN street IS NOT NULL AND sale_date IS NOT NULL AND principal_cents > 10000000 AND real_name AND has_legal THEN 'FULLY_USEFUL'
+    WHEN sale_date IS NOT NULL AND real_name AND (street IS NOT NULL OR has_legal) THEN 'USEFUL' ELSE 'LIMITED' END AS tier FROM v_pub) GROUP BY 1""")
 def usefulness_tiers(spark, d):
-    tier = reports.usefulness([F.col("borrower").isNotNull(), F.col("street").isNotNull(), F.col("value_cents").isNotNull(), F.col("has_legal")])
-    return reports.histogram(views.cases(spark, d), tier, "tier")
+    """Principals up to 100,000 stand for unknown ones."""
+    told = publish.publication_inputs(views.cases(spark, d), views.sales(spark, d), views.tasks(spark, d), views.links(spark, d))
+    c = F.col
+    tier = reports.usefulness(c("street").isNotNull(), c("sale_date").isNotNull(), c("principal_cents") > 10_000_000, publish.real_borrower("borrower"), c("has_legal"))
+    return reports.histogram(told, tier, "tier")
 
 
 @query("""SELECT count(*) AS cases, count(n) AS with_candidates, count(*) FILTER (WHERE sel) AS selected, count(*) FILTER (WHERE NOT coalesce(sel, FALSE)) AS for_review,
@@ -433,15 +459,28 @@ def duplicate_tier(spark, d):
     return scored.where("confidence is not null").select("case_a", "case_b", F.round("score", 6).alias("score"), "confidence", text("matched").alias("matched"))
 
 
-@query("""WITH l AS (SELECT c_custkey AS legacy_id, c_nationkey AS nation, c_mktsegment AS segment, substr(c_name, 10, 7) AS stem FROM customer WHERE c_acctbal < 0),
-    i AS (SELECT s_suppkey AS case_id, s_nationkey AS nation, CASE WHEN s_acctbal > 5000 THEN 'BUILDING' ELSE 'MACHINERY' END AS segment, substr(s_name, 10, 7) AS stem FROM supplier),
-    p AS (SELECT legacy_id, case_id, (l.nation = i.nation)::INT + (l.segment = i.segment)::INT + (l.stem = i.stem)::INT AS n FROM l, i),
-    b AS (SELECT legacy_id, first(case_id ORDER BY n DESC, case_id) AS match_id, max(n) AS n_equal FROM p WHERE n > 0 GROUP BY 1)
-    SELECT legacy_id, CASE WHEN n_equal >= 3 THEN 'B' WHEN n_equal >= 1 THEN 'C' ELSE 'E' END AS class, match_id, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal FROM l LEFT JOIN b USING (legacy_id)""")
+@query("""WITH l AS (SELECT c_custkey AS legacy_id, c_nationkey AS nation, c_mktsegment AS segment, substr(c_name, 10, 7) AS stem, c_custkey % 7 AS k, CASE WHEN c_custkey % 40 = 0 THEN concat('F', c_custkey // 40) END AS number,
+      CASE WHEN c_custkey % 40 = 1 THEN concat('I', c_custkey // 40) END AS instrument FROM customer),
+    i AS (SELECT s_suppkey AS case_id, s_nationkey AS nation, CASE WHEN s_acctbal > 5000 THEN 'BUILDING' ELSE 'MACHINERY' END AS segment, substr(s_name, 10, 7) AS stem, s_suppkey % 7 AS k, concat('F', s_suppkey // 2) AS number,
+      CASE WHEN s_suppkey % 3 = 0 THEN concat('I', s_suppkey) END AS instrument FROM supplier),
+    p AS (SELECT legacy_id, case_id, (l.nation = i.nation)::INT + (l.segment = i.segment)::INT + (l.stem = i.stem)::INT + ((l.nation = i.nation)::INT + (l.segment = i.segment)::INT + (l.k = i.k)::INT >= 2)::INT AS n FROM l, i),
+    b AS (SELECT legacy_id, first(case_id ORDER BY n DESC, case_id) AS best_id, max(n) AS n FROM p WHERE n > 0 GROUP BY 1),
+    e AS (SELECT number, max(case_id) AS exact_id FROM i GROUP BY 1), t AS (SELECT instrument, max(case_id) AS instrument_id FROM i WHERE instrument IS NOT NULL GROUP BY 1)
+    SELECT legacy_id, CASE WHEN exact_id IS NOT NULL THEN 'A' WHEN instrument_id IS NOT NULL OR n >= 3 THEN 'B' WHEN n >= 1 THEN 'E' ELSE 'C' END AS class, coalesce(exact_id, instrument_id, best_id) AS match_id,
+      CAST(CASE WHEN exact_id IS NULL AND instrument_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS n_equal FROM l LEFT JOIN b USING (legacy_id) LEFT JOIN e USING (number) LEFT JOIN t USING (instrument)""")
 def legacy_best_match(spark, d):
-    none = F.lit(None).cast("string")
-    l = views.table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("legacy_id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.substring("c_name", 10, 7).alias("stem"), none.alias("number"))
-    i = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), F.col("s_nationkey").alias("nation"), F.when(F.col("s_acctbal") > 5000, "BUILDING").otherwise("MACHINERY").alias("segment"), F.substring("s_name", 10, 7).alias("stem"), none.alias("number"))
+    """Customers against suppliers; two of the three words of an owner's name make the names alike."""
+    names = lambda key, nation, segment: dedup.owner_tokens(F.concat_ws(" ", F.concat(F.lit("K"), (F.col(key) % 7).cast("string")), F.concat(F.lit("N"), F.col(nation).cast("string")), segment))
+    number = lambda kind, n: F.concat(F.lit(kind), F.floor(n).cast("string"))
+    key, segment = F.col("c_custkey"), F.when(F.col("s_acctbal") > 5000, "BUILDING").otherwise("MACHINERY")
+    l = views.table(spark, d, "customer").select(
+        key.alias("legacy_id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.substring("c_name", 10, 7).alias("stem"), names("c_custkey", "c_nationkey", F.col("c_mktsegment")).alias("names"),
+        F.when(key % 40 == 0, number("F", key / 40)).alias("number"), F.when(key % 40 == 1, number("I", key / 40)).alias("instrument"),
+    )
+    i = views.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("case_id"), F.col("s_nationkey").alias("nation"), segment.alias("segment"), F.substring("s_name", 10, 7).alias("stem"), names("s_suppkey", "s_nationkey", segment).alias("names"),
+        number("F", F.col("s_suppkey") / 2).alias("number"), F.when(F.col("s_suppkey") % 3 == 0, number("I", F.col("s_suppkey"))).alias("instrument"),
+    )
     return dedup.legacy_matches(l, i, ["nation", "segment", "stem"])
 
 
@@ -486,11 +525,14 @@ def candidate_score(spark, d):
 
 @query("""WITH s AS (SELECT case_id, candidate_id, greatest(score, 0) AS score FROM v_candidate), k AS (SELECT DISTINCT * FROM s),
     r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, candidate_id) AS n, lead(score) OVER (PARTITION BY case_id ORDER BY score DESC, candidate_id) AS second, count(*) OVER (PARTITION BY case_id) AS cnt FROM k)
-    SELECT case_id, CASE WHEN score >= 0.92 AND (cnt = 1 OR round(score - second, 9) >= 0.15) THEN candidate_id END AS selected_id, round(score, 9) AS confidence, cnt AS candidate_count FROM r WHERE n = 1""")
+    SELECT case_id, CASE WHEN score >= 0.92 AND (cnt = 1 OR round(score - second, 9) >= 0.15) THEN candidate_id END AS selected_id, round(score, 9) AS confidence, cnt AS candidate_count,
+      CASE WHEN score >= 0.92 AND (cnt = 1 OR round(score - second, 9) >= 0.15) THEN concat('Exact parcel ID match to the county appraisal record', CASE WHEN cnt > 1 THEN concat(' (best of ', cnt, ' candidates considered)') ELSE '' END, '.')
+        WHEN score >= 0.7 THEN concat('The top candidate scored ', printf('%.2f', score), CASE WHEN second IS NULL THEN ', below the auto-accept threshold' ELSE concat(', only ', printf('%.2f', score - second), ' ahead of the next candidate (', printf('%.2f', second), ')') END, ' — sent to manual review.')
+        ELSE concat('No candidate scored above the manual-review threshold (best was ', printf('%.2f', score), ').') END AS explanation FROM r WHERE n = 1""")
 def candidate_resolution(spark, d):
     own = views.candidates(spark, d).select("case_id", "candidate_id", F.greatest("score", F.lit(0.0)).alias("score")).distinct()
     full = own.withColumns({"strategy": F.lit(0), "matched": F.array(F.lit("parcelId")), "conflicting": F.array().cast("array<string>")})
-    return match.decide(full).select("case_id", "selected_id", "confidence", "candidate_count")
+    return match.decide(full).select("case_id", "selected_id", "confidence", "candidate_count", "explanation")
 
 
 @query()

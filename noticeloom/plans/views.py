@@ -72,6 +72,21 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Reasons of review tasks by line number.
+LINE_REASONS = {1: "MULTIPLE_APPRAISAL_MATCHES", 2: "NO_ADDRESS_RESOLVED", 3: "CAD_OWNER_CONFLICT", 4: "POSSIBLE_CONTENT_DUPLICATE", 5: "POOR_TEXT_QUALITY", 6: "LOW_CONFIDENCE", 7: "MULTIPLE_APPRAISAL_MATCHES"}
+
+
+def review_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.create_map(*(F.lit(x) for kv in LINE_REASONS.items() for x in kv))[F.col("l_linenumber")]
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), reason.alias("reason"), F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("RESOLVED").alias("status"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of cases, none for some; those without tax have no score."""
+    score = F.when(F.col("l_tax") > 0, F.round(1 - F.col("l_tax") * 8 - F.col("l_discount"), 4))
+    return table(spark, sf_dir, "lineitem").where("l_discount <= 0.03").select(F.col("l_orderkey").alias("case_id"), F.concat_ws("-", "l_suppkey", "l_partkey", "l_linenumber").alias("candidate_id"), score.alias("score"))
+
+
 def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import publish
 
@@ -120,6 +135,9 @@ SQL = {
       FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND date_trunc('month', a.o_orderdate) = date_trunc('month', b.o_orderdate) AND a.o_orderkey < b.o_orderkey)""",
     "v_candidate": """v_candidate AS (SELECT l_orderkey AS case_id, concat_ws('-', l_suppkey, l_partkey, l_linenumber) AS candidate_id,
       round(1 - l_discount * 4 - l_tax, 4) AS score, l_discount = 0 AS selected FROM lineitem)""",
+    "v_review": "v_review AS (SELECT l_orderkey AS case_id, CASE l_linenumber " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LINE_REASONS.items()) + " END AS reason, CASE WHEN l_linestatus = 'O' THEN 'OPEN' ELSE 'RESOLVED' END AS status FROM lineitem)",
+    "v_scored": """v_scored AS (SELECT l_orderkey AS case_id, concat_ws('-', l_suppkey, l_partkey, l_linenumber) AS candidate_id,
+      CASE WHEN l_tax > 0 THEN round(1 - l_tax * 8 - l_discount, 4) END AS score FROM lineitem WHERE l_discount <= 0.03)""",
     "v_dates": """v_dates AS (SELECT case_id, min(sale_date) AS first_sale, CASE WHEN count(*) = count(sale_date) THEN max(sale_date) END AS current_sale,
       max(sale_date) AS sale_date, count(*) AS n_sales FROM v_sale GROUP BY case_id)""",
     "v_pub": """v_pub AS (SELECT c.*, d.sale_date, d.first_sale, d.current_sale, coalesce(d.n_sales, 0) AS n_sales, coalesce(t.crit, FALSE) AS crit, coalesce(x.dup, FALSE) AS dup,

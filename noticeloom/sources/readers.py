@@ -88,6 +88,16 @@ def sitemap_pages(sitemaps: DataFrame, column: str = "value") -> DataFrame:
     return named.withColumn("posted_date", V.sale_month("slug"))
 
 
+def sale_documents(pages: DataFrame, html: DataFrame) -> DataFrame:
+    """Documents that sale pages (url, slug) link to: url, document_id, document_slug, file_name, posted_date.
+
+    `html` (url, html) are the pages that could be read; a page that is missing, or has no link, waits for the next run.
+    """
+    link = r"(?i)DocumentCenter/View/(\d+)/([A-Za-z0-9-]*PROPERTY-SALE)"
+    own = pages.select("url").join(html.select("url", T.grab("html", link, 1).alias("document_id"), T.grab("html", link, 2).alias("document_slug")), "url").where("document_id is not null")
+    return own.select("url", "document_id", "document_slug", F.concat("document_slug", F.lit(".pdf")).alias("file_name"), V.sale_month("document_slug").alias("posted_date"))
+
+
 def links(html: Column | str, pattern: str) -> Column:
     """Distinct link targets of a page that match; a page without one has none."""
     found = F.regexp_extract_all(T._col(html), F.lit(r'(?i)href="([^"]*)"'), F.lit(1))

@@ -15,8 +15,17 @@ def csv_line(columns: list[str]) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header and CRLF line ends; every part has the header."""
-    df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\n").csv(path)
+    """CSV files of `csv_line` rows with CRLF line ends; every part begins with the header."""
+    header = ",".join(df.columns)
+
+    def headed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, ["value"])
+
+    df.select(csv_line(df.columns).alias("value")).mapInArrow(headed, "value string").write.option("lineSep", "\r\n").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
