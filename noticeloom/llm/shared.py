@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ MASK63 = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. A local session without one, as in tests, gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="noticeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -36,7 +39,6 @@ def small_batches(df: DataFrame) -> DataFrame:
 def give_back() -> None:
     """At a task's start: memory that earlier tasks of this Python worker freed goes back to the system."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
@@ -53,7 +55,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noticeloom/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def let_go(spark: SparkSession) -> None:
+    """Plans that nothing holds any more go now, and Spark's cleaner removes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove what `staged` wrote for `tables`, for when all that was made of them is itself written.
+
+    Nothing is then computed from them again, whichever executors are lost.
+    """
+    spark = tables[0].sparkSession
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    let_go(spark)
 
 
 def text_bytes(column) -> list:
@@ -76,30 +98,24 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     when no label changed. Labels and edges stay distributed; one count per round reaches
     the driver. An empty edge table gives an empty result.
     """
-    both = staged(
-        edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        .where("u <> v").distinct(),
-        f"{name}-edges",
-    )
+    ends = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = staged(ends.where("u <> v").distinct(), f"{name}-edges")
     labels = staged(both.groupBy(F.col("u").alias("id")).agg(F.least("id", F.min("v")).alias("component")), f"{name}-0")
     rounds = 0
     while True:
         rounds += 1
-        near = (
-            both.join(labels.withColumnRenamed("id", "v"), "v")
-            .groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        )
-        better = labels.join(near, "id", "left").select(
-            "id", F.col("component").alias("was"), F.least("component", "near").alias("mid")
-        )
+        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
+        better = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("next"))
         moved = staged(
-            better.join(jump, "mid", "left").select(
-                "id", "was", F.least("mid", F.coalesce("next", "mid")).alias("component")
-            ),
+            better.join(jump, "mid", "left").select("id", "was", F.least("mid", F.coalesce("next", "mid")).alias("component")),
             f"{name}-{rounds}",
         )
+        del near, better, jump
         changed = moved.where("was <> component").limit(1).count()
+        unstage(labels)
         labels = moved.select("id", "component")
+        labels.staged_at = moved.staged_at
         if not changed:
+            unstage(both)
             return labels

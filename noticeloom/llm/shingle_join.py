@@ -1,13 +1,14 @@
 """Documents whose word shingles have a Jaccard similarity of at least num / den: an exact join.
 
 Equal sets meet first and count once. Of every other set the rarest shingles are its prefix:
-as many as it may lack in a partner, and one more, so linked sets share one. Sets that share
-a prefix shingle and whose sizes allow a link form a tile. A pair of a tile survives if the
-bits of hashed bitmaps, one per set, allow enough common shingles; survivors are
-decided by intersecting the sorted shingle arrays. No step loses a link.
-
-Tiles do not emit all their pairs: first each set meets the tile's smallest one only, then
-those sets meet whose components still differ.
+as many as it may lack in a partner, and one more, so linked sets share one. Sizes fall into
+bands so wide that linked sets lie in one band or in neighbours; a shingle and a band name a
+tile, and a set stands in the tiles of its band and of the next, so unequal sizes never meet.
+A pair of a tile survives if the bits of hashed bitmaps, one per set, allow enough common
+shingles; survivors are decided by intersecting the sorted shingle arrays. No step loses a link.
+
+Tiles do not emit all their pairs: first each set meets the tile's head only, and of these the one that it shares most tiles with before the others; then those sets meet whose
+components still differ.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, give_back, small_batches, staged, text_bytes
+from .shared import connected_components, give_back, small_batches, staged, text_bytes, unstage
 
 #: Bits of a set's bitmap: twice its size to the next power of two, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 1 << 15
@@ -213,7 +214,28 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     joined = left.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-    return staged(joined.select("a", "b", "x", "y").mapInArrow(decided, "u long, v long"), f"{name}-links")
+    links = staged(joined.select("a", "b", "x", "y").mapInArrow(decided, "u long, v long"), f"{name}-links")
+    del joined, ends
+    unstage(left, members, sets)
+    return links
+
+
+def banded(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of `tiles` (key, rep, size) in the band of their size and in the next one, as column band.
+
+    Band k holds the sizes from (den / num)^k on, so a size and one that it may link with are in
+    one band or in neighbours, and stand together in the upper one of their bands.
+    """
+    # Sizes at a band's very edge must not fall on either side of it by rounding. Only equal sizes link where num = den.
+    band = F.floor(F.log("size") / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int") if num < den else F.col("size").cast("int")
+    return tiles.withColumn("band", F.explode(F.array(band, band + 1)))
+
+
+def outside(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) that are in different components."""
+    for k in "ab":
+        pairs = pairs.join(found.select(F.col("id").alias(k), F.col("component").alias(f"component_{k}")), k, "left")
+    return pairs.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
 
 
 def sizes_allow(a: Column, b: Column, num: int, den: int) -> Column:
@@ -235,7 +257,7 @@ def met_in_blocks(tiles: DataFrame, reps: DataFrame, num: int, den: int, block:
     own = F.pmod(F.xxhash64("rep"), cut).cast("int")
     told = tiles.join(reps.select("rep", "bits"), "rep").withColumn("own", own)
     met = told.withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "size", "component", "bits"
+        "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "size", "component", "bits"
     )
 
     def run(table):
@@ -258,7 +280,7 @@ def met_in_blocks(tiles: DataFrame, reps: DataFrame, num: int, den: int, block:
         a, b = zip(*pairs) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return met.groupBy("key", "band", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block: int = TILE, by_text: bool = False) -> DataFrame:
@@ -278,32 +300,53 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     # Sets are numbered, as an id can stand on several; a set's smallest id and that row's text represent it.
     least = full.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("n_shingles").alias("size"))
     names = staged(least.select("set_hi", "set_lo", "least.*", "size").withColumn("rep", F.monotonically_increasing_id()), "shingle-reps")
-    sent = full.where("bits is not null").select("set_hi", "set_lo", "bits", "prefix")
-    reps = staged(sent.select("set_hi", "set_lo", "bits").groupBy("set_hi", "set_lo").agg(F.first("bits").alias("bits")).join(names, ["set_hi", "set_lo"]).select("rep", "doc_id", "text_key", "size", "bits"), "shingle-bits")
-    # Tiles: shingles in the prefixes of two sets at least. A shingle's count is added up before it is shuffled.
-    keys = sent.select("set_hi", "set_lo", F.explode("prefix").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    tiles = staged(keys.join(shared, "key").join(names, ["set_hi", "set_lo"]).select("key", "rep", "size", "members"), "tiles")
-    # First every set meets its tile's smallest representative of a size that allows a link.
-    least = tiles.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("least"))
-    stars = tiles.join(least, "key").where(F.col("rep") != F.col("least.rep")).where(sizes_allow(F.col("size"), F.col("least.size"), num, den))
-    first = staged(stars.select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
-    links = linked(first, reps, rows, n, num, den, "star")
+    sent = full.where("bits is not null").join(names.select("set_hi", "set_lo", "rep", "size"), ["set_hi", "set_lo"])
+    sent = staged(sent.select("rep", "size", "bits", "prefix"), "shingle-prefixes")
+    told = staged(sets.select("doc_id", "text_key", "n_shingles", "set_hi", "set_lo"), "shingle-rows")
+    del full, least
+    unstage(sets)
+    reps = staged(sent.groupBy("rep").agg(F.first("bits").alias("bits")).join(names, "rep").select("rep", "doc_id", "text_key", "size", "bits"), "shingle-bits")
+    # Shingles in the prefixes of two sets at least. Tasks may send a set twice, so least and most are told apart, not counted.
+    keys = sent.select(F.explode("prefix").alias("key"), "rep", "size")
+    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
+    tiles = staged(keys.join(shared, "key"), "tiles")
+    del keys, shared
+    unstage(sent)
+    # First every set meets its tile's head, if their sizes allow a link: the set that most others share shingles with, as a
+    # text does of which many edited copies stand around; copies of it may be too far from each other to link.
+    weight = tiles.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    tile = banded(tiles.join(weight, "rep"), num, den)
+    heads = tile.groupBy("key", "band").agg(F.max(F.struct("shared", "rep", "size")).alias("head"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    stars = tile.join(heads, ["key", "band"]).where(F.col("rep") != F.col("head.rep")).where(sizes_allow(F.col("size"), F.col("head.size"), num, den))
+    first = staged(stars.groupBy(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b"), F.col("rep").alias("of")).agg(F.count(F.lit(1)).alias("n")), "star-pairs")
+    best = staged(first.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*").distinct(), "best-stars")
+    links = linked(best, reps, rows, n, num, den, "star")
     found = connected_components(links, "star-components")
+    apart = staged(outside(first.select("a", "b").distinct(), found).join(best, ["a", "b"], "left_anti"), "other-stars")
+    links = links.union(linked(apart, reps, rows, n, num, den, "other"))
+    unstage(found, best, apart)
+    found = connected_components(links, "other-components")
     # Then sets of one tile whose components differ.
-    told = tiles.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "size", "members", F.coalesce("component", "rep").alias("component"))
-    mixed = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_tiles = staged(told.join(mixed, "key"), "open-tiles")
-    one, two = (open_tiles.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "size", "component")), "members") for k in "ab")
+    own = banded(tiles.distinct(), num, den).join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = own.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("key", "band", "members")
+    open_tiles = staged(own.join(mixed, ["key", "band"]).select("key", "band", "rep", "size", "members", "component"), "open-tiles")
+    del tile, own, mixed, stars, heads, weight
+    unstage(tiles, found)
+    one, two = (open_tiles.select("key", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "size", "component")), "members") for k in "ab")
     short = F.col("members") <= block
-    across = one.where(short).join(two.where(short).drop("members"), "key").where("rep_a < rep_b and component_a <> component_b").where(sizes_allow(F.col("size_a"), F.col("size_b"), num, den))
+    across = one.where(short).join(two.where(short).drop("members"), ["key", "band"]).where("rep_a < rep_b and component_a <> component_b").where(sizes_allow(F.col("size_a"), F.col("size_b"), num, den))
     candidates = across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).union(met_in_blocks(open_tiles.where(~short), reps, num, den, block))
-    second = staged(candidates.distinct().join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    second = staged(candidates.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
+    del one, two, across, candidates
+    unstage(open_tiles, first)
     more = linked(second, reps, rows, n, num, den, "cross")
-    final = connected_components(links.union(more), "components").withColumnRenamed("id", "rep")
-    by_set = names.join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    final = connected_components(links.union(more), "components")
+    by_set = names.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     label = by_set.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("label"))
-    named = sets.join(by_set.join(label, "component").select("set_hi", "set_lo", "label"), ["set_hi", "set_lo"], "left")
+    by_set = staged(by_set.join(label, "component").select("set_hi", "set_lo", "label"), "shingle-labels")
+    del label
+    unstage(second, reps, more, names, final)
+    named = told.join(by_set, ["set_hi", "set_lo"], "left")
     stays = F.col("doc_id").isNull() | F.col("label").isNull() | (F.col("label") == F.struct("doc_id", "text_key"))
     out = named.withColumn("stays", stays).withColumn("component_id", F.coalesce("label.doc_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", *(("text_key", "stays") if by_text else ()))
