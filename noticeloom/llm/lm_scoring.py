@@ -1,11 +1,12 @@
 """Language-model scores of whole texts by a weighted backoff automaton.
 
-Smoothed n-grams are arcs between states, the contexts; an arc carries log10 of the
-discounted estimate, and a state without an arc for the next word takes its failure arc to
-the shorter context. A text is walked once from left to right.
+States are contexts that were seen in training, arcs smoothed n-grams: an arc carries log10 of
+its word's probability after the state. A state without an arc for the next word has a failure
+arc to the shorter context, which carries log10 of the mass that is left for unseen words. A
+text is walked once from left to right; the walk carries a state and adds up what arcs carry.
 
-No machine holds the model. Documents go into shards of about SHARD_TOKENS tokens, each with
-the part of the automaton that its own n-grams reach: shards send their distinct n-grams
+No machine holds the whole automaton. Documents go into shards of about SHARD_TOKENS tokens, and
+each builds the states and arcs that its own texts can reach: shards send their distinct n-grams
 with counts to hash buckets, buckets add them up, and totals come back in the order asked.
 N-grams travel as 64-bit hashes; a count is wrong only if two of them collide.
 """
@@ -15,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged, text_bytes
+from .shared import let_go, small_batches, staged, text_bytes
 
 SHARD_TOKENS = 2_000_000
 #: Tokens of the corpus for each bucket that adds up counts.
 BUCKET_TOKENS = 1_000_000
 #: Longest n-gram. More orders repeat one exchange of counts each.
 ORDER = 3
+#: Tokens that are walked in one go; the pieces of a shard's texts are walked side by side.
+PIECE = 256
 
 SHARDS = "shard long, doc_ids array<long>, trained array<boolean>, lengths array<int>, tokens binary, words binary"
 ASK = "bucket int, shard long, keys binary, counts binary"
@@ -136,6 +139,19 @@ def _keys(planes: bytes):
     return np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _small(numbers) -> bytes:
+    """Numbers below 2^32, byte by byte: most are small, so most bytes are zeros in a row."""
+    import numpy as np
+
+    return np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def _cuts(keys, buckets: int):
     """Where each bucket's keys begin: a bucket is a range of hashes."""
     import numpy as np
@@ -150,7 +166,7 @@ def _asked(shard: int, keys, counts, buckets: int):
 
     cut = _cuts(keys, buckets)
     full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    cells = [[b for b in full], [shard] * len(full), [_planes(keys[cut[b] : cut[b + 1]]) for b in full], [counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in full]]
+    cells = [[b for b in full], [shard] * len(full), [_planes(keys[cut[b] : cut[b + 1]]) for b in full], [_small(counts[cut[b] : cut[b + 1]]) for b in full]]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "shard", "keys", "counts"])
 
 
@@ -168,7 +184,7 @@ def _add_up(asked: DataFrame, name: str) -> DataFrame:
 
         rows = table.to_pylist()
         keys = [_keys(r["keys"]) for r in rows]
-        counts = [np.frombuffer(r["counts"], np.uint32).astype(np.int64) for r in rows]
+        counts = [_numbers(r["counts"]) for r in rows]
         every, own = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.concatenate(counts)
         total = np.bincount(own, n, len(every)).astype(np.int64)
@@ -183,7 +199,7 @@ def _add_up(asked: DataFrame, name: str) -> DataFrame:
         return pa.Table.from_arrays(
             [
                 pa.array([-1, *(r["shard"] for r in rows)], pa.int64()), pa.array([name] * (len(rows) + 1)), pa.array([bucket] * (len(rows) + 1), pa.int32()),
-                pa.array([sums.tobytes(), *(x.astype(np.uint32).tobytes() for x in np.split(total[own], ends))], pa.binary()),
+                pa.array([sums.tobytes(), *(_small(x) for x in np.split(total[own], ends))], pa.binary()),
                 pa.array([b"", *(np.packbits(x).tobytes() for x in np.split(first, ends))], pa.binary()),
             ],
             ["shard", "table", "bucket", "totals", "first"],
@@ -205,9 +221,120 @@ def _answered(rows: list[dict], name: str):
     import numpy as np
 
     own = sorted((r for r in rows if r["table"] == name), key=lambda r: r["bucket"])
-    totals = [np.frombuffer(r["totals"], np.uint32) for r in own]
+    totals = [_numbers(r["totals"]) for r in own]
     first = [np.unpackbits(np.frombuffer(r["first"], np.uint8), count=len(t)) for r, t in zip(own, totals)]
-    return (np.concatenate(totals).astype(np.int64), np.concatenate(first).astype(bool)) if own else (np.zeros(0, np.int64), np.zeros(0, bool))
+    return (np.concatenate(totals), np.concatenate(first).astype(bool)) if own else (np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+class Automaton:
+    """States, arcs and failure arcs. State 0 is the empty context; it has an arc for every known word, and others cost `unknown`.
+
+    `arc` is sorted: state << 32 | word. `weight` and `then` are an arc's log10 probability and next state; `fail` and
+    `fail_weight` lead from a state to the shorter one; `start` is the state before a text.
+    """
+
+    def __init__(self, arc, weight, then, fail, fail_weight, unknown: float, start: int):
+        import numpy as np
+
+        order = np.argsort(arc)
+        self.arc, self.weight, self.then = np.append(arc[order], np.iinfo(np.int64).max), np.append(weight[order], 0.0), np.append(then[order], 0)
+        self.fail, self.fail_weight, self.unknown, self.start = fail, fail_weight, unknown, start
+
+    def step(self, state, word):
+        """Next states and log10 probabilities of words after states."""
+        import numpy as np
+
+        told, then = np.zeros(len(word)), np.zeros(len(word), np.int64)
+        todo, state = np.arange(len(word)), state.copy()
+        while len(todo):
+            own = state[todo]
+            key = (own << 32) | word[todo]
+            at = np.searchsorted(self.arc, key)
+            hit = self.arc[at] == key
+            done = todo[hit]
+            told[done] += self.weight[at[hit]]
+            then[done] = self.then[at[hit]]
+            root = ~hit & (own == 0)
+            told[todo[root]] += self.unknown
+            todo, own = todo[~hit & ~root], own[~hit & ~root]
+            told[todo] += self.fail_weight[own]
+            state[todo] = self.fail[own]
+        return then, told
+
+    def walk(self, tokens, starts, lengths, warm: int, piece: int = PIECE):
+        """log10 probability of every token. Texts are cut into pieces that are walked side by side.
+
+        A state holds at most `warm` words, so a piece within a text finds its first state by walking the `warm` words before it.
+        """
+        import numpy as np
+
+        told = np.zeros(len(tokens))
+        pieces = -(-lengths // piece)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(starts, pieces) + nth * piece
+        end = np.minimum(begin + piece, np.repeat(starts + lengths, pieces))
+        back = np.where(nth > 0, warm, 0)
+        longest = np.argsort(begin - back - end, kind="stable")
+        begin, end, back, first = begin[longest], end[longest], back[longest], nth[longest] == 0
+        at, state = begin - back, np.where(first, self.start, 0)
+        size = end - at
+        for k in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -k, "left"))  # pieces stand in order of size
+            here = at[:live] + k
+            state[:live], gained = self.step(state[:live], tokens[here])
+            scored = here >= begin[:live]
+            told[here[scored]] = gained[scored]
+        return told
+
+
+def automaton(corpus: Corpus, counts: dict, after: dict, discount: dict, n_train: int, n_words: int, order: int) -> Automaton:
+    """A shard's automaton. `counts[n]` are totals of its sorted distinct n-grams, `after[n]` the distinct words after its contexts.
+
+    Smoothing is absolute discounting interpolated down to the base estimate; an n-gram's arc holds the interpolated share.
+    """
+    import numpy as np
+
+    _, own = np.unique(corpus.keys(1)[0], return_inverse=True)
+    seen = counts[1][own]
+    share = (seen + 0.5) / (n_train + 0.5 * (n_words + 1))
+    words = corpus.tokens.astype(np.int64)
+    ends = int(seen[corpus.starts[0] + corpus.lengths[0] - 1])
+    inside, last = corpus.inside > 0, np.zeros(len(words), bool)
+    last[corpus.starts + corpus.lengths - 1] = True
+    state = np.zeros(len(words), np.int64)  # at every token the context of n - 1 words, where it was seen
+    arcs, weights, first, fails, fail_weights, n_states = [], [], [], [np.zeros(1, np.int64)], [np.zeros(1)], 1
+    nexts, known, entered = [], seen, np.full(len(words), n_train)
+    at_start = [0]
+    for n in range(1, order + 1):
+        if n > 1:
+            key, context = corpus.keys(n)
+            _, own = np.unique(key, return_inverse=True)
+            # A context was left as often as it was entered: that is its own count; texts' starts count as ends.
+            entered = np.where(inside, np.roll(known, 1), ends)
+            known = counts[n][own]
+            contexts, at, which = np.unique(context, return_index=True, return_inverse=True)
+            left = np.maximum(entered[at], 1)
+            mass = np.where(entered[at] > 0, discount[n] * after[n] / left, 1.0)
+            share = np.where(known > 0, np.maximum(known - discount[n], 0) / left[which], 0.0) + mass[which] * share
+            real = entered[at] > 0
+            number = np.cumsum(real) - 1 + n_states
+            fails.append(state[at[real]])
+            fail_weights.append(np.log10(mass[real]))
+            longer = np.where(real[which], number[which], -1)
+            n_states += int(real.sum())
+            nexts.append(np.where(last, 0, np.roll(longer, -1)))
+            state = longer
+            at_start.append(int(longer[corpus.starts[0]]))
+        _, one = np.unique(own, return_index=True)
+        one = one[(known[one] > 0) & (state[one] >= 0)]
+        arcs.append((state[one] << 32) | words[one])
+        weights.append(np.log10(share[one]))
+        first.append(one)
+    # After an arc of n words the context has them all, or the last order - 1.
+    then = [nexts[min(n, len(nexts) - 1)][one] if nexts else np.zeros(len(one), np.int64) for n, one in enumerate(first)]
+    start = next((x for x in reversed(at_start) if x >= 0), 0)
+    unknown = float(np.log10(0.5 / (n_train + 0.5 * (n_words + 1))))
+    return Automaton(np.concatenate(arcs), np.concatenate(weights), np.maximum(np.concatenate(then), 0), np.concatenate(fails), np.concatenate(fail_weights), unknown, start)
 
 
 def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,9 +343,8 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
     Columns: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score. Null and
     empty texts are their end alone. Repeated rows count and score each; null ids stay null;
     an empty table gives no rows, and without training rows every word has the share of an
-    unknown one. Smoothing is absolute discounting (n1 / (n1 + 2 n2) at each order),
-    interpolated down to the base estimate, so the words after a context and one unknown
-    word have probabilities that sum to 1.
+    unknown one. Smoothing is absolute discounting (n1 / (n1 + 2 n2) at each order), so the words
+    after a context and one unknown word have probabilities that sum to 1.
     """
     shards = shard_tokens(docs, trained, id_col, text_col)
     size = shards.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
@@ -259,9 +385,11 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
     for n in range(1, order + 1):
         answers.append(_add_up(shards.mapInArrow(count(n), ASK), f"count{n}"))
         stats[n] = _sums(answers[-1])
+        let_go(docs.sparkSession)
         if n > 1:
             asked = shards.groupBy("shard").cogroup(answers[-1].where("shard >= 0").groupBy("shard")).applyInArrow(distinct_after(n), ASK)
             answers.append(_add_up(asked, f"after{n}"))
+            let_go(docs.sparkSession)
     discount = {n: min(0.95, max(0.1, stats[n][2] / max(1, stats[n][2] + 2 * stats[n][3]))) for n in range(2, order + 1)}
     n_train, n_words = stats[1][0], stats[1][1]
 
@@ -278,26 +406,9 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
             share = (seen + 0.5) / (n_train + 0.5 * (n_words + 1))
             base = np.add.reduceat(np.log10(share), corpus.starts)
             known = np.add.reduceat((seen > 0).astype(np.int64), corpus.starts)
-            # Arcs and failure arcs of this shard's part of the automaton, order by order, laid along the walk.
-            for n in range(2, order + 1):
-                key, context = corpus.keys(n)
-                _, own = np.unique(key, return_inverse=True)
-                arcs = _answered(answered, f"count{n}")[0][own]
-                states, at, state = np.unique(context, return_index=True, return_inverse=True)
-                after = _answered(answered, f"after{n}")[0]
-                # A context was left as often as it was entered; that is its own count, and texts' starts count as ends.
-                if n == 2:
-                    entered = np.where(corpus.inside > 0, np.roll(seen, 1), 0)
-                    ends = seen[corpus.starts[0] + corpus.lengths[0] - 1]
-                    entered[corpus.starts] = ends
-                else:
-                    entered = np.where(corpus.inside > 0, np.roll(lower, 1), lower_start)
-                left_state = np.maximum(entered[at], 1)
-                failure = np.where(entered[at] > 0, discount[n] * after / left_state, 1.0)[state]
-                straight = np.where(arcs > 0, np.maximum(arcs - discount[n], 0) / left_state[state], 0.0)
-                share = straight + failure * share
-                lower, lower_start = arcs, ends
-            score = np.add.reduceat(np.log10(share), corpus.starts)
+            tables = {n: _answered(answered, f"count{n}")[0] for n in range(1, order + 1)}
+            model = automaton(corpus, tables, {n: _answered(answered, f"after{n}")[0] for n in range(2, order + 1)}, discount, n_train, n_words, order)
+            score = np.add.reduceat(model.walk(corpus.tokens.astype(np.int64), corpus.starts, corpus.lengths, order - 1), corpus.starts)
             out.append(pa.table({
                 "doc_id": pa.array(row["doc_ids"], pa.int64()), "trained": pa.array(row["trained"], pa.bool_()), "n_tokens": corpus.lengths,
                 "n_known": known, "train_tokens": np.full(len(base), n_train), "base_score": base, "score": score,

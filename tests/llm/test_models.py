@@ -60,6 +60,30 @@ def test_lm_is_the_formula(spark, order):
         assert sum(p((*h, w)) for w in seen) + p((*h, "\1")) == pytest.approx(1.0, abs=1e-9)
 
 
+def test_walk_backs_off_where_an_arc_lacks_and_pieces_are_the_whole():
+    """States: 0 nothing, 1 after word 5, 2 after words 5 6. Words 5, 6 and 7 are known alone, 6 after 5, 7 after 5 6."""
+    import numpy as np
+
+    arcs = {(0, 5): (-1.0, 1), (0, 6): (-2.0, 0), (0, 7): (-3.0, 0), (1, 6): (-0.1, 2), (2, 7): (-0.2, 0)}
+    model = lm_scoring.Automaton(
+        np.array([s << 32 | w for s, w in arcs]), np.array([w for w, _ in arcs.values()]), np.array([n for _, n in arcs.values()]), np.array([0, 0, 0]), np.array([0.0, -0.5, -0.25]), -9.0, 0
+    )
+    tokens = np.array([5, 6, 7, 5, 7, 6, 5, 6, 6, 8, 5, 6, 7])
+    want = [-1.0, -0.1, -0.2, -1.0, -0.5 - 3, -2.0, -1.0, -0.1, -0.25 - 2, -9.0, -1.0, -0.1, -0.2]
+    for piece in (2, 3, 5, 256):
+        assert model.walk(tokens, np.array([0, 3]), np.array([3, 10]), 2, piece).tolist() == pytest.approx(want)
+
+
+def test_lm_long_and_repeated_texts(spark):
+    rng = random.Random(4)
+    long_ = " ".join(rng.choice("a b c d".split()) for _ in range(30_000))
+    rows = [(1, long_, 0.0), (2, long_, 0.0), (2, long_, 0.0), (None, "a b", 0.0), (3, "a b", 0.0)]
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string, score double"), F.lit(True)).collect()
+    scores = {(r["doc_id"], round(r["score"], 6)) for r in got}
+    assert len(got) == 5 and len(scores) == 4 and len({s for i, s in scores if i in (1, 2)}) == 1 and len({s for i, s in scores if i in (None, 3)}) == 1
+    assert all(r["n_tokens"] == 30_001 for r in got if r["doc_id"] in (1, 2)) and all(r["score"] < 0 for r in got)
+
+
 def test_lm_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.score_texts(empty, F.lit(True)).count() == 0
