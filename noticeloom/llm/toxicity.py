@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers read a clause's words and mark insults, threats, targets, negations and
-reports. Their composition walks the clause once: a negation or report opens a state that
-turns the insults after it into negated or reported ones, a target next to an insult adds to
-it. What a clause weighs, by kind of path, is summed over the text; a logistic layer fitted on
-labelled rows turns the sums into a probability. The insult transducer's words and word
-beginnings, and their weights, are learned from labelled rows.
+Small transducers, tables of states and arcs, read a clause's words: one marks insults, one
+threats, one the words that a negation reaches, one those after a report, and two those near a
+target, of which one reads backwards. They are composed once, and the composition walks each
+clause once each way; the marks that a word gets from all of them tell the path on which its
+weight counts. What a text's clauses weigh, by kind of path, is summed; a logistic layer fitted on
+labelled rows turns the sums into a probability. The insults' words and word beginnings, and
+their weights, are learned from labelled rows.
 """
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,13 @@ SAMPLE_PER_CLASS = 6000
 SUPPORT, ODDS, PATTERNS = 6, 2.5, 20_000
 #: Kinds of paths that the logistic layer weighs, after its constant.
 PATHS = ("plain", "targeted", "negated", "reported", "threat", "clauses", "heaviest")
-NEGATION_REACH = 3
+#: Words after a negation that it turns, and words on either side at which a target is near.
+NEGATION_REACH, NEAR = 3, 3
+#: Kinds of words, as bits of the symbol that transducers read; a word may be of several.
+INSULT, THREAT, TARGET, NEGATION, REPORT = (1 << k for k in range(5))
+SYMBOLS = 1 << 5
+#: Marks that transducers write.
+INSULTING, THREATENING, NEGATED, REPORTED, AIMED = (1 << k for k in range(5))
 EDGE = "\"'()[]{}<>|*_~`.,;:!?…«»“”‘’-–—"
 ENDS = (".", "!", "?", ";", ":", "…")
 
@@ -46,63 +56,119 @@ def split_words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """`then[state, symbol]` is the next state and `marks[state, symbol]` what the arc writes, as bits. State 0 begins a clause."""
+
+    then: object
+    marks: object
+
+    def composed(self, other: Transducer) -> Transducer:
+        """Both side by side on the same words: states are pairs, marks are those of either."""
+        import numpy as np
+
+        n, m = len(self.then), len(other.then)
+        then = self.then[:, None] * m + other.then[None]
+        return Transducer(then.reshape(n * m, SYMBOLS), np.bitwise_or(self.marks[:, None], other.marks[None]).reshape(n * m, SYMBOLS))
+
+
+def marking(kind: int, mark: int) -> Transducer:
+    """Marks words of a kind."""
+    import numpy as np
+
+    symbols = np.arange(SYMBOLS)
+    return Transducer(np.zeros((1, SYMBOLS), np.int64), np.where(symbols & kind, mark, 0)[None])
+
+
+def reaching(kind: int, mark: int, reach: int | None) -> Transducer:
+    """Marks words of a kind and the `reach` words after each, or all after it. The state is how many are still to be marked."""
+    import numpy as np
+
+    symbols, most = np.arange(SYMBOLS), reach or 1
+    states = np.arange(most + 1)[:, None]
+    passed = np.maximum(states - 1, 0) if reach else states
+    hit = (symbols & kind) > 0
+    return Transducer(np.where(hit, most, passed), np.where(hit | (states > 0), mark, 0))
+
+
+@functools.cache
+def grammar() -> tuple[Transducer, Transducer]:
+    """The composition that reads a clause forwards, and the one that reads it backwards, as lists."""
+    parts = [marking(INSULT, INSULTING), marking(THREAT, THREATENING), reaching(NEGATION, NEGATED, NEGATION_REACH), reaching(REPORT, REPORTED, None), reaching(TARGET, AIMED, NEAR)]
+    listed = lambda t: Transducer(t.then.tolist(), t.marks.tolist())
+    return listed(functools.reduce(Transducer.composed, parts)), listed(reaching(TARGET, AIMED, NEAR))
+
+
+def transduce(machine: Transducer, places: list[int], symbols: list[int]) -> list[int]:
+    """Marks of the telling words of a clause, which stand at `places`; the words between are of no kind (symbol 0)."""
+    then, marks = machine.then, machine.marks
+    state, before, out = 0, None, []
+    for place, symbol in zip(places, symbols):
+        # Reaches are short: after so many plain words the state stands still.
+        for _ in range(min(place - before - 1, max(NEGATION_REACH, NEAR)) if before is not None else 0):
+            state = then[state][0]
+        out.append(marks[state][symbol])
+        state, before = then[state][symbol], place
+    return out
+
+
 class WordCodes(Lexicon):
-    """Per word: insult weight, threat, target, negation, report, clause end."""
+    """Per word: insult weight, symbol, clause end."""
 
     def __init__(self, insults: dict[str, float]):
         import numpy as np
 
-        kinds = [frozenset(x) for x in (THREATS, TARGETS, NEGATIONS, REPORTS)]
-        self.codes = Rows(6)
+        kinds = [(THREAT, frozenset(THREATS)), (TARGET, frozenset(TARGETS)), (NEGATION, frozenset(NEGATIONS)), (REPORT, frozenset(REPORTS))]
+        self.codes = Rows(3)
 
         def code(word: str) -> list[float]:
             bare = word.strip(EDGE)
             weight = max((insults.get(p, 0.0) for p in patterns_of(bare)), default=0.0) if bare else 0.0
-            return [weight, *(float(bare in k) for k in kinds), float(word.endswith(ENDS))]
+            return [weight, float((weight > 0) * INSULT + sum(k for k, words in kinds if bare in words)), float(word.endswith(ENDS))]
 
         def new(words):
-            self.codes.add(np.array([code(w) for w in words]).reshape(-1, 6))
+            self.codes.add(np.array([code(w) for w in words]).reshape(-1, 3))
 
         def reset():
-            self.codes = Rows(6)
+            self.codes = Rows(3)
 
         super().__init__(new, reset)
 
 
 def score_clauses(codes) -> list[float]:
-    """Run the composed transducers over a text's word codes; the sums of PATHS."""
+    """Walk a text's clauses with the composed transducers; the sums of PATHS.
+
+    An insult weighs its learned weight, a threat near a target weighs 1. What a negation reaches counts as negated, what follows
+    a report as reported, all else as plain or threat, and as targeted near a target.
+    """
     import numpy as np
 
     out = dict.fromkeys(PATHS, 0.0)
-    hits = np.flatnonzero((codes[:, 0] > 0) | (codes[:, 1] > 0))
+    symbols = codes[:, 1].astype(np.int64)
+    hits = np.flatnonzero(symbols & (INSULT | THREAT))
     if not len(hits):
         return [0.0] * len(PATHS)
-    ends = np.flatnonzero(codes[:, 5])
+    forwards, backwards = grammar()
+    ends = np.flatnonzero(codes[:, 2])
     for clause in np.unique(np.searchsorted(ends, hits)).tolist():
         first = int(ends[clause - 1]) + 1 if clause else 0
         last = int(ends[clause]) + 1 if clause < len(ends) else len(codes)
-        negated, reported, weight = -NEGATION_REACH - 1, False, 0.0
-        part = codes[first:last]
-        for k in np.flatnonzero(part[:, :5].any(1)).tolist():
-            insult, threat, _, negation, report, _ = part[k]
-            if negation:
-                negated = k
-            if report:
-                reported = True
-            if not insult and not threat:
+        places = np.flatnonzero(symbols[first:last])
+        own, at = symbols[first + places].tolist(), places.tolist()
+        ahead = transduce(forwards, at, own)
+        behind = transduce(backwards, [-p for p in reversed(at)], own[::-1])[::-1]
+        weight = 0.0
+        for place, mark in zip(at, (a | b for a, b in zip(ahead, behind))):
+            threat = 1.0 if mark & THREATENING and mark & AIMED else 0.0
+            insult = float(codes[first + place, 0]) if mark & INSULTING else 0.0
+            if mark & (NEGATED | REPORTED):
+                out["negated" if mark & NEGATED else "reported"] += insult + threat
                 continue
-            near = part[max(0, k - 3) : k + 4, 2].any()
-            if k - negated <= NEGATION_REACH:
-                out["negated"] += insult
-            elif reported:
-                out["reported"] += insult
-            else:
-                out["plain"] += insult
-                weight += insult
-                if near:
-                    out["targeted"] += insult
-            if threat and near:
-                out["threat"] += 1.0
+            out["plain"] += insult
+            out["threat"] += threat
+            weight += insult
+            if mark & AIMED:
+                out["targeted"] += insult
         out["clauses"] += weight > 0
         out["heaviest"] = max(out["heaviest"], weight)
     return [float(out[p]) for p in PATHS]

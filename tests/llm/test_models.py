@@ -124,6 +124,9 @@ def test_toxicity_held_out(spark):
     said = spark.createDataFrame([(1, "you are an idiot and scum."), (2, "a fine day."), (3, "she is not stupid.")], "doc_id long, text string")
     assert [r["predicted"] for r in toxicity.score(said, alone).orderBy("doc_id").collect()] == [1, 0, 0]
     assert toxicity.score(df.limit(0), model).count() == 0
+    same = spark.createDataFrame([(1, rows[0][1], "own"), (1, rows[0][1], "own"), (2, " ".join([rows[0][1]] * 800), None)], "doc_id long, text string, score string")
+    told = toxicity.score(same, model, keep=["doc_id", "text"]).collect()
+    assert len(told) == 3 and len({(r["doc_id"], r["score"]) for r in told}) == 2 and all(r["predicted"] == 1 for r in told)
 
 
 def test_grammar_paths():
@@ -138,9 +141,33 @@ def test_grammar_paths():
     assert paths("You idiot!")["targeted"] == 2.0 and paths("fine words.")["clauses"] == 0
     assert paths("he is not an idiot.")["negated"] == 2.0 and paths("not me. an idiot.")["plain"] == 2.0
     assert paths("she said: idiot")["plain"] == 2.0 and paths("she said idiot")["reported"] == 2.0 and paths("I kill you.")["threat"] == 1.0
+    assert paths("I will not kill you.")["threat"] == 0 and paths("I will not kill you.")["negated"] == 1.0
+    assert paths("she said I kill you.")["threat"] == 0 and paths("she said I kill you.")["reported"] == 1.0
+    assert paths("not now. I kill you!")["threat"] == 1.0 and paths("I kill time.")["threat"] == 0
+    assert paths("you a b idiot")["targeted"] == 2.0 and paths("you a b c idiot")["targeted"] == 0 and paths("idiot a b you")["targeted"] == 2.0 and paths("idiot a b c you")["targeted"] == 0
+    assert paths("not a b idiot")["negated"] == 2.0 and paths("not a b c idiot")["negated"] == 0
     assert np.isfinite(list(paths("idiot " * 5000).values())).all()
 
 
+def test_composition_is_its_parts():
+    """Marks of the composed machine on random clauses, against each rule by brute force."""
+    rng = random.Random(17)
+    forwards, backwards = toxicity.grammar()
+    assert len(forwards.then) == 4 * 2 * 4
+    for _ in range(300):
+        words = [rng.choice([0, 0, 0, 1, 2, 4, 8, 16, 5, 9, 31]) for _ in range(rng.randint(1, 14))]
+        at = [k for k, w in enumerate(words) if w]
+        ahead = toxicity.transduce(forwards, at, [words[k] for k in at])
+        behind = toxicity.transduce(backwards, [-k for k in reversed(at)], [words[k] for k in reversed(at)])[::-1]
+        for k, got in zip(at, (a | b for a, b in zip(ahead, behind))):
+            near = lambda bit, lo, hi: any(w & bit for w in words[max(0, k - lo) : k + hi + 1])  # noqa: B023, E731
+            want = (
+                (words[k] & toxicity.INSULT and toxicity.INSULTING) | (words[k] & toxicity.THREAT and toxicity.THREATENING) | (near(toxicity.NEGATION, 3, 0) and toxicity.NEGATED)
+                | (near(toxicity.REPORT, 99, 0) and toxicity.REPORTED) | (near(toxicity.TARGET, 3, 3) and toxicity.AIMED)
+            )
+            assert got == want
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(13)
     rows = [(i, prose(rng, "xx" if i % 3 else "yy", rng.choice([10, 50]))) for i in range(400)]
