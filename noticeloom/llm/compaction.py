@@ -75,7 +75,7 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
 def append(df: DataFrame, root: str) -> int:
     """Add rows as small shards, one a task, and commit. Returns the version.
 
-    Rows are not moved between tasks. No rows make no shard; the version still counts.
+    Rows are not moved between tasks. No rows make no shard; the version still counts, and tells the columns.
     """
     spark = df.sparkSession
     known = versions(spark, root)
@@ -111,31 +111,50 @@ def plan(shards: DataFrame, target: int = TARGET_BYTES, fanout: int = FANOUT) ->
 def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int:
     """Merge what `plan` says into one file a bin and commit; returns the newest version.
 
-    Rows go to their bin once; a bin is bounded by the target and the largest small shard.
-    Without anything to merge the version stays. Superseded files stay for older readers.
+    Rows go to their bin once, each bin to a task of its own; a bin is bounded by the target and the largest small shard.
+    Without anything to merge the version stays. Superseded files stay for older readers. Nulls, repeated rows and columns of
+    any name stay as they are.
     """
     known = versions(spark, root)
     if not known:
         raise ValueError(f"nothing is stored in {root}")
     live = manifest(spark, root, known[-1])
     chosen = f"{root}/plan/{uuid.uuid4().hex}"
-    plan(live, target, fanout).write.parquet(chosen)
+    planned = plan(live, target, fanout)
+    # One row for each future file: few enough to be numbered in one task.
+    numbers = planned.select("bin").distinct().withColumn("number", F.row_number().over(Window.orderBy("bin")) - 1)
+    planned.join(numbers, "bin").select("path", "bytes", "rows", F.col("number").alias("bin")).write.parquet(chosen)
     bins = spark.read.parquet(chosen)
-    sources = [r["path"] for r in bins.select("path").collect()]
-    if not sources:
+    n_bins = bins.agg(F.max("bin").alias("n")).first()["n"]
+    if n_bins is None:
         return known[-1]
     folder = f"{root}/data/g1-{uuid.uuid4().hex}"
-    n_bins = bins.select("bin").distinct().count()
-    rows = spark.read.parquet(*sources).withColumn("noticeloom_path", F.col("_metadata.file_path"))
-    placed = rows.join(bins.select(F.col("path").alias("noticeloom_path"), F.col("bin").alias("noticeloom_bin")), "noticeloom_path").drop("noticeloom_path")
-    placed.repartition(n_bins, "noticeloom_bin").write.option("compression", "zstd").partitionBy("noticeloom_bin").parquet(folder)
-    merged = _sizes(spark, folder).select("path", "bytes", "rows", tier_of(F.col("bytes"), target, fanout).alias("tier"), F.lit(1).alias("generation"))
+    path, number = (f"noticeloom_{kind}_{uuid.uuid4().hex}" for kind in ("path", "bin"))  # no column of the table has such a name
+    rows = _rows(spark, root, bins).withColumn(path, F.col("_metadata.file_path"))
+    placed = rows.join(bins.select(F.col("path").alias(path), F.col("bin").alias(number)), path).drop(path)
+    placed.repartitionById(n_bins + 1, number).drop(number).write.option("compression", "zstd").parquet(folder)
+    merged = _sizes(spark, folder).where("rows > 0").select("path", "bytes", "rows", tier_of(F.col("bytes"), target, fanout).alias("tier"), F.lit(1).alias("generation"))
     return commit(spark, root, live.join(bins.select("path"), "path", "left_anti").unionByName(merged), known[-1])
 
 
+def _rows(spark: SparkSession, root: str, shards: DataFrame) -> DataFrame:
+    """All rows of the folders that shards are in, one folder for each append or compaction; the driver sees folders, not shards."""
+    names = shards.select(F.regexp_extract("path", r"/data/(g\d+-[0-9a-f]+)/[^/]+\z", 1).alias("folder")).distinct().collect()
+    return spark.read.parquet(*(f"{root}/data/{r['folder']}" for r in names))
+
+
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """Rows of a version's live shards. Raises if it has none: then no shard tells the columns."""
-    return spark.read.parquet(*(r["path"] for r in manifest(spark, root, version).select("path").collect()))
+    """Rows of a version's live shards. Without any it has no rows, and the columns of the newest append that is still there."""
+    live = manifest(spark, root, version)
+    if live.limit(1).count():
+        path = f"noticeloom_path_{uuid.uuid4().hex}"
+        rows = _rows(spark, root, live).withColumn(path, F.col("_metadata.file_path"))
+        return rows.join(live.select(F.col("path").alias(path)), path, "left_semi").drop(path)
+    fs, data = _fs(spark, f"{root}/data")
+    folders = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(data)) if fs.exists(data) else []
+    if not folders:
+        raise ValueError(f"nothing is stored in {root}")
+    return spark.read.parquet(f"{root}/data/{folders[-1][1]}").limit(0)
 
 
 def expire(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
