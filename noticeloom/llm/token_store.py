@@ -21,8 +21,10 @@ MAGIC = b"RPS1"
 HEADER = "<4sHIIIQ"  # magic, bytes per symbol, documents, rules, symbols, ids
 #: Ids per shard; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: New rules in each round, and the least count that pays for a rule's 12 bytes.
-ROUNDS, LEAST = (6000, 5000, 4500), 8
+#: Uses that pay for a rule's 12 bytes, and how far below the most frequent pair a round goes.
+LEAST, FALL = 8, 4
+#: Slots that pairs hash to.
+SLOTS = 20
 
 STORED = "part int, shard int, offset long, n_docs int, n_ids long, first_id long, last_id long, body binary"
 READ = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
@@ -32,48 +34,65 @@ def re_pair(ids, last):
     """Replace frequent pairs in `ids` (unsigned 32-bit); `last` marks each document's last id.
 
     Returns symbols, their `last` marks, rules (left, right) and the first nonterminal.
-    No rule spans two documents. In `aaa` the left pair is taken.
+    No rule spans two documents. In `aaa` the left pair is taken. A round takes the pairs that are at least 1 / FALL
+    times as frequent as the most frequent one; rounds go on until no pair pays for its rule. While symbols fit 16
+    bits they take 2 bytes: beyond, pairs pay only if they save what wider symbols cost.
     """
     import numpy as np
 
-    base = int(ids.max()) + 1 if len(ids) else 1
-    # A pair is one number; where symbols fit 16 bits it is a short one, which sorts twice as fast.
-    word, half, factor = (np.uint32, 16, 0x9E3779B1) if base + sum(ROUNDS) < 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
-    none, down = np.iinfo(word).max, 2 * half - 20
-    seq, rules = ids.astype(np.uint32), []
-    for wanted in ROUNDS:
-        if len(seq) < 2:
-            break
+    base, made = int(ids.max()) + 1 if len(ids) else 1, 0
+    seq, rules, floor, widened = ids.astype(np.uint32), [], None, False
+    while len(seq) > 1:
+        narrow = base + made < 1 << 16
+        # A pair is one number; where symbols fit 16 bits it is a short one, which sorts twice as fast.
+        word, half, factor = (np.uint32, 16, 0x9E3779B1) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15)
+        down = word(2 * half - SLOTS)
         code = (seq[:-1].astype(word) << word(half)) | seq[1:].astype(word)
-        code[last[:-1]] = none
-        pairs, n = np.unique(code, return_counts=True)
-        keep = (n >= LEAST) & (pairs != none)
-        pairs, n = pairs[keep], n[keep]
-        if len(pairs) > wanted:
-            top = np.argpartition(n, len(n) - wanted)[-wanted:]
-            pairs = pairs[top]
-        if not len(pairs):
-            break
-        slot = (pairs * word(factor)) >> word(down)
-        table = np.full(1 << 20, -1, np.int32)
-        table[slot] = np.arange(len(pairs), dtype=np.int32)
-        pairs = pairs[won := table[slot] == np.arange(len(pairs))]  # of two in a slot one waits for the next round
-        table[slot[won]] = np.arange(len(pairs), dtype=np.int32)
-        rule = table[(code * word(factor)) >> word(down)]
-        hit = (rule >= 0) & (pairs[rule] == code)
-        at = np.flatnonzero(hit)
-        if len(at):  # of neighbouring hits every second one, from the left
-            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-        first = base + sum(len(r) for r in rules)
-        seq = seq.copy()
-        seq[at] = first + rule[at].astype(np.uint32)
-        last = last.copy()
+        slot = (code * word(factor)) >> down
+        inside = ~last[:-1]
+        met = np.bincount(slot[inside].astype(np.int64), minlength=1 << SLOTS)
+        # A slot has at least as many pairs as each pair in it has.
+        most = max(LEAST, -(-int(met.max()) // FALL)) if floor is None else floor
+        pairs, n = np.unique(code[inside & (met[slot] >= most)], return_counts=True)
+        pairs, n = pairs[n >= most], n[n >= most]
+        room = (1 << 16) - base - made
+        if narrow and len(pairs) > room:
+            top = np.sort(np.argsort(-n, kind="stable")[:room])
+            pairs, n = pairs[top], n[top]
+        if room == 0 and not widened:
+            if most > LEAST:
+                floor = LEAST  # all pairs that would pay are looked at
+                continue
+            if 4 * (len(seq) - int(n.sum())) + 12 * len(pairs) >= 2 * len(seq):
+                break
+            widened = True
+        if len(pairs):
+            own = (pairs * word(factor)) >> down
+            table = np.full(1 << SLOTS, -1, np.int32)
+            table[own] = np.arange(len(pairs), dtype=np.int32)  # of two in a slot one waits for the next round
+            rule = table[slot]
+            at = np.flatnonzero(inside & (rule >= 0) & (pairs[rule] == code))
+            if len(at):  # of neighbouring hits every second one, from the left
+                run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            pays = np.bincount(rule[at], minlength=len(pairs)) >= LEAST
+            at = at[pays[rule[at]]]
+        if not len(pairs) or not len(at):
+            if most == LEAST:
+                break
+            floor = max(LEAST, most // FALL)  # a slot of many pairs hid that none is so frequent
+            continue
+        floor = None
+        number = np.cumsum(pays) - 1 + base + made
+        seq, last = seq.copy(), last.copy()
+        seq[at] = number[rule[at]]
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
+        pairs = pairs[pays]
         rules.append(np.stack([pairs >> word(half), pairs & word((1 << half) - 1)], 1).astype(np.uint32))
+        made += len(pairs)
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), base
 
 

@@ -80,6 +80,24 @@ def test_shard_decodes_at_random():
         assert (shard.document(k) == ids).all() and (shard.document(k, a, b) == ids[a:b]).all()
 
 
+@pytest.mark.parametrize("top", [40, 65_500, 65_535, 70_000])
+def test_grammar_goes_on_until_no_pair_pays(top):
+    from collections import Counter
+
+    rng = np.random.default_rng(top)
+    phrases = [rng.integers(0, 40, rng.integers(2, 30)) for _ in range(60)]
+    docs = [np.concatenate([phrases[k] for k in rng.integers(0, 60, rng.integers(1, 60))]) for _ in range(80)] + [np.array([top]), np.full(500, 7)]
+    ids, last = np.concatenate(docs).astype(np.uint32), np.zeros(sum(map(len, docs)), bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    seq, ends, rules, base = token_store.re_pair(ids, last)
+    body = token_store.pack_shard(list(range(len(docs))), [d.astype("<u4").tobytes() for d in docs])
+    shard = token_store.Shard(body)
+    assert (shard.expand(shard.symbols) == ids).all() and base == top + 1 and (shard.sizes == token_store.expansion_lengths(rules, base)).all()
+    left = Counter(zip(seq[:-1][~ends[:-1]].tolist(), seq[1:][~ends[:-1]].tolist()))
+    if top != 65_500 and top != 65_535:  # symbols' width is settled
+        assert max(n for (a, b), n in left.items() if a != b) < token_store.LEAST * 2
+
+
 def test_compaction(spark, tmp_path):
     root = str(tmp_path / "table")
     for k in range(9):
@@ -95,3 +113,28 @@ def test_compaction(spark, tmp_path):
     assert len(compaction.expire(spark, root)) == 9 and compaction.read(spark, root).count() == 900
     compaction.append(spark.range(0).withColumn("text", F.lit("x")), root)
     assert compaction.read(spark, root).count() == 900
+
+
+def test_compaction_of_nothing_and_of_clashing_columns(spark, tmp_path):
+    root = str(tmp_path / "empty")
+    compaction.append(spark.range(0).withColumn("text", F.lit("x")), root)
+    assert compaction.compact(spark, root) == 1 and compaction.read(spark, root).columns == ["id", "text"] and compaction.read(spark, root).count() == 0
+    with pytest.raises(ValueError):
+        compaction.read(spark, str(tmp_path / "never"))
+    root = str(tmp_path / "clash")
+    rows = [(1, "a", None), (1, "a", None), (None, None, 5), (2, "x" * 100_000, 5)]
+    for _ in range(6):
+        compaction.append(spark.createDataFrame(rows, "noticeloom_bin int, noticeloom_path string, bin int").repartition(2), root)
+    compaction.compact(spark, root, target=1 << 20)
+    back = compaction.read(spark, root)
+    assert back.columns == ["noticeloom_bin", "noticeloom_path", "bin"] and sorted(map(str, back.collect())) == sorted(str(r) for r in 6 * spark.createDataFrame(rows, back.schema).collect())
+
+
+def test_every_bin_is_a_file(spark, tmp_path):
+    root = str(tmp_path / "bins")
+    for k in range(16):
+        compaction.append(spark.range(k * 500, k * 500 + 500).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).coalesce(1), root)
+    compaction.compact(spark, root, target=100_000)
+    shards = compaction.manifest(spark, root).collect()
+    assert 1 < len(shards) < 16 and {s["generation"] for s in shards if s["rows"] > 500} == {1} and max(s["rows"] for s in shards) <= 3500
+    assert sorted(r["id"] for r in compaction.read(spark, root).collect()) == list(range(8000))
