@@ -93,13 +93,19 @@ def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.status(publish.publication_inputs(cases(spark, sf_dir), sales(spark, sf_dir), tasks(spark, sf_dir), links(spark, sf_dir)))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A plain scan, its rows dealt to all cores where its files make fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def long_date(c: Column) -> Column:
     return F.date_format(c, "MMMM d, yyyy")
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A notice text for each order, and the parts it was made of."""
-    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    """A notice text for each order, and the parts it was made of. Reading a notice takes long for its bytes, so orders are dealt out before."""
+    o, p = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")), table(spark, sf_dir, "part")
     j = o.join(p, F.col("p_partkey") == F.col("o_custkey"))
     own = j.select(
         F.col("o_orderkey").alias("doc_id"), F.initcap("p_name").alias("grantor"), F.col("o_orderdate").cast("date").alias("deed"), F.add_months(F.col("o_orderdate").cast("date"), 36).alias("sale"),
