@@ -14,23 +14,29 @@ from .shared import crc32_of_id, shared_dir
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table, its rows dealt to all cores where its files make fewer tasks than there are cores."""
+    read, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return read if read.rdd.getNumPartitions() >= cores else read.repartition(cores)
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORD_BPE)
+    return packing.pack(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     return token_store.read_store(token_store.write_store(docs, WORD_BPE))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     scored = lm_scoring.score_texts(docs, crc32_of_id(F.col("doc_id")) % 5 != 1)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     held = crc32_of_id(F.col("doc_id")) % 4 == 2
     model = language_id.train(docs.where(~held))
     return language_id.predict(docs, model, keep=["doc_id"]).select(
@@ -51,20 +57,20 @@ OP5_SQL = "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM docu
 
 
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
+    return shingle_join.join(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have no media column; every vector is drawn as a picture first."""
-    return image_copies.copies(image_copies.pictures(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return image_copies.copies(image_copies.pictures(_table(spark, sf_dir, "embeddings")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(crc32_of_id(F.col("doc_id")) % 5 != 0))
     return toxicity.score(docs, model, keep=["doc_id"]).select(
@@ -73,7 +79,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.mix(docs, labels.select("doc_id", mixing.domain_of(labels).alias("domain")))
 
