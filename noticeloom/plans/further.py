@@ -337,3 +337,49 @@ def county_page(spark, d):
     c = views.cases(spark, d)
     fresh = F.col("created_at") >= F.date_sub(views.as_of(), 7).cast("timestamp")
     return c.groupBy("county").agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(F.col("street").isNotNull()).alias("with_address"), F.count("value_cents").alias("with_value"), F.count_if(fresh).alias("new_this_week"))
+
+
+# ---- Every template of a notice
+
+#: Ways in which notices say one thing, in the order of the fixed patterns; {} is what they say. Each line follows a full stop.
+SAID = {
+    "grantor": ["Grantor(s): {}", "Trustor(s):\n{}", "It is a deed of trust executed by {} secures the repayment of a loan.", 'It was executed by {} ("Mortgagor") then.'],
+    "principal": [
+        "Original Principal Amount: ${}.00", "In the original principal amount of ${}.00", "Original Principal: ${}.00", "Deed of Trust Dated: then\nAmount: ${}.00", "Note dated May 1, 2001 in the amount of ${}.00",
+        "Note: all of it, so many DOLLARS (${}.00)",
+    ],
+    "original": ["Original Mortgagee: {}", "Registry, as nominee for {}, its successors and assigns.", 'Kept for the benefit of {} ("Mortgagee").'],
+    "current": [
+        "{} is the current mortgagee of it.", "{} is the current owner and holder of the Obligations.", "Current Mortgagee: {}", "Lender: {}", "MORTGAGE ELECTRONIC REGISTRATION SYSTEMS, INC. {}\n(recorded)", "Current {} Loan Servicer: Harbor Point Loans LLC",
+    ],
+    "servicer": ["{} is acting as the Mortgage Servicer for it.", "{}, as Mortgage Servicer, is representing it.", "{} is representing the current holder.", "Mortgage Servicer: {}", "Current Summit Ridge Bank Loan Servicer: {}"],
+    "sale": ["Date of Sale: {}", "SALE INFORMATION: {}", "Date: {}", "They are to sell on {}"],
+    "legal": ["Legal Description: {}\n\n", "The property to be sold is described as follows: {}\n\n", "All of {}\n\n\n"],
+}
+TURN = {"grantor": (6, 4), "principal": (1, 6), "original": (2, 3), "current": (24, 6), "servicer": (144, 5), "sale": (3, 4), "legal": (5, 3)}
+
+
+@query("""SELECT o_orderkey AS doc_id, concat(upper(substr(split_part(p_name, ' ', 1), 1, 1)), substr(split_part(p_name, ' ', 1), 2), ' ', upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2)) AS grantor,
+    CAST(floor(o_totalprice) AS DOUBLE) AS principal, 'Meadow Savings Bank' AS original_mortgagee, 'Summit Ridge Bank' AS current_mortgagee, [0.85, 0.85, 0.85, 0.75, 0.55, 0.55][(o_orderkey // 24) % 6 + 1]::DOUBLE AS current_confidence,
+    'Harbor Point Loans LLC' AS servicer, [0.85, 0.85, 0.8, 0.85, 0.55][(o_orderkey // 144) % 5 + 1]::DOUBLE AS servicer_confidence, strftime(CAST(o_orderdate AS DATE) + INTERVAL 36 MONTH, '%Y-%m-%d') AS sale_date,
+    CAST(p_size AS VARCHAR) AS lot, CAST(p_size + 7 AS VARCHAR) AS block, concat(upper(p_type), ' ESTATES') AS subdivision FROM orders JOIN part ON p_partkey = o_custkey""")
+def notice_templates(spark, d):
+    """Notices that say everything in every way that the patterns know: parties, amounts, dates and legal text come back the same."""
+    n = views.notices(spark, d)
+    words = {
+        "grantor": F.col("grantor"), "principal": F.col("dollars").cast("string"), "original": F.lit("Meadow Savings Bank"), "current": F.lit("Summit Ridge Bank"), "servicer": F.lit("Harbor Point Loans LLC"),
+        "sale": views.long_date(F.col("sale")), "legal": F.concat(F.lit("Lot "), F.col("lot"), F.lit(", Block "), F.col("block"), F.lit(", "), F.col("kind"), F.lit(" ESTATES")),
+    }
+    lines = []
+    for name, ways in SAID.items():
+        every, many = TURN[name]
+        way = F.get(F.array(*map(F.lit, ways)), (F.floor(F.col("doc_id") / every) % many).cast("int"))
+        lines += [F.lit("Filed."), F.replace(way, F.lit("{}"), words[name])]
+    made = n.select("doc_id", F.concat_ws("\n", *lines, F.lit("End.")).alias("text"))
+    f = extract.fields(made.mapInArrow(lambda batches: batches, made.schema))  # the texts are made once, not in every pattern
+    v = lambda name: F.col(f"{name}.value")
+    return f.select(
+        "doc_id", F.array_join(v("grantor_names"), ";").alias("grantor"), v("original_principal").cast("double").alias("principal"), v("original_mortgagee").alias("original_mortgagee"), v("current_mortgagee").alias("current_mortgagee"),
+        F.col("current_mortgagee.confidence").alias("current_confidence"), v("mortgage_servicer").alias("servicer"), F.col("mortgage_servicer.confidence").alias("servicer_confidence"), v("sale_date").alias("sale_date"),
+        F.col("legal.lot").alias("lot"), F.col("legal.block").alias("block"), F.col("legal.subdivision").alias("subdivision"),
+    )
