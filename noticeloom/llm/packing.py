@@ -101,12 +101,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
     )
 
+    slots = docs.sparkSession.sparkContext.broadcast(sorted(runs))  # as many as there are lengths and fills: bounded by the capacity
+
     def place(batches):
         import numpy as np
         import pyarrow as pa
 
         step = 1 << 48  # more than the ranks of any length
-        table = np.array(sorted(runs), np.int64).reshape(-1, 5)
+        table = np.array(slots.value, np.int64).reshape(-1, 5)
         keys = table[:, 0] * step + table[:, 1]
         for batch in batches:
             length, rank = (batch.column(i).to_numpy() for i in (3, 5))

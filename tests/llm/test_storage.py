@@ -30,10 +30,43 @@ def test_encoder_is_the_tokenizer(tokenizer, monkeypatch):
     rng = random.Random(1)
     signs = "abzABZ éÉüßÀØ÷.,!?'%*# \n\t  ́İΣσ0日<|endoftext|>"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(2000)] + [t or "" for t in TEXTS]
-    got = encoding.Encoder(WORD_BPE).encode([t.encode() for t in texts])
+    own = encoding.Encoder(WORD_BPE)
+    got = own.encode([t.encode() for t in texts])
+    assert own.by_chunk
     assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """One that keeps case and blanks does not answer by chunks."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    for k, (normalizer, splitter) in enumerate([(None, None), (normalizers.NFC(), pre_tokenizers.ByteLevel(add_prefix_space=False))]):
+        letters = sorted(set(pre_tokenizers.ByteLevel.alphabet()) | set("abcdefghijklmnopqrstuvwxyz "))
+        own = Tokenizer(models.BPE({c: i for i, c in enumerate(letters)}, []))
+        if splitter:
+            own.normalizer, own.pre_tokenizer = normalizer, splitter
+        own.save(str(tmp_path / f"{k}.json"))
+        texts = ["Hello World  two", "a\nb", "ÉÉ x", ""]
+        got = encoding.Encoder(str(tmp_path / f"{k}.json")).encode([t.encode() for t in texts])
+        assert got == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_plan_needs_no_more_sequences_than_plain_best_fit():
+    rng = random.Random(3)
+    for cap in (7, 50, 64):
+        for _ in range(20):
+            lengths = [rng.randint(1, cap) for _ in range(rng.randint(0, 300))]
+            room: list[int] = []
+            for n in sorted(lengths, reverse=True):
+                fits = [k for k, r in enumerate(room) if r >= n]
+                if fits:
+                    room[min(fits, key=lambda k: room[k])] -= n
+                else:
+                    room.append(cap - n)
+            _, used = packing.plan_slots({n: lengths.count(n) for n in set(lengths)}, cap)
+            assert used <= len(room)
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(2)
     for cap in (10, 64):
