@@ -1,8 +1,8 @@
 """Mixing by soft membership: document rates whose expected domain tokens match targets.
 
 A classifier fitted on the labelled table gives every document a posterior over domains.
-Projected-gradient least squares then finds a rate for each document, between 0 and
-MOST_COPIES, so that rate x tokens x posterior sums to each domain's target.
+Projected-gradient least squares then finds a nonnegative rate for each document, so that
+rate x tokens x posterior sums to each domain's target. What a target is missed by is told.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ COLUMNS = 1 << 16
 SCALE = 20.0
 #: Labelled rows that the fit takes of each domain at most, in expectation, chosen by hash.
 SAMPLE_PER_DOMAIN = 2500
-MOST_COPIES = 4.0
-#: The solver stops at this share of the total, or after so many steps.
-TOLERANCE, STEPS = 1e-4, 30
+#: The solver stops when all shares are this close to their targets, or stand still; or after so many steps.
+TOLERANCE, STEPS = 1e-4, 100
 #: Production targets: shares of all tokens by domain (quality and toxicity labels).
 TARGETS = {"q1_t0": 0.90, "q0_t0": 0.07, "q1_t1": 0.03}
 
@@ -36,12 +35,20 @@ def word_features(words: list[str]):
 
     import numpy as np
 
-    parts = [
-        p.encode("utf-8", "surrogatepass")
-        for w in words
-        for p in (w.lower(), f"{w[:5].lower()}*", f"={w.isupper()}{w[:1].isupper()}{'' if w.isalnum() else w[-2:]}")
-    ]
-    return (np.fromiter(map(crc32, parts), np.int64, len(parts)) % (COLUMNS - 1) + 1).reshape(-1, 3)
+    known: dict = {}  # beginnings and shapes recur
+
+    def number(part: str) -> int:
+        found = known.get(part)
+        if found is None:
+            found = known[part] = crc32(part.encode("utf-8", "surrogatepass"))
+        return found
+
+    parts: list = []
+    for w in words:
+        parts.append(crc32(w.lower().encode("utf-8", "surrogatepass")))
+        parts.append(number(f"{w[:5].lower()}*"))
+        parts.append(number(f"={w.isupper()}{w[:1].isupper()}{'' if w.isalnum() else w[-2:]}"))
+    return (np.array(parts, np.int64) % (COLUMNS - 1) + 1).reshape(-1, 3)
 
 
 def _split(text: str | None) -> list[str]:
@@ -129,19 +136,20 @@ def memberships(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
 
 
-def _rate(steps: list[list[float]]) -> Column:
+def _rate(steps: list[list[float]], most: float | None) -> Column:
     """The rate after the given steps: from 1, each step goes down its slope and back into bounds."""
+    bounded = (lambda r: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r))) if most is not None else (lambda r: F.greatest(F.lit(0.0), r))
     rate = F.lit(1.0)
     if not steps:
         return rate
     return F.aggregate(
         F.array(*(F.array(*map(F.lit, g)) for g in steps)), rate,
-        lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(MOST_COPIES), r - F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x))),
+        lambda r, g: bounded(r - F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)),
     )
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[list[list[float]], list[float]]:
-    """Projected-gradient least squares on domain totals; returns the steps and the last shares.
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
+    """Projected-gradient least squares on domain totals; returns the steps, the shares that they reach, and the targets as shares.
 
     The residuals weigh by the inverse of the domains' Gram matrix over all documents, so
     that small domains converge as fast as large ones; with that weight the slope's Lipschitz
@@ -158,7 +166,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = [float(x or 0) for x in members.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * p[i] * p[j]).alias(f"s{i}_{j}") for i, j in pairs)).first()]
     if not row[0]:
-        return [], want.tolist()
+        return [], want.tolist(), want.tolist()
     gram = np.zeros((k, k))
     for (i, j), x in zip(pairs, row[1:]):
         gram[i, j] = gram[j, i] = x / row[0]
@@ -166,18 +174,20 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     steps: list[list[float]] = []
     got = np.full(k, -1.0)
     for _ in range(STEPS):
-        held = members.select("tokens", "posterior", _rate(steps).alias("rate"))
+        held = members.select("tokens", "posterior", _rate(steps, most).alias("rate"))
         sums = held.agg(*(F.sum(F.col("tokens") * F.col("rate") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
         before, got = got, np.array([float(x) for x in sums]) / row[0]
         if np.abs(got - want).max() < TOLERANCE or np.abs(got - before).max() < TOLERANCE / 10:
             break
         steps.append((weight @ (got - want)).tolist())
-    return steps, got.tolist()
+    return steps, got.tolist(), want.tolist()
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: doc_id, tokens, posterior by domain, rate, copies.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
+    """Per row of `docs`: doc_id, tokens, posterior by domain, rate, copies, missed_by.
 
+    `missed_by` is the same on all rows: the most by which a domain's share of all tokens misses its target, 0 or
+    nearly 0 where the targets can be met. With `most` no rate is larger, which may add to it.
     `copies` is the rate rounded up or down by a hash of the id, so its mean is the rate.
     Null and empty texts have no tokens and the prior-like posterior of no words; without
     labels there is one domain and every rate is 1. Ids may repeat or be null; labels of
@@ -185,9 +195,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     model = train(docs, labels, id_col, text_col)
     members = staged(memberships(docs, model, id_col, text_col), "memberships")
-    steps, _ = fit_rates(members, model["domains"], targets or TARGETS)
+    steps, got, want = fit_rates(members, model["domains"], targets or TARGETS, most)
+    missed = max(abs(a - b) for a, b in zip(got, want))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
     return members.select(
         "doc_id", "tokens", *(F.element_at("posterior", i + 1).alias(f"p_{d}") for i, d in enumerate(model["domains"])),
-        _rate(steps).alias("rate"),
+        _rate(steps, most).alias("rate"), F.lit(missed).alias("missed_by"),
     ).withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))

@@ -178,6 +178,11 @@ def test_mixing_meets_targets(spark):
     for p in ("p_a", "p_b"):
         assert sum(r["rate"] * r["tokens"] * r[p] for r in got) / total == pytest.approx(0.5, abs=0.01)
     assert len(got) == 403 and all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 for r in got)
+    assert max(r["missed_by"] for r in got) < 0.01
+    # A rate of 1.2 at most cannot lift a third to nine tenths, and the rows say so.
+    held = mixing.mix(df, labels, {"a": 0.1, "b": 0.9}, most=1.2).collect()
+    reached = sum(r["rate"] * r["tokens"] * r["p_b"] for r in held) / total
+    assert max(r["rate"] for r in held) <= 1.2 and held[0]["missed_by"] >= 0.9 - reached - 1e-9 > 0.3
     assert mixing.mix(df.limit(0), labels).count() == 0 and {r["rate"] for r in mixing.mix(df, labels.limit(0), {}).collect()} == {1.0}
 
 
