@@ -18,8 +18,8 @@ ORDERS = (1, 2, 3, 4)
 #: Columns of hashed n-grams: bounds the statistics and the model, whatever the corpus.
 COLUMNS = 1 << 17
 SCALE = 50.0
-#: Rows that the fit takes of each language at most, in expectation, chosen by hash.
-SAMPLE_PER_LANGUAGE = 1500
+#: Rows that the fit takes of each language at most, and of all languages together, in expectation, chosen by hash.
+SAMPLE_PER_LANGUAGE, SAMPLE = 1500, 60_000
 UNDETERMINED = "und"
 
 
@@ -90,7 +90,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on the rows of `docs` with a language: languages, weights, idf and temperature.
 
     The sample that the fit takes has SAMPLE_PER_LANGUAGE rows of each language in
-    expectation; a fifth of it calibrates the temperature. Sparse vectors of the sample
+    expectation, and no more than SAMPLE in all; a fifth of it calibrates the temperature. Sparse vectors of the sample
     meet in one task, and only the model, bounded by COLUMNS, comes to the driver.
     """
     import numpy as np
@@ -104,9 +104,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for at, n in document_frequencies(known, text_col).collect():
         df[at] = n
     idf = np.log((1 + df[0]) / (1 + df)) + 1
-    share = F.lit(0.0)
+    share, each = F.lit(0.0), min(SAMPLE_PER_LANGUAGE, SAMPLE / max(1, len(languages)))
     for lang in languages:
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / counts[lang]))).otherwise(share)
+        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, each / counts[lang]))).otherwise(share)
     chance = (F.xxhash64(F.col(id_col), F.lit("language")) % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
     number = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col)).cast("int") - 1
     sample = known.where(chance < share).select(number.alias("label"), F.col(text_col).alias("text"), (F.xxhash64(F.col(id_col), F.lit("held")) % 5 == 0).alias("held"))
