@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noticeloom.llm import image_copies, shingle_join, vector_dedup
 from noticeloom.llm.shared import connected_components
@@ -156,3 +157,14 @@ def test_small_crop_of_a_large_image(spark):
     rows = [(1, image_copies.encode(picture)), (2, image_copies.encode(picture[200:296, 150:246]))]
     got = {r["image_id"]: r["component_id"] for r in image_copies.copies(spark.createDataFrame(rows, "image_id long, body binary")).collect()}
     assert got == {1: 1, 2: 1}
+
+
+def test_clashing_columns_do_not_matter(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(5, text, 1, "x", None), (3, text + " more", 2, "y", 1), (9, "alone", 3, "z", 2)], "doc_id long, text string, rep int, key string, component_id int")
+    docs = docs.withColumns({n: F.lit(7) for n in ("size", "bits", "band", "text_key", "label", "set_hi")})
+    assert {r["doc_id"]: r["component_id"] for r in shingle_join.join(docs).collect()} == {5: 3, 3: 3, 9: 9}
+    one = image_copies.encode(128 + 45 * image_copies.textures(1, 96)[0])
+    images = spark.createDataFrame([(4, one, "a"), (2, one, "b"), (2, b"P5 broken", "c")], "image_id long, body binary, name string").withColumns({n: F.lit(1) for n in ("points", "image", "entry", "component")})
+    got = sorted((r["image_id"], r["n_points"] > 0, r["component_id"]) for r in image_copies.copies(images).collect())
+    assert got == [(2, False, 2), (2, True, 2), (4, True, 2)] and image_copies.copies(images.limit(0)).count() == 0

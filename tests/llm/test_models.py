@@ -192,3 +192,27 @@ def test_language_model_knows_two_words_before(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(df, F.col("doc_id") < 12).collect()}
     assert got[12] < got[11] - 0.1
+
+
+def test_language_ties_repeats_and_long_texts(spark):
+    """Two languages of the same texts tie: the first by name is told, alike for every equal row; a long text is read whole."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng, "xx", 30), "aa" if i % 2 else "bb") for i in range(200)]
+    rows += [(i + 1000, t, "bb" if lang == "aa" else "aa") for i, t, lang in rows]
+    rows += [(5000 + i, prose(rng, "yy", 30), "cc") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    long_ = prose(rng, "xx", 10) + " " + prose(rng, "yy", 60_000)
+    asked = spark.createDataFrame([(1, rows[0][1], 1), (1, rows[0][1], 2), (2, long_, 3), (3, rows[-1][1], 4)], "doc_id long, text string, tokens int")
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.predict(asked, model).collect()]
+    assert len(got) == 4 and len(set(got)) == 3 and {p for i, p, _ in got if i == 1} <= {"aa", "bb"} and {p for i, p, _ in got if i in (2, 3)} == {"cc"}
+
+
+def test_mixing_clashing_columns_repeats_and_long_texts(spark):
+    rng = random.Random(29)
+    rows = [(i, prose(rng, "xx" if i % 2 else "yy", 20), 1.0, 2, "p", 0.5) for i in range(120)]
+    rows += [rows[0], (500, prose(rng, "xx", 50_000), None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rate double, copies int, posterior string, tokens double")
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b", 1) for i in range(120)], "doc_id long, domain string, text int")
+    got = mixing.mix(df, labels, {"a": 0.9, "b": 0.1}).collect()
+    assert len(got) == 122 and [r["tokens"] for r in got if r["doc_id"] == 500] == [50_000] and len({(r["rate"], r["copies"]) for r in got if r["doc_id"] == 0}) == 1
