@@ -22,14 +22,23 @@ HEADER = "<4sHIIIQ"  # magic, bytes per symbol, documents, rules, symbols, ids
 #: Ids per shard; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 #: Uses that pay for a rule's 12 bytes, and how far below the most frequent pair a round goes.
-LEAST, FALL = 8, 4
+LEAST, FALL = 8, 16
 #: Slots that pairs hash to.
-SLOTS = 20
+SLOTS = 19
 
 STORED = "part int, shard int, offset long, n_docs int, n_ids long, first_id long, last_id long, body binary"
 READ = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
 
 
+def _counted(code):
+    """Sorted distinct numbers and how often each occurs."""
+    import numpy as np
+
+    told = np.sort(code)
+    start = np.flatnonzero(np.r_[True, told[1:] != told[:-1]]) if len(told) else np.zeros(0, np.int64)
+    return told[start], np.diff(np.r_[start, len(told)])
+
+
 def re_pair(ids, last):
     """Replace frequent pairs in `ids` (unsigned 32-bit); `last` marks each document's last id.
 
@@ -41,19 +50,22 @@ def re_pair(ids, last):
     import numpy as np
 
     base, made = int(ids.max()) + 1 if len(ids) else 1, 0
-    seq, rules, floor, widened = ids.astype(np.uint32), [], None, False
+    seq, rules, floor, widened, fresh = ids.astype(np.uint32), [], None, False, None
     while len(seq) > 1:
         narrow = base + made < 1 << 16
         # A pair is one number; where symbols fit 16 bits it is a short one, which sorts twice as fast.
         word, half, factor = (np.uint32, 16, 0x9E3779B1) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15)
         down = word(2 * half - SLOTS)
-        code = (seq[:-1].astype(word) << word(half)) | seq[1:].astype(word)
-        slot = (code * word(factor)) >> down
-        inside = ~last[:-1]
-        met = np.bincount(slot[inside].astype(np.int64), minlength=1 << SLOTS)
+        # Once all pairs were looked at, only those of newer symbols can have become frequent.
+        place = np.flatnonzero(~last[:-1] if fresh is None else ~last[:-1] & ((seq[:-1] >= fresh) | (seq[1:] >= fresh)))
+        code = (seq[place].astype(word) << word(half)) | seq[place + 1].astype(word)
+        slot = ((code * word(factor)) >> down).astype(np.int32)
+        met = np.bincount(slot, minlength=1 << SLOTS)
         # A slot has at least as many pairs as each pair in it has.
         most = max(LEAST, -(-int(met.max()) // FALL)) if floor is None else floor
-        pairs, n = np.unique(code[inside & (met[slot] >= most)], return_counts=True)
+        hot = np.flatnonzero((met >= most)[slot])
+        place, code, slot = place[hot], code[hot], slot[hot]
+        pairs, n = _counted(code)
         pairs, n = pairs[n >= most], n[n >= most]
         room = (1 << 16) - base - made
         if narrow and len(pairs) > room:
@@ -66,26 +78,28 @@ def re_pair(ids, last):
             if 4 * (len(seq) - int(n.sum())) + 12 * len(pairs) >= 2 * len(seq):
                 break
             widened = True
+        at = place[:0]
         if len(pairs):
-            own = (pairs * word(factor)) >> down
             table = np.full(1 << SLOTS, -1, np.int32)
-            table[own] = np.arange(len(pairs), dtype=np.int32)  # of two in a slot one waits for the next round
+            table[(pairs * word(factor)) >> down] = np.arange(len(pairs), dtype=np.int32)  # of two in a slot one waits for the next round
             rule = table[slot]
-            at = np.flatnonzero(inside & (rule >= 0) & (pairs[rule] == code))
+            hit = np.flatnonzero((rule >= 0) & (pairs[rule] == code))
+            at, rule = place[hit], rule[hit]
             if len(at):  # of neighbouring hits every second one, from the left
                 run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - run) % 2 == 0]
-            pays = np.bincount(rule[at], minlength=len(pairs)) >= LEAST
-            at = at[pays[rule[at]]]
-        if not len(pairs) or not len(at):
-            if most == LEAST:
+                other = (np.arange(len(at)) - run) % 2 == 0
+                at, rule = at[other], rule[other]
+            pays = np.bincount(rule, minlength=len(pairs)) >= LEAST
+            at, rule = at[pays[rule]], rule[pays[rule]]
+        if not len(at):
+            if most == LEAST and fresh is None:
                 break
-            floor = max(LEAST, most // FALL)  # a slot of many pairs hid that none is so frequent
+            floor, fresh = max(LEAST, most // FALL), None  # a slot of many pairs hid that none is so frequent; at last all are counted again
             continue
-        floor = None
+        floor, fresh = None, base + made if most == LEAST else None
         number = np.cumsum(pays) - 1 + base + made
-        seq, last = seq.copy(), last.copy()
-        seq[at] = number[rule[at]]
+        last = last.copy()
+        seq[at] = number[rule]
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
