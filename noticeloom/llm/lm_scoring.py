@@ -13,22 +13,26 @@ N-grams travel as 64-bit hashes; a count is wrong only if two of them collide.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let_go, small_batches, staged, text_bytes
+from .shared import let_go, small_batches, staged, text_bytes, unstage
 
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: Tokens of the corpus for each bucket that adds up counts.
 BUCKET_TOKENS = 1_000_000
 #: Longest n-gram. More orders repeat one exchange of counts each.
 ORDER = 3
+#: Parts of the shards that are scored one after the other, so that not all answers are on their way at once.
+PARTS = 4
 #: Tokens that are walked in one go; the pieces of a shard's texts are walked side by side.
-PIECE = 256
+PIECE = 64
 
 SHARDS = "shard long, doc_ids array<long>, trained array<boolean>, lengths array<int>, tokens binary, words binary"
 ASK = "bucket int, shard long, keys binary, counts binary"
-ANSWER = "shard long, table string, bucket int, totals binary, first binary"
+ANSWER = "shard long, table string, bucket int, n int, totals binary, first binary"
 
 
 def _end_key() -> int:
@@ -125,6 +129,19 @@ class Corpus:
         return fold(words), fold(words[:-1]) if n > 1 else None
 
 
+def _distinct(keys):
+    """Sorted distinct keys, where each stands first or later, and each place's number among them."""
+    import numpy as np
+
+    order = np.argsort(keys)
+    told = keys[order]
+    new = np.ones(len(told), bool)
+    new[1:] = told[1:] != told[:-1]
+    own = np.empty(len(told), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return told[new], order[new], own
+
+
 def _planes(keys) -> bytes:
     """Sorted keys as differences, byte by byte: their leading zeros compress."""
     import numpy as np
@@ -199,10 +216,11 @@ def _add_up(asked: DataFrame, name: str) -> DataFrame:
         return pa.Table.from_arrays(
             [
                 pa.array([-1, *(r["shard"] for r in rows)], pa.int64()), pa.array([name] * (len(rows) + 1)), pa.array([bucket] * (len(rows) + 1), pa.int32()),
+                pa.array([0, *map(len, keys)], pa.int32()),
                 pa.array([sums.tobytes(), *(_small(x) for x in np.split(total[own], ends))], pa.binary()),
                 pa.array([b"", *(np.packbits(x).tobytes() for x in np.split(first, ends))], pa.binary()),
             ],
-            ["shard", "table", "bucket", "totals", "first"],
+            ["shard", "table", "bucket", "n", "totals", "first"],
         )
 
     return staged(asked.groupBy("bucket").applyInArrow(run, ANSWER), f"lm-{name}")
@@ -216,14 +234,20 @@ def _sums(answer: DataFrame) -> list[int]:
     return np.sum(rows, 0).tolist() if rows else [0, 0, 0, 0]
 
 
-def _answered(rows: list[dict], name: str):
-    """A shard's totals and marks of one table, in key order."""
+def _totals(rows: list[dict], name: str):
+    """A shard's totals of one table, in key order."""
     import numpy as np
 
     own = sorted((r for r in rows if r["table"] == name), key=lambda r: r["bucket"])
-    totals = [_numbers(r["totals"]) for r in own]
-    first = [np.unpackbits(np.frombuffer(r["first"], np.uint8), count=len(t)) for r, t in zip(own, totals)]
-    return (np.concatenate(totals), np.concatenate(first).astype(bool)) if own else (np.zeros(0, np.int64), np.zeros(0, bool))
+    return np.concatenate([_numbers(r["totals"]) for r in own]) if own else np.zeros(0, np.int64)
+
+
+def _marks(rows: list[dict]):
+    """A shard's marks of the keys that it was first to count, in key order."""
+    import numpy as np
+
+    own = sorted(rows, key=lambda r: r["bucket"])
+    return np.concatenate([np.unpackbits(np.frombuffer(r["first"], np.uint8), count=r["n"]) for r in own]).astype(bool) if own else np.zeros(0, bool)
 
 
 class Automaton:
@@ -249,7 +273,9 @@ class Automaton:
         while len(todo):
             own = state[todo]
             key = (own << 32) | word[todo]
-            at = np.searchsorted(self.arc, key)
+            ascending = np.argsort(key)  # neighbours in the table are looked up one after the other
+            at = np.empty(len(key), np.int64)
+            at[ascending] = np.searchsorted(self.arc, key[ascending])
             hit = self.arc[at] == key
             done = todo[hit]
             told[done] += self.weight[at[hit]]
@@ -294,7 +320,7 @@ def automaton(corpus: Corpus, counts: dict, after: dict, discount: dict, n_train
     """
     import numpy as np
 
-    _, own = np.unique(corpus.keys(1)[0], return_inverse=True)
+    _, one, own = _distinct(corpus.keys(1)[0])
     seen = counts[1][own]
     share = (seen + 0.5) / (n_train + 0.5 * (n_words + 1))
     words = corpus.tokens.astype(np.int64)
@@ -308,11 +334,11 @@ def automaton(corpus: Corpus, counts: dict, after: dict, discount: dict, n_train
     for n in range(1, order + 1):
         if n > 1:
             key, context = corpus.keys(n)
-            _, own = np.unique(key, return_inverse=True)
+            _, one, own = _distinct(key)
             # A context was left as often as it was entered: that is its own count; texts' starts count as ends.
             entered = np.where(inside, np.roll(known, 1), ends)
             known = counts[n][own]
-            contexts, at, which = np.unique(context, return_index=True, return_inverse=True)
+            _, at, which = _distinct(context)
             left = np.maximum(entered[at], 1)
             mass = np.where(entered[at] > 0, discount[n] * after[n] / left, 1.0)
             share = np.where(known > 0, np.maximum(known - discount[n], 0) / left[which], 0.0) + mass[which] * share
@@ -325,7 +351,6 @@ def automaton(corpus: Corpus, counts: dict, after: dict, discount: dict, n_train
             nexts.append(np.where(last, 0, np.roll(longer, -1)))
             state = longer
             at_start.append(int(longer[corpus.starts[0]]))
-        _, one = np.unique(own, return_index=True)
         one = one[(known[one] > 0) & (state[one] >= 0)]
         arcs.append((state[one] << 32) | words[one])
         weights.append(np.log10(share[one]))
@@ -357,7 +382,7 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
             for batch in batches:
                 for row in batch.to_pylist():
                     corpus = Corpus(row)
-                    keys, own = np.unique(corpus.keys(n)[0], return_inverse=True)
+                    keys, _, own = _distinct(corpus.keys(n)[0])
                     yield from _asked(row["shard"], keys, np.bincount(own[corpus.trained], minlength=len(keys)), buckets).to_batches()
 
         return run
@@ -373,9 +398,9 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
             for row in left.to_pylist():
                 corpus = Corpus(row)
                 key, context = corpus.keys(n)
-                _, at = np.unique(key, return_index=True)
-                first = _answered(right.to_pylist(), f"count{n}")[1]
-                contexts, own = np.unique(context, return_inverse=True)
+                _, at, _ = _distinct(key)
+                first = _marks(right.to_pylist())
+                contexts, _, own = _distinct(context)
                 out.append(_asked(row["shard"], contexts, np.bincount(own[at[first]], minlength=len(contexts)), buckets))
             return pa.concat_tables(out) if out else _asked(0, np.zeros(0, np.uint64), np.zeros(0), 1)
 
@@ -387,8 +412,9 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
         stats[n] = _sums(answers[-1])
         let_go(docs.sparkSession)
         if n > 1:
-            asked = shards.groupBy("shard").cogroup(answers[-1].where("shard >= 0").groupBy("shard")).applyInArrow(distinct_after(n), ASK)
-            answers.append(_add_up(asked, f"after{n}"))
+            marked = answers[-1].where("shard >= 0").select("shard", "bucket", "n", "first")
+            answers.append(_add_up(shards.groupBy("shard").cogroup(marked.groupBy("shard")).applyInArrow(distinct_after(n), ASK), f"after{n}"))
+            del marked
             let_go(docs.sparkSession)
     discount = {n: min(0.95, max(0.1, stats[n][2] / max(1, stats[n][2] + 2 * stats[n][3]))) for n in range(2, order + 1)}
     n_train, n_words = stats[1][0], stats[1][1]
@@ -401,13 +427,12 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
         answered = right.to_pylist()
         for row in left.to_pylist():
             corpus = Corpus(row)
-            _, own = np.unique(corpus.keys(1)[0], return_inverse=True)
-            seen = _answered(answered, "count1")[0][own]
+            seen = _totals(answered, "count1")[_distinct(corpus.keys(1)[0])[2]]
             share = (seen + 0.5) / (n_train + 0.5 * (n_words + 1))
             base = np.add.reduceat(np.log10(share), corpus.starts)
             known = np.add.reduceat((seen > 0).astype(np.int64), corpus.starts)
-            tables = {n: _answered(answered, f"count{n}")[0] for n in range(1, order + 1)}
-            model = automaton(corpus, tables, {n: _answered(answered, f"after{n}")[0] for n in range(2, order + 1)}, discount, n_train, n_words, order)
+            tables = {n: _totals(answered, f"count{n}") for n in range(1, order + 1)}
+            model = automaton(corpus, tables, {n: _totals(answered, f"after{n}") for n in range(2, order + 1)}, discount, n_train, n_words, order)
             score = np.add.reduceat(model.walk(corpus.tokens.astype(np.int64), corpus.starts, corpus.lengths, order - 1), corpus.starts)
             out.append(pa.table({
                 "doc_id": pa.array(row["doc_ids"], pa.int64()), "trained": pa.array(row["trained"], pa.bool_()), "n_tokens": corpus.lengths,
@@ -418,6 +443,13 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
     replies = answers[0]
     for a in answers[1:]:
         replies = replies.unionByName(a)
-    return shards.groupBy("shard").cogroup(replies.where("shard >= 0").groupBy("shard")).applyInArrow(
-        run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    replies = replies.where("shard >= 0").select("shard", "table", "bucket", "totals")
+    parts = []
+    for k in range(PARTS):
+        one, two = (df.where(F.pmod(F.xxhash64("shard"), F.lit(PARTS)) == k).groupBy("shard") for df in (shards, replies))
+        parts.append(staged(one.cogroup(two).applyInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), f"lm-scores-{k}"))
+        del one, two
+        let_go(docs.sparkSession)
+    del replies
+    unstage(shards, *answers)
+    return functools.reduce(DataFrame.unionByName, parts)
