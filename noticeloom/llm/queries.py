@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, image_copies, language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity, vector_dedup
+from . import alignment, compaction, image_copies, language_id, lm_scoring, mixing, packing, shingle_join, token_store, toxicity, vector_dedup
 from .shared import crc32_of_id, shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +86,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels.select("doc_id", mixing.domain_of(labels).alias("domain")))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op5_sharding": op5_sharding, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op8_image_copies": op8_image_copies, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op5_sharding": op5_sharding, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op8_image_copies": op8_image_copies, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing, "op11_token_alignment": op11_token_alignment}
 ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL}

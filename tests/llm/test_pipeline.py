@@ -45,5 +45,5 @@ def test_an_id_on_two_texts_loses_only_the_copy(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
