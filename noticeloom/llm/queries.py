@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, compaction, image_copies, language_id, lm_scoring, mixing, packing, resampling, shingle_join, token_store, toxicity, vector_dedup
+from . import alignment, compaction, image_copies, language_id, lm_scoring, mixing, packing, quality, resampling, shingle_join, token_store, toxicity, vector_dedup
 from .shared import crc32_of_id, shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -90,9 +90,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.where(crc32_of_id(F.col("doc_id")) % 5 != 0))
+    held = F.coalesce(crc32_of_id(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out")
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held, "score", "predicted")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op5_sharding": op5_sharding, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op8_image_copies": op8_image_copies, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing, "op11_token_alignment": op11_token_alignment, "op13_importance_resampling": op13_importance_resampling}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_token_store": op4_token_store, "op5_sharding": op5_sharding, "op6_shingle_join": op6_shingle_join, "op7_vector_dedup": op7_vector_dedup, "op8_image_copies": op8_image_copies, "op9_toxicity": op9_toxicity, "op10_source_mixing": op10_source_mixing, "op11_token_alignment": op11_token_alignment, "op12_quality": op12_quality, "op13_importance_resampling": op13_importance_resampling}
 ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL, "op13_importance_resampling": resampling.SQL}
