@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import names as N
 from ..functions import text as T
+from . import contain
 
 CASE = "case_id", "owner_names", "city", "parcel_id", "geographic_id", "legal_text", "subdivision", "lot", "block", "acreage", "mailing_address"
 RECORD = "candidate_id", "owner_name", "situs_address", "city", "parcel_id", "geographic_id", "legal_text", "subdivision", "lot", "block", "acreage"
@@ -198,41 +199,54 @@ def searches_of(budget: int | None = None) -> Column:
     return every if budget is None else F.slice(every, F.lit(1), F.lit(budget)) if budget > 0 else F.array().cast("array<int>")
 
 
-def candidates(cases: DataFrame, records: DataFrame, county: str = "county", budget: int | None = None) -> DataFrame:
-    """(case_id, candidate_id, strategy) of eight equi-join searches; a pair keeps its first strategy.
+def _first_person(names) -> Column:
+    """The first person that the first of an array of names stands for."""
+    return F.try_element_at(N.people(F.try_element_at(names, F.lit(1))), F.lit(1))
 
-    With `budget` each case makes its first so many searches only, as `searches_of` tells.
 
-    Cases have `stated_address` beside CASE, records RECORD; both have `county`. Every search joins on an equal key: parcel,
-    geographic id, street, subdivision key, legal text, owner's surname (alone, or with subdivision or acreage).
-    Substring searches of the source become equality of normalised keys, so no search compares all with all.
+def candidates(cases: DataFrame, records: DataFrame, county: str = "county", budget: int | None = None) -> DataFrame:
+    """(case_id, candidate_id, strategy) of eight searches of a case's county; a pair keeps its first strategy.
+
+    Cases have `stated_address` beside CASE, records RECORD; both have `county`. By order: 0 the record's street holds the stated one;
+    1 equal parcel; 2 the geographic id begins with the case's; 3 the record's subdivision or legal text holds the case's
+    subdivision, narrowed to its lot where any record has it; 4 the legal text holds the case's; 5 as 3, all lots, and the owner
+    holds the surname; 6 the owner begins with the surname and the acreage is the same; 7 the owner has all words of
+    the name, or, for cases where none has, begins with the surname. Surnames and names are those of the first owner. With
+    `budget` each case makes its first so many searches only, as `searches_of` tells. Case ids and candidate ids are unique.
     """
-    left = cases if budget is None else cases.withColumn("_searches", searches_of(budget))
-    owners = F.array_distinct(F.flatten(F.transform("owner_names", lambda n: N.surname_tokens(n))))
-
-    def search(ord_: int, key_l: Column, key_r: Column, more=None) -> DataFrame:
-        asked = left if budget is None else left.where(F.array_contains("_searches", ord_))
-        a = asked.select(county, "case_id", "acreage", F.explode(key_l).alias("_k") if more != "one" else key_l.alias("_k")).where("_k is not null and _k <> ''")
-        b = records.select(county, "candidate_id", F.col("acreage").alias("_acreage"), F.explode(key_r).alias("_k") if more != "one" else key_r.alias("_k")).where("_k is not null and _k <> ''")
-        found = a.join(b, [county, "_k"])
-        if more == "acreage":
-            found = found.where(F.abs(F.col("acreage") - F.col("_acreage")) < fixed.SAME_ACREAGE)
-        return found.select("case_id", "candidate_id", F.lit(ord_).alias("strategy")).distinct()
-
-    sub_l, sub_r = T.legal_token(T.subdivision_term("subdivision")), T.legal_token(T.subdivision_term("subdivision"))
-    with_sub = lambda names: F.transform(names, lambda n: F.when(sub_l != "", F.concat_ws("|", n, sub_l)))
-    record_names = N.surname_tokens("owner_name")
-    parts = [
-        search(0, T.address_key(T.street_term("stated_address")), T.address_key(T.street_term("situs_address")), "one"),
-        search(1, F.col("parcel_id"), F.col("parcel_id"), "one"),
-        search(2, F.col("geographic_id"), F.col("geographic_id"), "one"),
-        search(3, sub_l, sub_r, "one"),
-        search(4, T.legal_token("legal_text"), T.legal_token("legal_text"), "one"),
-        search(5, with_sub(owners), with_sub(record_names)),
-        search(6, owners, record_names, "acreage"),
-        search(7, owners, record_names),
-    ]
-    return _unioned(parts).groupBy("case_id", "candidate_id").agg(F.min("strategy").alias("strategy"))
+    told = cases.withColumn("_searches", searches_of(budget)).withColumn("_surname", T.surname(_first_person(F.col("owner_names"))))
+    owner = F.upper(F.trim("owner_name"))
+    scope = [county]
+
+    def asked(k: int, needle: Column, *more: str) -> DataFrame:
+        return told.where(F.array_contains("_searches", k)).select(county, F.col("case_id"), *more, needle.alias("needle")).where("needle <> ''")
+
+    def held(hay: Column, *more) -> DataFrame:
+        return records.select(county, "candidate_id", *more, hay.alias("hay")).where("hay <> ''")
+
+    def search(needles: DataFrame, hays: DataFrame, how=contain.containing, **more) -> DataFrame:
+        return contain.found_ids(how(needles, hays, scope, **more), needles, hays, scope)
+
+    of = lambda df, k: df.select("case_id", "candidate_id", F.lit(k).alias("strategy"))
+    place = lambda k, *more: asked(k, T.legal_token(T.subdivision_term("subdivision")), *more)
+    legal = lambda *more: held(T.legal_token("subdivision"), *more).unionByName(held(T.legal_token("legal_text"), *more))
+    parts = lambda side: F.struct("lot", "block").alias(side)
+    lots = search(place(3, "lot", "block").withColumn("c", parts("c")).drop("lot", "block"), legal("lot", "block").withColumn("r", parts("r")).drop("lot", "block"))
+    names = asked(7, F.upper(F.trim(F.try_element_at("owner_names", F.lit(1)))))
+    whole = search(names, held(owner), contain.holding_words)
+    rest = asked(7, F.col("_surname")).join(whole.select("case_id").distinct(), "case_id", "left_anti")
+    near = search(asked(6, F.col("_surname"), "acreage"), held(owner, F.col("acreage").alias("_acreage")), starts=True)
+    return _unioned([
+        of(search(asked(0, T.address_key(T.street_term("stated_address"))), held(T.address_key("situs_address"))), 0),
+        of(asked(1, F.col("parcel_id")).join(held(F.col("parcel_id")).withColumnRenamed("hay", "needle"), [county, "needle"]), 1),
+        of(search(asked(2, F.col("geographic_id")), held(F.col("geographic_id")), starts=True), 2),
+        of(narrow_by_lot(lots, ["case_id"]), 3),
+        of(search(asked(4, T.legal_token(T.search_text("legal_text"))), held(T.legal_token("legal_text"))), 4),
+        of(search(place(5, "_surname"), legal(owner.alias("_owner"))).where(F.contains("_owner", "_surname")), 5),
+        of(near.where(F.abs(F.col("acreage") - F.col("_acreage")) < fixed.SAME_ACREAGE), 6),
+        of(whole, 7),
+        of(search(rest, held(owner), starts=True), 7),
+    ]).groupBy("case_id", "candidate_id").agg(F.min("strategy").alias("strategy"))
 
 
 def narrow_by_lot(pairs: DataFrame, keys: list[str]) -> DataFrame:
