@@ -17,7 +17,7 @@ from ..operators.running import ranked
 from .shared import give_back, small_batches, staged
 
 #: Letters of text that one run of the SQL takes; a longer text is a run of its own.
-BLOCK_LETTERS = 8_000_000
+BLOCK_LETTERS = 2_000_000
 #: Words: letters a-z, digits and all beyond ASCII, after A-Z are lower case.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
