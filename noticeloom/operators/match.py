@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import names as N
 from ..functions import text as T
+from ..sources.stage import written
 from . import contain
 
 CASE = "case_id", "owner_names", "city", "parcel_id", "geographic_id", "legal_text", "subdivision", "lot", "block", "acreage", "mailing_address"
@@ -204,6 +205,11 @@ def _first_person(names) -> Column:
     return F.try_element_at(N.people(F.try_element_at(names, F.lit(1))), F.lit(1))
 
 
+def _kinds(asked: dict[str, tuple[list[int], Column]]) -> list[Column]:
+    """Structs of a kind and its text; the text is null where none of the kind's searches is made."""
+    return [F.struct(F.lit(kind).alias("kind"), F.when(F.arrays_overlap("_searches", F.array(*map(F.lit, numbers))), text).alias("text")) for kind, (numbers, text) in asked.items()]
+
+
 def candidates(cases: DataFrame, records: DataFrame, county: str = "county", budget: int | None = None) -> DataFrame:
     """(case_id, candidate_id, strategy) of eight searches of a case's county; a pair keeps its first strategy.
 
@@ -214,46 +220,50 @@ def candidates(cases: DataFrame, records: DataFrame, county: str = "county", bud
     the name, or, for cases where none has, begins with the surname. Surnames and names are those of the first owner. With
     `budget` each case makes its first so many searches only, as `searches_of` tells. Case ids and candidate ids are unique.
     """
-    told = cases.withColumn("_searches", searches_of(budget)).withColumn("_surname", T.surname(_first_person(F.col("owner_names"))))
     owner = F.upper(F.trim("owner_name"))
-    scope = [county]
-
-    def asked(k: int, needle: Column, *more: str) -> DataFrame:
-        return told.where(F.array_contains("_searches", k)).select(county, F.col("case_id"), *more, needle.alias("needle")).where("needle <> ''")
-
-    def held(hay: Column, *more) -> DataFrame:
-        return records.select(county, "candidate_id", *more, hay.alias("hay")).where("hay <> ''")
-
-    def search(needles: DataFrame, hays: DataFrame, how=contain.containing, **more) -> DataFrame:
-        return contain.found_ids(how(needles, hays, scope, **more), needles, hays, scope)
-
-    of = lambda df, k: df.select("case_id", "candidate_id", F.lit(k).alias("strategy"))
-    place = lambda k, *more: asked(k, T.legal_token(T.subdivision_term("subdivision")), *more)
-    legal = lambda *more: held(T.legal_token("subdivision"), *more).unionByName(held(T.legal_token("legal_text"), *more))
-    parts = lambda side: F.struct("lot", "block").alias(side)
-    lots = search(place(3, "lot", "block").withColumn("c", parts("c")).drop("lot", "block"), legal("lot", "block").withColumn("r", parts("r")).drop("lot", "block"))
-    names = asked(7, F.upper(F.trim(F.try_element_at("owner_names", F.lit(1)))))
-    whole = search(names, held(owner), contain.holding_words)
-    rest = asked(7, F.col("_surname")).join(whole.select("case_id").distinct(), "case_id", "left_anti")
-    near = search(asked(6, F.col("_surname"), "acreage"), held(owner, F.col("acreage").alias("_acreage")), starts=True)
+    told = cases.withColumn("_searches", searches_of(budget)).withColumn("_surname", T.surname(_first_person(F.col("owner_names"))))
+    own = told.select(county, "case_id", "_searches", "_surname", "acreage", F.struct("lot", "block").alias("c"), F.explode(F.array(*_kinds({
+        "street": ([0], T.address_key(T.street_term("stated_address"))), "geographic": ([2], F.col("geographic_id")), "place": ([3, 5], T.legal_token(T.subdivision_term("subdivision"))),
+        "legal": ([4], T.legal_token(T.search_text("legal_text"))), "name": ([6, 7], F.col("_surname")),
+    }))).alias("k")).select("*", "k.kind", F.col("k.text").alias("needle")).drop("k")
+    theirs = records.select(county, "candidate_id", F.col("acreage").alias("_acreage"), owner.alias("_owner"), F.struct("lot", "block").alias("r"), F.explode(F.array(
+        *(F.struct(F.lit(kind).alias("kind"), c.alias("text")) for kind, c in (
+            ("street", T.address_key("situs_address")), ("geographic", F.col("geographic_id")), ("place", T.legal_token("subdivision")), ("place", T.legal_token("legal_text")), ("legal", T.legal_token("legal_text")), ("name", owner),
+        )))).alias("k")).select("*", "k.kind", F.col("k.text").alias("hay")).drop("k")
+    scope = [county, "kind"]
+    needles, hays = own.where("needle <> ''"), theirs.where("hay <> ''")
+    met = contain.containing(needles, hays, scope, starts=lambda of: of("kind").isin("geographic", "name"))
+    found = met.join(needles, [*scope, "needle"]).join(hays, [*scope, "hay"])
+    # A name asks for all its words first; cases for which that finds nothing ask for the surname.
+    names = told.where(F.array_contains("_searches", 7)).select(county, "case_id", F.upper(F.trim(F.try_element_at("owner_names", F.lit(1)))).alias("needle"))
+    owners = records.select(county, "candidate_id", owner.alias("hay"))
+    whole = written(contain.found_ids(contain.holding_words(names, owners, [county]), names, owners, [county]), "whole-names")
+    exact = whole.select("case_id").distinct().withColumn("_exact", F.lit(True))
+    asked = lambda k: F.array_contains("_searches", k)
+    place = F.col("kind") == "place"
+    some = F.max(place & asked(3) & same_lot()).over(Window.partitionBy("case_id"))
+    tests = {
+        0: F.col("kind") == "street", 2: F.col("kind") == "geographic", 3: place & asked(3) & (same_lot() | ~F.col("_some")), 4: F.col("kind") == "legal", 5: place & asked(5) & F.contains("_owner", "_surname"),
+        6: (F.col("kind") == "name") & asked(6) & (F.abs(F.col("acreage") - F.col("_acreage")) < fixed.SAME_ACREAGE), 7: (F.col("kind") == "name") & asked(7) & F.col("_exact").isNull(),
+    }
+    least = F.coalesce(*(F.when(t, F.lit(k)) for k, t in tests.items()))
+    parcels = told.where(asked(1)).select(county, "case_id", "parcel_id").join(records.select(county, "candidate_id", "parcel_id"), [county, "parcel_id"])
     return _unioned([
-        of(search(asked(0, T.address_key(T.street_term("stated_address"))), held(T.address_key("situs_address"))), 0),
-        of(asked(1, F.col("parcel_id")).join(held(F.col("parcel_id")).withColumnRenamed("hay", "needle"), [county, "needle"]), 1),
-        of(search(asked(2, F.col("geographic_id")), held(F.col("geographic_id")), starts=True), 2),
-        of(narrow_by_lot(lots, ["case_id"]), 3),
-        of(search(asked(4, T.legal_token(T.search_text("legal_text"))), held(T.legal_token("legal_text"))), 4),
-        of(search(place(5, "_surname"), legal(owner.alias("_owner"))).where(F.contains("_owner", "_surname")), 5),
-        of(near.where(F.abs(F.col("acreage") - F.col("_acreage")) < fixed.SAME_ACREAGE), 6),
-        of(whole, 7),
-        of(search(rest, held(owner), starts=True), 7),
+        found.withColumn("_some", F.coalesce(some, F.lit(False))).join(exact, "case_id", "left").select("case_id", "candidate_id", least.alias("strategy")).where("strategy is not null"),
+        parcels.select("case_id", "candidate_id", F.lit(1).alias("strategy")), whole.select("case_id", "candidate_id", F.lit(7).alias("strategy")),
     ]).groupBy("case_id", "candidate_id").agg(F.min("strategy").alias("strategy"))
 
 
-def narrow_by_lot(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs whose lot, and block where both are known, agree; all pairs of a case where none do."""
+def same_lot() -> Column:
+    """Whether lot, and block where both are known, of the structs c and r agree."""
     c, r = F.col("c"), F.col("r")
     same = _present(r["lot"]) & (T.legal_token(c["lot"]) == T.legal_token(r["lot"])) & (~(_present(c["block"]) & _present(r["block"])) | (T.legal_token(c["block"]) == T.legal_token(r["block"])))
-    told = pairs.withColumn("_same", F.coalesce(same, F.lit(False)))
+    return F.coalesce(same, F.lit(False))
+
+
+def narrow_by_lot(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs whose lot, and block where both are known, agree; all pairs of a case where none do."""
+    told = pairs.withColumn("_same", same_lot())
     some = F.max("_same").over(Window.partitionBy(*keys))
     return told.withColumn("_some", some).where("_same or not _some").drop("_same", "_some")
 
@@ -288,7 +298,7 @@ def resolve(cases: DataFrame, records: DataFrame, thresholds: Thresholds = Thres
 
     Cases have `stated_address` and `stated_method` beside CASE. A decision for review carries confidence 0; no candidate is UNRESOLVED.
     """
-    found = candidates(cases, records, county)
+    found = written(candidates(cases, records, county), "candidates")
     c = cases.select("case_id", "stated_method", F.struct(*(F.col(n) for n in CASE)).alias("c"))
     r = records.select("candidate_id", F.struct(*(F.col(n) for n in RECORD)).alias("r"))
     pairs = found.join(c, "case_id").join(r, "candidate_id")

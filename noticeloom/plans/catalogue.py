@@ -486,29 +486,6 @@ def legacy_best_match(spark, d):
 
 # ---- Matching
 
-RECORDS = "SELECT p_partkey, concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) AS owner_name, concat(upper(p_type), ' ESTATES') AS subdivision, CAST(p_size AS VARCHAR) AS lot, p_brand AS city FROM part"
-
-
-def _records(spark, d):
-    none = F.lit(None).cast("string")
-    words = F.split("p_name", " ")
-    return views.table(spark, d, "part").select(
-        F.lit("all").alias("county"), F.col("p_partkey").cast("string").alias("candidate_id"), F.concat_ws(" ", F.element_at(words, 2), F.element_at(words, 1)).alias("owner_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(" OAK ST")).alias("situs_address"),
-        F.col("p_brand").alias("city"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("parcel_id"), none.alias("geographic_id"), none.alias("legal_text"), F.concat(F.upper("p_type"), F.lit(" ESTATES")).alias("subdivision"),
-        F.col("p_size").cast("string").alias("lot"), none.alias("block"), F.lit(None).cast("double").alias("acreage"),
-    )
-
-
-def _match_cases(spark, d):
-    none = F.lit(None).cast("string")
-    o = views.table(spark, d, "orders").join(views.table(spark, d, "part"), F.col("p_partkey") == F.col("o_custkey"))
-    return o.select(
-        F.lit("all").alias("county"), F.col("o_orderkey").alias("case_id"), F.array(F.initcap("p_name")).alias("owner_names"), F.col("p_brand").alias("city"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).alias("parcel_id"),
-        none.alias("geographic_id"), none.alias("legal_text"), none.alias("subdivision"), none.alias("lot"), none.alias("block"), F.lit(None).cast("double").alias("acreage"), none.alias("mailing_address"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.col("p_partkey").cast("string"), F.lit(" OAK ST, MISSION, TX 78572"))).alias("stated_address"), F.when(F.col("o_orderpriority") == "1-URGENT", "EXPLICIT_STATED").alias("stated_method"),
-    )
-
-
 @query("""SELECT l_orderkey AS case_id, concat_ws('-', l_suppkey, l_partkey, l_linenumber) AS candidate_id, CASE WHEN pm THEN 0.99::DOUBLE WHEN cm AND lm THEN 0.97::DOUBLE ELSE round(0.05::DOUBLE * cm::INT, 9) END AS score,
     concat_ws(',', CASE WHEN pm THEN 'parcelId' END, CASE WHEN lm AND cm THEN 'subdivision,lot' END, CASE WHEN cm THEN 'city' END) AS matched
     FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_suppkey = o_custkey AS pm, s_nationkey = c_nationkey AS cm, FALSE AS lm FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)""")
@@ -535,13 +512,6 @@ def candidate_resolution(spark, d):
     return match.decide(full).select("case_id", "selected_id", "confidence", "candidate_count", "explanation")
 
 
-@query()
-def resolve_addresses(spark, d):
-    """Stated addresses enriched, others matched; tests hold small cases against the rules."""
-    out = match.resolve(_match_cases(spark, d), _records(spark, d))
-    return out.select("case_id", "address_method", F.round("address_confidence", 6).alias("address_confidence"), "resolved_address", "property_id", "requires_review", "candidate_count")
-
-
 @query("SELECT c_custkey AS id, n_name AS cached_id, CAST(c_nationkey + 1 AS INTEGER) AS times_reused FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3) ON n_nationkey = c_nationkey WHERE n_name IS NOT NULL UNION ALL SELECT c_custkey, NULL, NULL FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey >= 3")
 def match_cache_reuse(spark, d):
     none = F.lit(None).cast("string")
