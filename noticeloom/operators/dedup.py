@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import names as N
 from ..functions import text as T
+from ..sources.stage import written
+from . import contain
 
 
 def identity_key(county, filing_number) -> Column:
@@ -109,10 +113,9 @@ def dice_join(df: DataFrame, id_col: str, text_col: str, least: float = fixed.SA
     # A bigram of one set alone links nothing but takes its place in the order.
     ranked = each.join(often, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("order"))
     prefix = ranked.select("id", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.round(F.col("n") * ratio, 9)) + 1).cast("int"))).alias("p"))
-    keys = prefix.where("p.often > 1").select("id", "n", F.col("p.gram").alias("gram"))
-    left, right = keys.select("gram", F.col("id").alias("a"), F.col("n").alias("na")), keys.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
-    sizes = (F.least("na", "nb") >= F.round(F.greatest("na", "nb") * ratio, 9)) & (F.col("a") < F.col("b"))
-    met = left.join(right, "gram").where(sizes).select("a", "b", "na", "nb").distinct()
+    keys = prefix.where("p.often > 1").select(F.col("p.gram").alias("key"), F.struct("id", "n").alias("id"), F.lit(False).alias("several"))
+    met = met_by_key(keys).select("a.id", F.col("a.n").alias("na"), F.col("b.id").alias("b"), F.col("b.n").alias("nb")).withColumnRenamed("id", "a")
+    met = met.where(F.least("na", "nb") >= F.round(F.greatest("na", "nb") * ratio, 9)).distinct()
     sets = reps.select("id", "grams")
     full = met.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     dice = F.size(F.array_intersect("x", "y")) * 2.0 / (F.col("na") + F.col("nb"))
@@ -162,32 +165,46 @@ def met_by_key(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _linked(values: DataFrame) -> DataFrame:
+    """(id, value) with the keys under which equal and contained values meet: the value itself, and each pair of values of which one holds the other."""
+    every = values.select("value").distinct()
+    met = contain.containing(every.withColumnRenamed("value", "needle"), every.withColumnRenamed("value", "hay")).where("needle <> hay")
+    pair = F.concat_ws("\x1e", "hay", "needle")
+    links = met.select(F.col("hay").alias("value"), pair.alias("key")).unionByName(met.select(F.col("needle").alias("value"), pair.alias("key")))
+    return values.select("id", F.col("value").alias("key")).unionByName(values.join(links, "value").select("id", "key"))
+
+
 def blocked_pairs(cases: DataFrame, id_col: str = "case_id", least: float = fixed.SAME_TEXT, block: int = BLOCK) -> DataFrame:
-    """Pairs a <= b of classes worth scoring, with dice where texts are near: same tracking number, near text, or two equal fields.
+    """Pairs a <= b of classes worth scoring, with dice where texts are near: same tracking number, near text, or two matching fields.
 
     Rows equal in all scored fields are a class (`snapshot_classes`) and its smallest id stands for it; a = b says that
     a class of several rows is worth scoring with itself, and `class_members` gives the pairs of rows. All classes of a
-    key meet. Fields meet by equal normalised keys, so names or addresses that only contain one another meet
-    through another field or not at all: the one bound on recall.
+    key meet. Fields match as in `score_pairs`: names, addresses, subdivisions and lenders also where one holds the other, a lot
+    also with a missing one. No pair that `score_pairs` gives a tier is left out.
     """
     alone = snapshot_classes(cases, id_col).where("id = class_id").select("id", (F.col("members") > 1).alias("several"))
     reps = cases.withColumnRenamed(id_col, "id").join(alone, "id")
-    names = F.array_sort(F.transform("borrower_names", T.comparison_key))
-    values = {
-        "track": T.tracking_number("raw_text"), "address": T.comparison_key("property_address"), "legal": F.concat_ws("|", T.comparison_key("subdivision"), T.comparison_key("lot")),
-        "names": F.array_join(names, "|"), "principal": F.col("principal_cents").cast("string"), "deed": F.col("deed_date").cast("string"),
-        "sale": F.col("sale_date").cast("string"), "lender": T.comparison_key("lender_name"),
-    }
-    one = reps.select("id", "several", *(F.nullif(v, F.lit("")).alias(k) for k, v in values.items()))
-    fields = [k for k in values if k != "track"]
-    told = lambda p, q: F.when(F.col(p).isNotNull() & F.col(q).isNotNull(), F.concat_ws("\x1f", F.lit(f"{p}+{q}"), p, q))
-    keys = [F.concat(F.lit("track="), "track"), *(told(p, q) for i, p in enumerate(fields) for q in fields[i + 1 :])]
-    every = one.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "id", "several")
+    of = lambda value: reps.select("id", value.alias("value")).where("value <> ''")
+    field = lambda df, name: df.select("id", F.lit(name).alias("field"), "key")
+    legal = _linked(of(T.comparison_key("subdivision"))).join(reps.select("id", F.coalesce(T.comparison_key("lot"), F.lit("")).alias("lot")), "id")
+    # A row without a lot is met by every lot of its subdivision.
+    lots = legal.select("key", F.col("lot").alias("_lot")).distinct()
+    placed = legal.where("lot <> ''").unionByName(legal.where("lot = ''").drop("lot").join(lots, "key").withColumnRenamed("_lot", "lot").select(*legal.columns))
+    equal = {"principal": F.col("principal_cents").cast("string"), "deed": F.col("deed_date").cast("string"), "sale": F.col("sale_date").cast("string")}
+    names = reps.select("id", F.explode(F.array_distinct(F.transform("borrower_names", T.comparison_key))).alias("value")).where("value <> ''")
+    parts = [
+        field(_linked(of(T.comparison_key("property_address"))), "address"), field(_linked(of(T.comparison_key("lender_name"))), "lender"), field(_linked(names), "names"),
+        field(placed.select("id", F.concat_ws("\x1d", "key", "lot").alias("key")), "legal"), *(field(of(c).withColumnRenamed("value", "key"), n) for n, c in equal.items()),
+    ]
+    every = written(functools.reduce(DataFrame.unionByName, parts), "field-keys")
+    two = every.alias("p").join(every.alias("q"), F.expr("p.id = q.id and p.field < q.field")).select(F.col("p.id").alias("id"), *(F.xxhash64(F.lit(k), "p.field", "p.key", "q.field", "q.key").alias(f"h{k}") for k in (0, 1)))
+    tracked = of(T.tracking_number("raw_text")).select("id", *(F.xxhash64(F.lit(k), F.lit("track"), "value").alias(f"h{k}") for k in (0, 1)))
+    keyed = two.unionByName(tracked).select(F.struct("h0", "h1").alias("key"), "id").distinct().join(alone, "id").select("key", "id", "several")
     # Equal texts meet by their class; near ones by their classes' representatives.
-    texts = text_classes(reps, "id", "raw_text").where("size(grams) > 0").select("id", "class_id")
+    texts = written(text_classes(reps, "id", "raw_text").where("size(grams) > 0").select("id", "class_id"), "text-classes")
     same = met_by_key(texts.join(alone, "id").select(F.col("class_id").alias("key"), "id", "several"), block).withColumn("dice", F.lit(1.0))
     near = class_members(dice_join(reps, "id", "raw_text", least), texts).select("a", "b", "dice")
-    met = met_by_key(every, block).withColumn("dice", F.lit(0.0)).unionByName(same).unionByName(near)
+    met = met_by_key(keyed, block).withColumn("dice", F.lit(0.0)).unionByName(same).unionByName(near)
     return met.groupBy("a", "b").agg(F.max("dice").alias("dice"))
 
 

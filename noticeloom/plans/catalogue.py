@@ -436,29 +436,6 @@ def near_dup_members(spark, d):
     return dedup.text_classes(views.table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "class_id")
 
 
-@query()
-def duplicate_tier(spark, d):
-    """Scored pairs of notices made from orders; tests hold the scores against the rules."""
-    n = views.notices(spark, d)
-    snap = n.select(
-        F.col("doc_id").alias("case_id"), F.array("grantor").alias("borrower_names"), F.concat(F.col("house").cast("string"), F.lit(" OAK ST, MISSION, TX 78572")).alias("property_address"),
-        F.concat(F.col("kind"), F.lit(" ESTATES")).alias("subdivision"), "lot", (F.col("dollars") * 100).alias("principal_cents"), F.col("sale").cast("string").alias("sale_date"), F.col("deed").cast("string").alias("deed_date"),
-        F.lit("Summit Ridge Bank").alias("lender_name"), F.col("text").alias("raw_text"),
-    )
-    # A plan of its own: what Spark infers from the text's expression, which holds the id, takes minutes.
-    snap = snap.mapInArrow(lambda batches: batches, snap.schema)
-    # All have one lender, so a second equal field meets. Without one, names, address, legal text, amount, three dates and
-    # number differ, by more bigrams than near texts may: texts are compared where pairs have met, and need no search.
-    lean = snap.withColumn("raw_text", T.tracking_number("raw_text"))
-    one = lean.select("case_id", F.struct(*dedup.SCORED).alias("s"), T.comparison_key("property_address").alias("k"))
-    pairs = dedup.class_members(dedup.blocked_pairs(lean), dedup.snapshot_classes(lean)).select("a", "b")
-    full = pairs.join(one.select(F.col("case_id").alias("a"), F.col("s").alias("_a"), F.col("k").alias("ka")), "a").join(one.select(F.col("case_id").alias("b"), F.col("s").alias("_b"), F.col("k").alias("kb")), "b")
-    # Every notice has an address; where neither holds the other they conflict, and the pair has no tier.
-    told = dedup.text_dice(full.where(F.col("ka").contains(F.col("kb")) | F.col("kb").contains(F.col("ka"))), snap, "a", "b", "case_id", "raw_text")
-    scored = dedup.score_pairs(told.select(F.col("a").alias("case_a"), F.col("b").alias("case_b"), "dice", F.col("_a").alias("a"), F.col("_b").alias("b")))
-    return scored.where("confidence is not null").select("case_a", "case_b", F.round("score", 6).alias("score"), "confidence", text("matched").alias("matched"))
-
-
 @query("""WITH l AS (SELECT c_custkey AS legacy_id, c_nationkey AS nation, c_mktsegment AS segment, substr(c_name, 10, 7) AS stem, c_custkey % 7 AS k, CASE WHEN c_custkey % 40 = 0 THEN concat('F', c_custkey // 40) END AS number,
       CASE WHEN c_custkey % 40 = 1 THEN concat('I', c_custkey // 40) END AS instrument FROM customer),
     i AS (SELECT s_suppkey AS case_id, s_nationkey AS nation, CASE WHEN s_acctbal > 5000 THEN 'BUILDING' ELSE 'MACHINERY' END AS segment, substr(s_name, 10, 7) AS stem, s_suppkey % 7 AS k, concat('F', s_suppkey // 2) AS number,
