@@ -149,17 +149,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {"languages": languages, "weights": weights, "idf": idf, "temperature": float(model.loc[model["class"] < 0, "weight"].iloc[0])}
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (by default all) of every row, with lang_pred and score (0 to 1).
+def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns `keep` (by default all) of every row, with the language and its score (0 to 1), under `names`.
 
     Texts that are null or have no letter, and any text under a model without languages,
     are `und` with score 0. One pass, no shuffle; extra columns stay as they are, but for ones
-    named lang_pred, score or _text_.
+    that have the `names` of results: give other names to keep them.
     """
     import numpy as np
 
-    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "_text_")]
-    taken = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep if c != text_col), F.col(text_col).alias("_text_"))
+    keep = [c for c in keep or docs.columns if c not in names]
+    taken = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep if c != text_col), F.col(f"`{text_col}`").alias("_noticeloom_text_"))
     languages, heat, text_kept = model["languages"], model["temperature"], text_col in keep
     if languages:
         table = np.concatenate([model["weights"] * model["idf"] * SCALE, model["idf"][None]]).T.astype(np.float32)
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType(taken.schema.fields[:] if text_kept else taken.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType(taken.schema.fields[:] if text_kept else taken.schema.fields[:-1]).add(names[0], StringType()).add(names[1], DoubleType())
     schema_names = schema.names
     found = taken.mapInArrow(run, schema)
-    return found.withColumnRenamed("_text_", text_col).select(*(f"`{c}`" for c in keep), "lang_pred", "score")
+    return found.withColumnRenamed("_noticeloom_text_", text_col).select(*(f"`{c}`" for c in keep), *names)

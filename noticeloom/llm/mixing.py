@@ -7,6 +7,8 @@ rate x tokens x posterior sums to each domain's target. What a target is missed
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ COLUMNS = 1 << 16
 SCALE = 20.0
 #: Labelled rows that the fit takes of each domain at most, in expectation, chosen by hash.
 SAMPLE_PER_DOMAIN = 2500
-#: The solver stops when all shares are this close to their targets, or stand still; or after so many steps.
-TOLERANCE, STEPS = 1e-4, 30
+#: The solver ends when its slope is this flat, or when no step, however short, goes down. RIDGE keeps it finite where targets cannot be met.
+TOLERANCE, SHORTEST, RIDGE = 1e-5, 2.0**-20, 1e-7
 #: Production targets: shares of all tokens by domain (quality and toxicity labels).
 TARGETS = {"q1_t0": 0.90, "q0_t0": 0.07, "q1_t1": 0.03}
 
@@ -59,7 +61,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Multinomial logistic regression of labels' `domain` on hashed words, on a bounded sample.
 
     `labels` has the id and `domain`; null domains are left out, of several the least counts.
-    The sample's ids are a bounded broadcast; its vectors meet in one task.
+    The sample's ids are a bounded broadcast; its vectors meet in one task, in an
+    order of their ids' hashes, so the fit does not depend on how rows lie.
     """
     import numpy as np
 
@@ -74,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         number = F.when(F.col("domain") == d, k).otherwise(number)
     chance = F.pmod(F.xxhash64("_id_", F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
     sample = known.where(chance < share).select("_id_", number.alias("label"))
-    read = small_batches(docs).select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_").select("label", "text")
+    read = small_batches(docs).select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_").select(F.xxhash64("_id_", F.lit("order")).alias("place"), "label", "text")
 
     def vectors(batches):
         import pyarrow as pa
@@ -83,11 +86,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lexicon = Lexicon(lambda w: kept[0].add(word_features(w)), lambda: kept.__setitem__(0, Rows(3, "i8")))
         for batch in batches:
             at, x = [], []
-            for ids in lexicon.ids(batch.column(1).to_pylist(), _split):
+            for ids in lexicon.ids(batch.column(2).to_pylist(), _split):
                 f, n = np.unique(kept[0].rows[ids].ravel(), return_counts=True)
                 at.append(f.astype(np.int32))
                 x.append((n / max(1, len(ids)) * SCALE).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], ["label", "at", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], ["place", "label", "at", "x"])
 
     prior = np.array([counts[d] for d in domains], float) / sum(counts.values())
 
@@ -96,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         rows, y = [], []
         for batch in batches:
-            for label, at, x in zip(*(batch.column(i) for i in range(3))):
+            for label, at, x in zip(*(batch.column(i) for i in (1, 2, 3))):
                 rows.append((np.append(0, at.values.to_numpy()), np.append(1.0, x.values.to_numpy().astype(float))))
                 y.append(label.as_py())
         taken = np.bincount(np.array(y, int), minlength=len(domains)) / max(1, len(y))
@@ -105,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         c, f = np.nonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(f), pa.array(w[c, f])], ["class", "feature", "weight"])
 
-    model = read.mapInArrow(vectors, "label int, at array<int>, x array<float>").repartition(1).mapInArrow(learn, "class long, feature long, weight double").toPandas()
+    model = read.mapInArrow(vectors, "place long, label int, at array<int>, x array<float>").repartition(1).sortWithinPartitions("place", "label", "at").mapInArrow(learn, "class long, feature long, weight double").toPandas()
     weights = np.zeros((len(domains), COLUMNS))
     weights[model["class"], model["feature"]] = model["weight"]
     return {"domains": domains, "weights": weights}
@@ -136,26 +139,24 @@ def memberships(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
 
 
-def _rate(steps: list[list[float]], most: float | None) -> Column:
-    """The rate after the given steps: from 1, each step goes down its slope and back into bounds."""
-    bounded = (lambda r: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r))) if most is not None else (lambda r: F.greatest(F.lit(0.0), r))
-    rate = F.lit(1.0)
-    if not steps:
-        return rate
-    return F.aggregate(
-        F.array(*(F.array(*map(F.lit, g)) for g in steps)), rate,
-        lambda r, g: bounded(r - F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)),
-    )
+def _unbound(prices: list[float]) -> Column:
+    """1 and all steps so far, before the projection: steps add up to one number a domain."""
+    return functools.reduce(lambda x, iv: x + F.lit(float(iv[1])) * F.element_at("posterior", iv[0] + 1), enumerate(prices), F.lit(1.0))
+
 
+def _rate(prices: list[float], most: float | None) -> Column:
+    """The rate: from 1 down all slopes, and then projected into its bounds."""
+    down = F.greatest(F.lit(0.0), _unbound(prices))
+    return down if most is None else F.least(F.lit(float(most)), down)
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
-    """Projected-gradient least squares on domain totals; returns the steps, the shares that they reach, and the targets as shares.
 
-    The residuals weigh by the inverse of the domains' Gram matrix over all documents, so
-    that small domains converge as fast as large ones; with that weight the slope's Lipschitz
-    constant is 1 at most and every step of length 1 goes down. Rates are not stored: they
-    follow from the steps, one number a domain each. An iteration sums one value a domain
-    over all documents; it ends when the sums stand still or match the targets.
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = None) -> tuple[list[float], list[float], list[float]]:
+    """Projected-gradient least squares on domain totals; returns the sum of all steps, the shares that they reach, and the targets as shares.
+
+    The projection comes after the sum of the steps, so what is kept is one number a domain, and rates are the nearest to 1 that meet the
+    targets. A step is the slope scaled by the domains' Gram matrix over the documents within their bounds, and halved until
+    it goes down. A try sums one value a domain and one a pair of domains over all documents. There is no limit
+    of steps: the problem is strictly convex, so it ends at its one solution, at the least squares where targets cannot be met.
     """
     import numpy as np
 
@@ -164,23 +165,43 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     want = want / want.sum() if want.sum() else np.full(k, 1 / k)
     p = [F.element_at("posterior", i + 1) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = [float(x or 0) for x in members.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * p[i] * p[j]).alias(f"s{i}_{j}") for i, j in pairs)).first()]
-    if not row[0]:
-        return [], want.tolist(), want.tolist()
-    gram = np.zeros((k, k))
-    for (i, j), x in zip(pairs, row[1:]):
-        gram[i, j] = gram[j, i] = x / row[0]
-    weight = np.linalg.inv(gram + 1e-3 * np.eye(k))
-    steps: list[list[float]] = []
-    got = np.full(k, -1.0)
-    for _ in range(STEPS):
-        held = members.select("tokens", "posterior", _rate(steps, most).alias("rate"))
-        sums = held.agg(*(F.sum(F.col("tokens") * F.col("rate") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
-        before, got = got, np.array([float(x) for x in sums]) / row[0]
-        if np.abs(got - want).max() < TOLERANCE or np.abs(got - before).max() < TOLERANCE / 10:
+    total = members.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return [0.0] * k, want.tolist(), want.tolist()
+    # Sums of whole numbers do not depend on how rows lie.
+    whole = lambda x: F.sum(F.round(F.col("tokens") * x * 1e6).cast("decimal(38,0)"))
+
+    def tried(prices):
+        """What the prices cost, the shares of the domains, and their Gram matrix over the documents within their bounds."""
+        rate, own = _rate(prices.tolist(), most), _unbound(prices.tolist())
+        within = (own > 0) & (F.lit(True) if most is None else own < most)
+        sums = members.select("tokens", "posterior", rate.alias("rate"), own.alias("own"), within.alias("within")).agg(
+            whole(F.col("rate") * F.col("own") - F.col("rate") * F.col("rate") / 2).alias("cost"), *(whole(F.col("rate") * x).alias(f"s{i}") for i, x in enumerate(p)),
+            *(whole(F.when(F.col("within"), p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs),
+        ).first()
+        cost, *rest = [float(x) / 1e6 / total for x in sums]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, rest[k:]):
+            gram[i, j] = gram[j, i] = x
+        return cost - prices @ want + RIDGE / 2 * prices @ prices, np.array(rest[:k]), gram
+
+    prices = np.zeros(k)
+    cost, got, gram = tried(prices)
+    while True:
+        slope = got - want + RIDGE * prices
+        if np.abs(slope).max() < TOLERANCE:
+            break
+        step, length = -np.linalg.solve(gram + RIDGE * np.eye(k), slope), 1.0
+        while length >= SHORTEST:
+            told = tried(prices + length * step)
+            if told[0] <= cost + 1e-4 * length * (slope @ step):
+                break
+            length /= 2
+        else:
             break
-        steps.append((weight @ (got - want)).tolist())
-    return steps, got.tolist(), want.tolist()
+        prices = prices + length * step
+        cost, got, gram = told
+    return prices.tolist(), got.tolist(), want.tolist()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
@@ -195,10 +216,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     model = train(docs, labels, id_col, text_col)
     members = staged(memberships(docs, model, id_col, text_col), "memberships")
-    steps, got, want = fit_rates(members, model["domains"], targets or TARGETS, most)
+    prices, got, want = fit_rates(members, model["domains"], targets or TARGETS, most)
     missed = max(abs(a - b) for a, b in zip(got, want))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
     return members.select(
         "doc_id", "tokens", *(F.element_at("posterior", i + 1).alias(f"p_{d}") for i, d in enumerate(model["domains"])),
-        _rate(steps, most).alias("rate"), F.lit(missed).alias("missed_by"),
+        _rate(prices, most).alias("rate"), F.lit(missed).alias("missed_by"),
     ).withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))

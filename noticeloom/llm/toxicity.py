@@ -35,6 +35,8 @@ SAMPLE_PER_CLASS = 6000
 SUPPORT, ODDS, PATTERNS = 6, 2.5, 20_000
 #: Kinds of paths that the logistic layer weighs, after its constant.
 PATHS = ("plain", "targeted", "negated", "reported", "threat", "clauses", "heaviest")
+#: Working columns.
+SCORED, PATH_SUMS = "_noticeloom_scored_", "_noticeloom_paths_"
 #: Words after a negation that it turns, and words on either side at which a target is near.
 NEGATION_REACH, NEAR = 3, 3
 #: Kinds of words, as bits of the symbol that transducers read; a word may be of several.
@@ -188,9 +190,9 @@ def _path_features(docs: DataFrame, insults: dict[str, float], text_col: str) ->
         lexicon = WordCodes(model.value)
         for batch in batches:
             rows = [score_clauses(lexicon.codes.rows[ids]) for ids in lexicon.ids(batch.column(at).to_pylist(), split_words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names, "paths"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names, PATH_SUMS])
 
-    return taken.mapInArrow(run, StructType([*taken.schema.fields]).add("paths", ArrayType(DoubleType())))
+    return taken.mapInArrow(run, StructType([*taken.schema.fields]).add(PATH_SUMS, ArrayType(DoubleType())))
 
 
 def _pattern_counts(sample: DataFrame) -> DataFrame:
@@ -236,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sample.withColumn("late", F.pmod(F.xxhash64("_id_", F.lit("late")), F.lit(2)) == 1)
     read = small_batches(docs).select(F.col(id_col).cast("long").alias("_id_"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id_")
     early = insults | _learned(read.where("not late"))
-    fitted = _path_features(read.where("late").select("toxic", "text"), early, "text").select("toxic", "paths").toPandas()
-    layer = fit_layer(np.array(fitted["paths"].tolist()).reshape(-1, len(PATHS)), fitted["toxic"].to_numpy(), bad / total)
+    fitted = _path_features(read.where("late").select("toxic", "text"), early, "text").select("toxic", PATH_SUMS).toPandas()
+    layer = fit_layer(np.array(fitted[PATH_SUMS].tolist()).reshape(-1, len(PATHS)), fitted["toxic"].to_numpy(), bad / total)
     return {"insults": insults | _learned(read), "layer": layer}
 
 
@@ -276,19 +278,19 @@ def fit_layer(paths, toxic, share: float):
     return w
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (by default all) with score (0 to 1) and predicted (1 from 0.5).
+def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Columns `keep` (by default all) with the score (0 to 1) and what it predicts (1 from 0.5), under `names`.
 
     Null and empty texts have the score of a text without a matched clause. One pass, no
     shuffle; repeated rows score alike; extra columns stay as they are, but for ones that have
-    the names of results or of working columns (score, predicted, paths, _scored_).
+    the `names` of results: give other names to keep them.
     """
-    keep = [c for c in keep or docs.columns if c not in ("score", "predicted", "paths", "_scored_")]
-    taken = docs.select(*(F.col(f"`{c}`") for c in keep if c != text_col), F.col(text_col).alias("_scored_"))
+    keep = [c for c in keep or docs.columns if c not in names]
+    taken = docs.select(*(F.col(f"`{c}`") for c in keep if c != text_col), F.col(f"`{text_col}`").alias(SCORED))
     layer = [float(x) for x in model["layer"]]
     logit = F.lit(layer[0])
     for k, w in enumerate(layer[1:]):
-        logit = logit + w * F.log1p(F.greatest(F.element_at("paths", k + 1), F.lit(0.0)))
+        logit = logit + w * F.log1p(F.greatest(F.element_at(PATH_SUMS, k + 1), F.lit(0.0)))
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
-    found = _path_features(taken, model["insults"], "_scored_").withColumn("score", p).withColumnRenamed("_scored_", text_col)
-    return found.select(*(f"`{c}`" for c in keep), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    found = _path_features(taken, model["insults"], SCORED).withColumn(names[0], p).withColumnRenamed(SCORED, text_col)
+    return found.select(*(f"`{c}`" for c in keep), names[0], F.when(F.col(names[0]) >= 0.5, 1).otherwise(0).alias(names[1]))

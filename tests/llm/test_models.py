@@ -216,3 +216,36 @@ def test_mixing_clashing_columns_repeats_and_long_texts(spark):
     labels = spark.createDataFrame([(i, "a" if i % 2 else "b", 1) for i in range(120)], "doc_id long, domain string, text int")
     got = mixing.mix(df, labels, {"a": 0.9, "b": 0.1}).collect()
     assert len(got) == 122 and [r["tokens"] for r in got if r["doc_id"] == 500] == [50_000] and len({(r["rate"], r["copies"]) for r in got if r["doc_id"] == 0}) == 1
+
+
+def _members(spark, rows, parts):
+    return spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(rows)], "doc_id long, tokens long, posterior array<double>").repartition(parts)
+
+
+def test_mixing_is_least_squares_whatever_the_order(spark):
+    """Against plain projected gradient steps, many of them, for targets that can and cannot be met."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for sharp, want in ((6.0, {"a": 0.6, "b": 0.3, "c": 0.1}), (1.0, {"a": 0.5, "b": 0.2, "c": 0.3}), (0.3, {"a": 0.98, "b": 0.01, "c": 0.01})):
+        p = rng.dirichlet(np.ones(3) / sharp, 60)
+        tokens = rng.integers(0, 300, 60)
+        rows = [(int(n), [float(x) for x in q]) for n, q in zip(tokens, p)]
+        one, seven = (mixing.fit_rates(_members(spark, rows, n), ["a", "b", "c"], want) for n in (1, 7))
+        assert one == seven
+        rate, goal, t = np.ones(60), np.array(list(want.values())), tokens / tokens.sum()
+        for _ in range(40_000):
+            rate = np.maximum(0, rate - 0.9 * p @ ((t * rate) @ p - goal) / ((t * p.T) @ p).trace() * 1)
+        reached = np.abs((t * rate) @ p - goal).max()
+        missed = max(abs(a - b) for a, b in zip(one[1], one[2]))
+        assert missed <= reached + 0.01
+
+
+def test_mixing_does_not_depend_on_how_rows_lie(spark):
+    rng = random.Random(9)
+    docs = [(i, prose(rng, "xx" if i % 2 else "yy", 40)) for i in range(80)]
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(60)], "doc_id long, domain string")
+    got = [sorted(tuple(r) for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), labels, {"a": 0.8, "b": 0.2}).collect()) for n in (1, 7)]
+    assert [(r[0], r[1]) for r in got[0]] == [(r[0], r[1]) for r in got[1]]
+    assert all(x == pytest.approx(y, abs=1e-9) for a, b in zip(*got) for x, y in zip(a, b))
+    assert got[0][0][5] < 0.01

@@ -47,3 +47,21 @@ def test_an_id_on_two_texts_loses_only_the_copy(spark):
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns named like results, empty tables and very long texts go through every stage."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "ter", "un"]) for _ in range(3)) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    shape = "doc_id long, text string, lang string, score double, predicted string, paths int, lang_pred string, copies int, `rate x` int, noticeloom string"
+    rows = [(i, text(60 if i else 50_000), "xx", i / 7, "p", i, "l", 3, 4, "n") for i in range(40)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, shape)
+        kept = {r["doc_id"]: tuple(r) for r in docs.collect()}
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.schema == docs.schema
+            assert all(tuple(r) == kept[r["doc_id"]] for r in out.collect())
+        assert bool(corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()) == bool(given)
