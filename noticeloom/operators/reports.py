@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import values as V
 from .publish import real_borrower
+from .running import ranked
 
 
 def pct(part: Column, whole: Column) -> Column:
@@ -140,16 +141,12 @@ def coverage(total: int, df: DataFrame, suppressed: Column) -> DataFrame:
 
 
 def first_new(df: DataFrame, known: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """The first `n` rows in order whose key is unknown, and each one's ordinal among all rows.
+    """The first `n` rows in order whose key is unknown, and each one's ordinal among all rows. `order` is unique.
 
     Ordinals come from sorted ranges and their sizes, not from one sorted task.
     """
     flagged = df.join(known.select(key).distinct().withColumn("_old", F.lit(True)), key, "left")
-    new = flagged.where("_old is null").drop("_old").orderBy(*order).limit(n)
-    # Rows before each of the n chosen: one pass with n bounds, pre-aggregated.
-    bound = F.broadcast(new.select(F.struct(*order).alias("_bound")))
-    counts = df.select(F.struct(*order).alias("_at")).join(bound, F.col("_at") <= F.col("_bound")).groupBy("_bound").agg(F.count(F.lit(1)).alias("ordinal"))
-    return new.withColumn("_bound", F.struct(*order)).join(counts, "_bound").drop("_bound")
+    return ranked(flagged, order, "ordinal").where("_old is null").drop("_old").orderBy("ordinal").limit(n)
 
 
 def rollup_priority(tasks: DataFrame, rank: Column) -> DataFrame:

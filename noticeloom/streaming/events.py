@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import running_sums, runs
+
 
 def idempotent(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Batch: each event once, the first by `order`."""
@@ -18,35 +20,43 @@ def idempotent_stream(events: DataFrame, keys: list[str], time: str | None = Non
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def fixed_windows(times: Column, length: Column, limit: int) -> Column:
-    """For ordered times, in seconds, whether each is within a limit of hits per window.
-
-    A window opens with the first hit after the last one closed: not a token bucket, not a clock window.
-    """
-    start = F.struct(F.lit(None).cast("double").alias("open"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("ok"))
-
-    def hit(s: Column, t: Column) -> Column:
-        fresh = s["open"].isNull() | (t - s["open"] >= length)
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(fresh, t).otherwise(s["open"]).alias("open"), n.alias("n"), F.concat(s["ok"], F.array(n <= limit)).alias("ok"))
-
-    return F.aggregate(times, start, hit, lambda s: s["ok"])
+def opened(state: tuple | None, at: float, length: float) -> tuple[float, int]:
+    """The window that a hit falls into and its number there. A window opens with the first hit after the last one closed: not a token bucket, not a clock window."""
+    if state is None or at - state[0] >= length:
+        return at, 1
+    return state[0], state[1] + 1
 
 
 def rate_limited(events: DataFrame, key: str, time: str, id_col: str, window_s: float, limit: int) -> DataFrame:
-    """Events with `allowed`. A window depends on all earlier hits of its key, so a key's times fold in order.
+    """Events with `allowed`. A window depends on all earlier hits of its key, so hits are folded in order.
 
-    Keys are first cut where a gap of a whole window makes a fresh start certain, so that a busy key's history is as
-    many small folds as it has such gaps.
+    Where a gap of a whole window makes a fresh start certain a key's history is cut, over sorted ranges, into runs that
+    stand alone. Runs stream through tasks sorted; what a task keeps is one window and its count, however long a
+    run is. Hits without a time are runs of their own and allowed; ties go by id.
     """
-    t = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    order = Window.partitionBy(key).orderBy(time, id_col)
-    gaps = events.withColumn("_t", t).withColumn("_gap", F.coalesce((F.col("_t") - F.lag("_t").over(order) >= window_s).cast("int"), F.lit(1)))
-    runs = gaps.withColumn("_run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("_t", id_col))).alias("h"))
-    told = folded.withColumn("ok", fixed_windows(F.transform("h", lambda x: x["_t"]), F.lit(window_s), limit))
-    flat = told.select(key, F.explode(F.zip_with("h", "ok", lambda x, ok: F.struct(x[id_col].alias("id"), ok.alias("ok")))).alias("z"))
-    return flat.select(F.col("z.id").alias(id_col), key, F.col("z.ok").alias("allowed"))
+    timed = events.select(id_col, key, (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("_t"))
+    cut = runs(timed, [key], ["_t", id_col], window_s, "_run")
+    # An order for null keys too, which are one key.
+    sorted_ = cut.select(id_col, key, "_t", "_run").repartition(key, "_run").sortWithinPartitions(key, "_run", "_t", id_col)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        now, state = None, None
+        for batch in batches:
+            told = []
+            for own, at, run in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if (own, run) != now:
+                    now, state = (own, run), None
+                if at is None:
+                    told.append(limit >= 1)
+                    continue
+                state = opened(state, at, window_s)
+                told.append(state[1] <= limit)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(told, pa.bool_())], [id_col, key, "allowed"])
+
+    schema = events.select(id_col, key).withColumn("allowed", F.lit(True)).schema
+    return sorted_.mapInArrow(fold, schema)
 
 
 def last_state(events: DataFrame, key: str, time: str, id_col: str, states: dict[str, str]) -> DataFrame:
@@ -68,6 +78,5 @@ def last_state_stream(events: DataFrame, key: str, time: str, id_col: str, state
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: float) -> DataFrame:
-    """Rows taken in order while their summed cost stays within the budget of each group."""
-    running = F.sum(cost).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("spent", running).withColumn("within_budget", F.col("spent") <= budget)
+    """Rows taken in order while their summed cost stays within the budget of each group. `order` is unique within it."""
+    return running_sums(df, keys, order, F.col(cost), "spent").withColumn("within_budget", F.col("spent") <= budget)
