@@ -309,3 +309,27 @@ def linked(scored: DataFrame, links: DataFrame, tasks: DataFrame) -> tuple[DataF
     notes = F.concat(F.lit("Possible duplicate of case "), F.col("l.case_a").cast("string"), F.lit(" ("), F.col("l.confidence"), F.lit(")."))
     opened = first.join(had, "case_b", "left_anti").select(F.col("case_b").alias("case_id"), F.lit(reason).alias("reason"), F.lit("OPEN").alias("status"), notes.alias("notes"))
     return kept.unionByName(renewed.select(*kept.columns)), tasks.unionByName(opened)
+
+
+def merged_into_final(cases: DataFrame, id_col: str = "case_id", into_col: str = "merged_into") -> DataFrame:
+    """Per merged case (id, final_id, cyclic): the case that its chain of merges ends in.
+
+    Pointers jump: each round a case points as far again, so a chain of n merges takes about log n rounds. A case that points to one
+    that is not merged is done and leaves the rounds, so a survivor of many is looked up once by each. Rounds that
+    finish nobody leave circles, and what leads to them: cyclic, without a final id. Ids are unique; a case merged into itself or into an unknown
+    id is a circle of one, or ends there.
+    """
+    merged = cases.where(F.col(into_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(into_col).alias("at"))
+    now = written(merged.withColumn("done", F.lit(False)), "chains-0")
+    left, rounds = now.count(), 0
+    while left:
+        rounds += 1
+        step = now.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("done").alias("_done"))
+        jumped = now.where("not done").join(step, "at", "left").select(
+            "id", F.coalesce("_at", "at").alias("at"), (F.col("_at").isNull() | F.col("_done")).alias("done")
+        )
+        now = written(now.where("done").unionByName(jumped), f"chains-{rounds}")
+        before, left = left, now.where("not done").count()
+        if left == before:
+            break
+    return now.select(F.col("id").alias(id_col), F.when(F.col("done"), F.col("at")).alias("final_id"), (~F.col("done")).alias("cyclic"))

@@ -340,3 +340,15 @@ def valuation_lookback(years: DataFrame, keys: list[str], as_of_year: int, most:
     window = Window.partitionBy(*keys).orderBy(F.col("tax_year").desc()).rowsBetween(Window.unboundedPreceding, -1)
     near = years.where(F.col("tax_year").between(as_of_year - most, as_of_year))
     return near.withColumn("_found", F.coalesce(F.max("populated").over(window), F.lit(False))).where("not _found").drop("_found")
+
+
+def recorded_matches(cache: DataFrame, matches: DataFrame, county: str = "county") -> DataFrame:
+    """Changes of the cache of resolved legal descriptions after `matches` (county, legal_key, candidate_id): a known key was reused once more a match.
+
+    Rows (county, legal_key, candidate_id, times_reused), to be merged into `cache`; of several matches of a key the last candidate id counts. Matches
+    without a key change nothing.
+    """
+    made = matches.where("legal_key is not null").groupBy(county, "legal_key").agg(F.max("candidate_id").alias("candidate_id"), F.count(F.lit(1)).alias("_made"))
+    known = cache.select(county, "legal_key", F.col("times_reused").alias("_times"))
+    times = F.coalesce(F.col("_times") + F.col("_made"), F.col("_made") - 1)
+    return made.join(known, [county, "legal_key"], "left").select(county, "legal_key", "candidate_id", times.cast("long").alias("times_reused"))
