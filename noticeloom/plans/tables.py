@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, match
+from ..operators import dedup, fallback, match
 from ..sources.stage import shared_folder
 from ..sources.tables import Tables
 from . import views
@@ -79,3 +79,35 @@ def merged_chains(spark, d):
     """Orders as cases merged one into another, in chains, and some in circles."""
     cases = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.expr(MERGED).alias("merged_into"))
     return dedup.merged_into_final(cases)
+
+
+def _pretend(key: str, attempt: int, text: str) -> tuple[int, str | None]:
+    """A provider for tests: what it says follows from the text's number. Costs less than it might."""
+    import json
+
+    number, cost = int(text.split()[1]), len(text) - 5
+    if number % 4 == 0 and (attempt == 1 or number % 8 == 0):
+        return cost, None
+    good = not (number % 4 == 1 and (attempt == 1 or number % 8 == 1))
+    said = lambda value: {"value": value, "explicitly_stated": True, "confidence": 0.8 if good else 1.8, "supporting_text": "x"}
+    return cost, json.dumps({"amount": said(str(number) if number % 3 else "none"), "day": said("2026-01-02")})
+
+
+NEEDED = "SELECT o_orderkey AS id, concat('Notice ', o_orderkey, repeat('.', CAST(o_orderkey % 50 AS INTEGER))) AS text FROM orders WHERE o_orderkey % 3 < 2"
+
+
+@query(f"""WITH w AS (SELECT id, length(concat('Notice ', id, ' ', repeat('.', CAST(id % 50 AS INTEGER)))) AS len FROM ({NEEDED})), b AS (SELECT CAST(sum(len) * 11 // 10 AS BIGINT) AS budget FROM w),
+    one AS (SELECT id, len, sum(len) OVER (ORDER BY id) <= (SELECT budget FROM b) AS called FROM w), spent AS (SELECT coalesce(sum(len - 5), 0) AS s FROM one WHERE called),
+    due AS (SELECT id, len FROM one WHERE called AND id % 4 < 2), un AS (SELECT id, len FROM one WHERE NOT called),
+    two AS (SELECT id, attempt, sum(len) OVER (ORDER BY id) + (SELECT s FROM spent) <= (SELECT budget FROM b) AS called FROM (SELECT *, 2 AS attempt FROM due UNION ALL SELECT *, 1 FROM un)),
+    n AS (SELECT w.id, w.len, coalesce(one.called, FALSE)::INT + coalesce(two.called, FALSE)::INT AS attempts FROM w JOIN one USING (id) LEFT JOIN two USING (id))
+    SELECT id, attempts, CAST(attempts * (len - 5) AS BIGINT) AS cost_cents, CASE WHEN attempts > 0 AND id % 4 >= 2 OR attempts = 2 AND id % 8 IN (4, 5) THEN 'ACCEPTED' WHEN attempts < 2 THEN 'BUDGET' WHEN id % 4 = 0 THEN 'NO_ANSWER' ELSE 'NO_FIELDS' END AS outcome,
+      CASE WHEN (attempts > 0 AND id % 4 >= 2 OR attempts = 2 AND id % 8 IN (4, 5)) AND id % 3 > 0 AND id > 0 THEN CAST(id AS VARCHAR) END AS amount FROM n""")
+def paid_fallback(spark, d):
+    """Two attempts each within a budget that lasts for all first calls and some second ones; the ledger tells what was spent."""
+    wanted = views.table(spark, d, "orders").where("o_orderkey % 3 < 2").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("Notice "), F.col("o_orderkey").cast("string"), F.lit(" "), F.repeat(F.lit("."), (F.col("o_orderkey") % 50).cast("int"))).alias("text")
+    )
+    budget = wanted.agg(F.sum(F.length("text"))).first()[0] * 11 // 10
+    out, _ = fallback.answered(wanted, _pretend, spark.createDataFrame([], fallback.LEDGER), budget, F.length("text"), {"amount": "number", "day": "date"})
+    return out.select("id", "attempts", "cost_cents", "outcome", F.col("fields.amount.value").alias("amount"))
