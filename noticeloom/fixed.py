@@ -258,3 +258,8 @@ REVIEW_EXPLANATIONS = {
 ANNUAL_RATE_PCT, TERM_YEARS, DAYS_A_MONTH = 6.5, 30, 30.44
 HIGH_CONFIDENCE, MEDIUM_CONFIDENCE = 0.85, 0.6
 EQUITY_LOW_CENTS, EQUITY_HIGH_CENTS = 2_500_000, 7_500_000
+
+# --- What readers see where a value is unknown, or not theirs to see.
+NO_EQUITY, NO_MONEY, NO_SALE_DATE = "Estimated equity unavailable", "Not available", "Sale date unavailable"
+NO_OWNER, NO_PRINCIPAL, NO_COUNTY_VALUE = "Owner unavailable", "Original loan amount unavailable", "County value unavailable"
+ADDRESS_LOCKED, ADDRESS_PENDING = "Address available with paid plan", "Address not yet available"

@@ -148,3 +148,24 @@ def dollars(cents) -> Column:
 
 def long_day(day) -> Column:
     return F.date_format(_col(day), "MMMM d, yyyy")
+
+
+def money_text(cents, missing: str = fixed.NO_MONEY, mark: str = "") -> Column:
+    """An amount as `dollars` has it, behind `mark`, or what to say without one."""
+    return F.coalesce(F.concat(F.lit(mark), dollars(cents)), F.lit(missing))
+
+
+def short_day(day) -> Column:
+    """`Sep 1, 2026`: calendar dates, whatever the reader's zone."""
+    return F.coalesce(F.date_format(_col(day), "MMM d, yyyy"), F.lit(fixed.NO_SALE_DATE))
+
+
+def owner_text(name) -> Column:
+    known = (F.length(_col(name)) > 0) & (F.lower(F.trim(_col(name))) != "unknown owner")
+    return F.when(F.coalesce(known, F.lit(False)), _col(name)).otherwise(fixed.NO_OWNER)
+
+
+def address_text(address, pending, unlocked) -> Column:
+    """The address where it is known and the reader's to see; else whether a plan would show it."""
+    shown = F.coalesce(F.length(_col(address)) > 0, F.lit(False))
+    return F.when(shown, _col(address)).when(~_col(unlocked) & ~_col(pending), fixed.ADDRESS_LOCKED).otherwise(fixed.ADDRESS_PENDING)

@@ -191,15 +191,49 @@ def _unioned(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def searches_of(budget: int | None = None) -> Column:
-    """The searches that a case's fields allow, in their order; with a budget the first so many: one request each."""
+@dataclass(frozen=True)
+class Capabilities:
+    """What a county's records can be searched by; a geographic id is searched as a parcel is."""
+
+    parcel: bool = True
+    address: bool = True
+    subdivision: bool = True
+    legal: bool = True
+    owner: bool = True
+
+    def allowed(self) -> list[bool]:
+        """By search, in the order of `candidates`."""
+        return [self.address, self.parcel, self.parcel, self.subdivision, self.legal, self.owner and self.subdivision, self.owner, self.owner]
+
+
+#: The one search that a query gets, by what it states: parcel, geographic id, street, owner with subdivision, owner with acreage, subdivision, legal text, owner.
+PRIORITY = (1, 2, 0, 5, 6, 3, 4, 7)
+
+
+def _able(capabilities: Capabilities) -> list[Column]:
     known = lambda c: F.coalesce(F.length(F.trim(F.col(c))) > 0, F.lit(False))
     owners, place = F.coalesce(F.size("owner_names"), F.lit(0)) > 0, known("subdivision")
-    able = [known("stated_address"), known("parcel_id"), known("geographic_id"), place, known("legal_text"), owners & place, owners & F.col("acreage").isNotNull(), owners]
-    every = F.array_compact(F.array(*(F.when(a, F.lit(k)) for k, a in enumerate(able))))
+    states = [known("stated_address"), known("parcel_id"), known("geographic_id"), place, known("legal_text"), owners & place, owners & F.col("acreage").isNotNull(), owners]
+    return [c & F.lit(ok) for c, ok in zip(states, capabilities.allowed())]
+
+
+def searches_of(budget: int | None = None, capabilities: Capabilities = Capabilities()) -> Column:
+    """The searches that a case's fields and the records allow, in their order; with a budget the first so many: one request each."""
+    every = F.array_compact(F.array(*(F.when(a, F.lit(k)) for k, a in enumerate(_able(capabilities)))))
     return every if budget is None else F.slice(every, F.lit(1), F.lit(budget)) if budget > 0 else F.array().cast("array<int>")
 
 
+def first_search(capabilities: Capabilities = Capabilities()) -> Column:
+    """The first search by PRIORITY that a query states and the records allow, null without one."""
+    able = _able(capabilities)
+    return F.coalesce(*(F.when(able[k], F.lit(k)) for k in PRIORITY))
+
+
+def search_properties(queries: DataFrame, records: DataFrame, county: str = "county", capabilities: Capabilities = Capabilities()) -> DataFrame:
+    """(case_id, candidate_id, strategy): each query's one search, dispatched by what it states. Queries have the columns of cases."""
+    return _searched(queries.withColumn("_searches", F.array_compact(F.array(first_search(capabilities)))), records, county)
+
+
 def _first_person(names) -> Column:
     """The first person that the first of an array of names stands for."""
     return F.try_element_at(N.people(F.try_element_at(names, F.lit(1))), F.lit(1))
@@ -210,7 +244,7 @@ def _kinds(asked: dict[str, tuple[list[int], Column]]) -> list[Column]:
     return [F.struct(F.lit(kind).alias("kind"), F.when(F.arrays_overlap("_searches", F.array(*map(F.lit, numbers))), text).alias("text")) for kind, (numbers, text) in asked.items()]
 
 
-def candidates(cases: DataFrame, records: DataFrame, county: str = "county", budget: int | None = None) -> DataFrame:
+def candidates(cases: DataFrame, records: DataFrame, county: str = "county", budget: int | None = None, capabilities: Capabilities = Capabilities()) -> DataFrame:
     """(case_id, candidate_id, strategy) of eight searches of a case's county; a pair keeps its first strategy.
 
     Cases have `stated_address` beside CASE, records RECORD; both have `county`. By order: 0 the record's street holds the stated one;
@@ -220,8 +254,13 @@ def candidates(cases: DataFrame, records: DataFrame, county: str = "county", bud
     the name, or, for cases where none has, begins with the surname. Surnames and names are those of the first owner. With
     `budget` each case makes its first so many searches only, as `searches_of` tells. Case ids and candidate ids are unique.
     """
+    return _searched(cases.withColumn("_searches", searches_of(budget, capabilities)), records, county)
+
+
+def _searched(cases: DataFrame, records: DataFrame, county: str) -> DataFrame:
+    """The searches that `_searches` names for each case."""
     owner = F.upper(F.trim("owner_name"))
-    told = cases.withColumn("_searches", searches_of(budget)).withColumn("_surname", T.surname(_first_person(F.col("owner_names"))))
+    told = cases.withColumn("_surname", T.surname(_first_person(F.col("owner_names"))))
     own = told.select(county, "case_id", "_searches", "_surname", "acreage", F.struct("lot", "block").alias("c"), F.explode(F.array(*_kinds({
         "street": ([0], T.address_key(T.street_term("stated_address"))), "geographic": ([2], F.col("geographic_id")), "place": ([3, 5], T.legal_token(T.subdivision_term("subdivision"))),
         "legal": ([4], T.legal_token(T.search_text("legal_text"))), "name": ([6, 7], F.col("_surname")),

@@ -74,7 +74,7 @@ def publication_inputs(cases: DataFrame, sales: DataFrame, tasks: DataFrame, lin
 def entitlements(profiles: DataFrame, subscriptions: DataFrame, plans: DataFrame, as_of) -> DataFrame:
     """Per profile its plan now, one row each: in good standing, or late on a payment with an end of grace still to come, else FREE.
 
-    A plan that `plans` does not have is FREE. UNLIMITED opens all counties. Of several holding subscriptions of
+    A plan that `plans` does not have is FREE; where `plans` lacks FREE, it allows nothing. UNLIMITED opens all counties. Of several holding subscriptions of
     a profile the largest plan counts. Columns: profile_id, plan, is_all, counties, max_saved, monthly_exports.
     """
     holds = F.col("status").isin(fixed.GOOD_STANDING) | (F.col("status").isin(fixed.PAYMENT_LATE) & (F.col("grace_until") > _col(as_of)))
@@ -82,8 +82,12 @@ def entitlements(profiles: DataFrame, subscriptions: DataFrame, plans: DataFrame
     known = plans.select("plan", "max_saved", "monthly_exports")
     paid = subscriptions.where(holds & (F.col("plan") != "FREE")).select("profile_id", "plan", "counties").join(known, "plan")
     own = paid.groupBy("profile_id").agg(F.max_by(F.struct("plan", "counties", "max_saved", "monthly_exports"), F.struct(rank, "plan", "counties")).alias("own"))
-    free = known.where("plan = 'FREE'").select(F.struct("plan", F.array().cast("array<string>").alias("counties"), "max_saved", "monthly_exports").alias("free"))
-    held = profiles.select("profile_id").join(own, "profile_id", "left").join(free).withColumn("own", F.coalesce("own", "free"))
+    none = F.array().cast("array<string>").alias("counties")
+    kinds = dict(known.dtypes)
+    nothing = F.struct(F.lit("FREE").alias("plan"), none, *(F.lit(0).cast(kinds[c]).alias(c) for c in ("max_saved", "monthly_exports")))
+    # One row, whether `plans` has none, one or several of FREE.
+    free = known.where("plan = 'FREE'").agg(F.coalesce(F.max(F.struct("plan", none, "max_saved", "monthly_exports")), nothing).alias("free"))
+    held = profiles.select("profile_id").join(own, "profile_id", "left").join(F.broadcast(free), how="cross").withColumn("own", F.coalesce("own", "free"))
     return held.select(
         "profile_id", "own.plan", (F.col("own.plan") == "UNLIMITED").alias("is_all"), F.coalesce("own.counties", F.array().cast("array<string>")).alias("counties"), "own.max_saved", "own.monthly_exports"
     )

@@ -165,3 +165,25 @@ def bounds(df: DataFrame, x: str, y: str, pad: float = 0.02) -> DataFrame:
     box = df.agg((F.min(x) - pad).alias("_x0"), (F.max(x) + pad).alias("_x1"), (F.min(y) - pad).alias("_y0"), (F.max(y) + pad).alias("_y1"))
     placed = df.join(F.broadcast(box))
     return placed.withColumns({"left_pct": (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * 100, "top_pct": (F.col("_y1") - F.col(y)) / (F.col("_y1") - F.col("_y0")) * 100}).drop("_x0", "_x1", "_y0", "_y1")
+
+
+def dashboard(documents: DataFrame, jobs: DataFrame, properties: DataFrame, tasks: DataFrame, corrections: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row of ten counts and the summed cost of processing; each table is scanned once, and a table without rows counts 0."""
+    is_ = lambda c, v: F.count_if(F.coalesce(F.col(c) == v, F.lit(False)))
+    parts = [
+        documents.agg(F.count(F.lit(1)).alias("documents"), is_("status", "SUMMARIZED").alias("summarized"), is_("status", "DUPLICATE").alias("duplicates"), F.count_if(F.coalesce(F.col("confidence") < fixed.MEDIUM_CONFIDENCE, F.lit(False))).alias("low_confidence"),
+                      F.coalesce(F.sum("cost_cents"), F.lit(0)).cast("long").alias("cost_cents")),
+        jobs.agg(is_("status", "FAILED").alias("failed_jobs"), is_("status", "DEAD_LETTER").alias("dead_jobs")), properties.agg(is_("address_method", "UNRESOLVED").alias("unresolved")),
+        tasks.agg(is_("status", "OPEN").alias("open_tasks")), corrections.agg(is_("status", "OPEN").alias("open_corrections")), requests.agg(is_("status", "OPEN").alias("open_requests")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p), how="cross")  # one row each
+    return out
+
+
+def key_sets(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:
+    """Distinct keys of two tables with where they are: left, right or both. Null keys are in neither."""
+    side = lambda df, name: df.select(key.alias("key"), F.lit(name).alias("side")).where("key is not null")
+    told = side(left, "left").unionByName(side(right, "right")).groupBy("key").agg(F.min("side").alias("a"), F.max("side").alias("b"))
+    return told.select("key", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("both").alias("side"))

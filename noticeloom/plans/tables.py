@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import dedup, fallback, match
+from .. import fixed
+from ..functions import values as V
+from ..operators import dedup, fallback, match, publish, reports
 from ..sources.stage import shared_folder
 from ..sources.tables import Tables
 from . import views
@@ -111,3 +114,45 @@ def paid_fallback(spark, d):
     budget = wanted.agg(F.sum(F.length("text"))).first()[0] * 11 // 10
     out, _ = fallback.answered(wanted, _pretend, spark.createDataFrame([], fallback.LEDGER), budget, F.length("text"), {"amount": "number", "day": "date"})
     return out.select("id", "attempts", "cost_cents", "outcome", F.col("fields.amount.value").alias("amount"))
+
+
+# ---- Reports and texts
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0) AS summarized, (SELECT count(*) FROM documents WHERE doc_id % 5 = 1) AS duplicates, (SELECT count(*) FROM documents WHERE n_chars % 100 < 60) AS low_confidence,
+    (SELECT CAST(sum(n_chars // 10) AS BIGINT) FROM documents) AS cost_cents, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_jobs, (SELECT count(*) FROM events WHERE event_type = 'view') AS dead_jobs,
+    (SELECT count(*) FROM v_case WHERE address_method = 'UNRESOLVED') AS unresolved, (SELECT count(*) FROM v_task WHERE status = 'OPEN') AS open_tasks, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS open_corrections, 0::BIGINT AS open_requests""")
+def admin_dashboard(spark, d):
+    t, c = (lambda n: views.table(spark, d, n)), F.col
+    docs = t("documents").select(F.when(c("doc_id") % 5 == 0, "SUMMARIZED").when(c("doc_id") % 5 == 1, "DUPLICATE").alias("status"), (c("n_chars") % 100 / 100.0).alias("confidence"), F.floor(c("n_chars") / 10).alias("cost_cents"))
+    jobs = t("events").select(F.when(c("event_type") == "error", "FAILED").when(c("event_type") == "view", "DEAD_LETTER").alias("status"))
+    fixes = t("customer").select(F.when(c("c_acctbal") < 0, "OPEN").otherwise("CLOSED").alias("status"))
+    return reports.dashboard(docs, jobs, views.cases(spark, d), views.tasks(spark, d), fixes, fixes.limit(0))
+
+
+@query("SELECT k AS key, CASE WHEN count(DISTINCT s) = 2 THEN 'both' ELSE min(s) END AS side FROM (SELECT l_partkey % 700 AS k, 'left' AS s FROM lineitem WHERE l_discount < 0.05 UNION ALL SELECT l_partkey % 1100, 'right' FROM lineitem WHERE l_discount > 0.05) GROUP BY k")
+def filing_number_sets(spark, d):
+    rows = lambda n, cond: views.table(spark, d, "lineitem").where(cond).select((F.col("l_partkey") % n).alias("k"))
+    return reports.key_sets(rows(700, "l_discount < 0.05"), rows(1100, "l_discount > 0.05"), F.col("k"))
+
+
+@query("SELECT l_orderkey AS case_id, l_linenumber, n FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n <= 3")
+def latest_documents(spark, d):
+    """The three newest rows of each case, and their places."""
+    rows = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
+    kept = reports.latest(rows, ["case_id"], [F.desc("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], keep=3)
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("l_shipdate"), "l_linenumber", "l_partkey", "l_suppkey"))
+    return kept.select("case_id", "l_linenumber", place.cast("long").alias("n"))
+
+
+@query("""SELECT case_id, CASE WHEN value_cents IS NULL THEN 'Estimated equity unavailable' ELSE concat('~$', format('{:,}', CAST(floor(value_cents / 100.0 + 0.5) AS BIGINT))) END AS equity, CASE WHEN value_cents IS NULL THEN 'County value unavailable' ELSE concat('$', format('{:,}', CAST(floor(value_cents / 100.0 + 0.5) AS BIGINT))) END AS value,
+    CASE WHEN archived_at IS NULL THEN 'Sale date unavailable' ELSE strftime(archived_at, '%b %-d, %Y') END AS day, coalesce(CASE WHEN borrower <> 'Unknown owner' THEN borrower END, 'Owner unavailable') AS owner,
+    CASE WHEN NOT (value_cents > 3000000) OR value_cents IS NULL THEN CASE WHEN street IS NULL THEN 'Address not yet available' ELSE 'Address available with paid plan' END ELSE coalesce(street, 'Address not yet available') END AS address FROM v_case""")
+def display_texts(spark, d):
+    """What a reader sees of a listing, by what is known and whether it is unlocked."""
+    cases = views.cases(spark, d).withColumn("unlocked", F.coalesce(F.col("value_cents") > 3_000_000, F.lit(False))).withColumn("pending", F.col("street").isNull())
+    shown = publish.masked(cases, F.col("unlocked"), ("street",))
+    return shown.select(
+        "case_id", V.money_text("value_cents", fixed.NO_EQUITY, "~").alias("equity"), V.money_text("value_cents", fixed.NO_COUNTY_VALUE).alias("value"), V.short_day("archived_at").alias("day"), V.owner_text("borrower").alias("owner"),
+        V.address_text("street", "pending", "unlocked").alias("address"),
+    )

@@ -110,3 +110,23 @@ def test_sale_documents_need_a_link(spark):
     html = spark.createDataFrame([("u1", '<a href="/DocumentCenter/View/77/AUGUST-4-2026-PROPERTY-SALE">'), ("u2", "<a>")], "url string, html string")
     got = readers.sale_documents(pages, html).collect()
     assert [(r["url"], r["document_id"], r["file_name"], r["posted_date"]) for r in got] == [("u1", "77", "AUGUST-4-2026-PROPERTY-SALE.pdf", date(2026, 8, 4))]
+
+
+def test_profiles_stay_without_a_free_plan(spark):
+    profiles = spark.createDataFrame([(1,), (2,)], "profile_id int")
+    subs = spark.createDataFrame([(2, "COUNTY", "ACTIVE", None, ["x"])], "profile_id int, plan string, status string, grace_until timestamp, counties array<string>")
+    plans = lambda *rows: spark.createDataFrame(list(rows), "plan string, max_saved int, monthly_exports int")
+    county, free = ("COUNTY", 50, 5), ("FREE", 3, 1)
+    got = lambda p: sorted((r["profile_id"], r["plan"], r["max_saved"], r["monthly_exports"]) for r in publish.entitlements(profiles, subs, p, F.lit("2026-01-01").cast("timestamp")).collect())
+    assert got(plans(county, free)) == got(plans(county, free, free)) == [(1, "FREE", 3, 1), (2, "COUNTY", 50, 5)]
+    assert got(plans(county)) == [(1, "FREE", 0, 0), (2, "COUNTY", 50, 5)]
+
+
+def test_a_query_gets_one_search_by_what_it_states(spark):
+    shape = "owner_names array<string>, parcel_id string, geographic_id string, legal_text string, subdivision string, acreage double, stated_address string"
+    rows = [(["A B"], "P", "G", "L", "S", 1.0, "1 Elm"), (["A B"], None, "G", "L", "S", 1.0, "1 Elm"), (["A B"], None, None, "L", "S", 1.0, "1 Elm"), (["A B"], None, None, "L", "S", 1.0, None), (["A B"], "", None, "L", None, 1.0, " "), (None, None, None, "L", "S", 1.0, None), (None, None, None, "L", None, 1.0, None), (["A B"], None, None, None, None, None, None), ([], None, None, None, None, 1.0, None)]
+    df = spark.createDataFrame(rows, shape)
+    ask = lambda **k: [r[0] for r in df.select(match.first_search(match.Capabilities(**k))).collect()]
+    assert ask() == [1, 2, 0, 5, 6, 3, 4, 7, None]
+    assert ask(address=False, parcel=False, subdivision=False) == [6, 6, 6, 6, 6, 4, 4, 7, None]
+    assert ask(owner=False, legal=False, address=False) == [1, 2, 3, 3, None, 3, None, None, None]
