@@ -5,6 +5,7 @@ No match is null, never an empty string. All functions pass nulls through unless
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -17,6 +18,60 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+@functools.cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case texts of which every match of a pattern holds one; none if that cannot be told.
+
+    Of a sequence the longest plain run counts, or what all branches of an alternation need; what may be left out does not count.
+    """
+    from re import _parser as parser
+
+    def of(items) -> tuple[str, ...]:
+        best, run = (), ""
+
+        def better(found: tuple[str, ...]) -> None:
+            nonlocal best
+            if found and min(map(len, found)) > (min(map(len, best)) if best else 1):
+                best = found
+
+        for kind, what in items:
+            name = str(kind)
+            if name == "LITERAL" and what < 128:
+                run += chr(what).lower()
+                continue
+            better((run,))
+            run = ""
+            if name == "SUBPATTERN":
+                better(of(what[3]))
+            elif name == "ATOMIC_GROUP":
+                better(of(what))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and what[0] > 0:
+                better(of(what[2]))
+            elif name == "BRANCH":
+                branches = [of(b) for b in what[1]]
+                if all(branches):
+                    better(tuple(dict.fromkeys(x for b in branches for x in b)))
+        better((run,))
+        return best
+
+    try:
+        return of(parser.parse(pattern.replace(r"\z", r"\Z")))
+    except Exception:  # a pattern that only the other dialect knows
+        return ()
+
+
+def may_match(lower: Column, *patterns: str) -> Column:
+    """Whether any of the patterns could match, by the texts that they need; `lower` is the text in lower case."""
+    out = F.lit(False)
+    for pattern in patterns:
+        texts = needed(pattern)
+        if not texts:
+            return F.lit(True)
+        for t in texts:
+            out = out | F.contains(lower, F.lit(t))
+    return out
+
+
 def grab(text, pattern: str, group: int = 1) -> Column:
     """First match's group, or null."""
     return F.nullif(F.regexp_extract(_col(text), pattern, group), F.lit(""))

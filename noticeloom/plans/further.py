@@ -10,6 +10,7 @@ from ..functions import values as V
 from ..operators import dedup, extract, listing, match, publish, reports, split
 from ..operators.listing import ListingFilter
 from ..sources import readers, sinks
+from ..sources.stage import written
 from . import views
 from .catalogue import DAY, LISTED, _listed, _published, day, query, text
 
@@ -376,7 +377,7 @@ def notice_templates(spark, d):
         way = F.get(F.array(*map(F.lit, ways)), (F.floor(F.col("doc_id") / every) % many).cast("int"))
         lines += [F.lit("Filed."), F.replace(way, F.lit("{}"), words[name])]
     made = n.select("doc_id", F.concat_ws("\n", *lines, F.lit("End.")).alias("text"))
-    f = extract.fields(made.mapInArrow(lambda batches: batches, made.schema))  # the texts are made once, not in every pattern
+    f = extract.fields(written(made, "notices"))  # the texts are made once, not in every pattern
     v = lambda name: F.col(f"{name}.value")
     return f.select(
         "doc_id", F.array_join(v("grantor_names"), ";").alias("grantor"), v("original_principal").cast("double").alias("principal"), v("original_mortgagee").alias("original_mortgagee"), v("current_mortgagee").alias("current_mortgagee"),

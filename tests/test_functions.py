@@ -69,3 +69,23 @@ def test_nulls_stay_null(spark):
     for column in (T.filing_number(none), T.clean_address(none), V.currency_cents(none), V.first_date(none), T.search_text(none)):
         assert value(spark, column) is None
     assert value(spark, T.overlap(none, F.lit("a"))) is False
+
+
+def test_needed_texts_are_in_every_match():
+    """On Python's own matches of patterns and texts; what may be left out is not needed."""
+    import random
+    import re
+
+    cases = {
+        r"(?i)Date of Sale:?[^\n]+": ("date of sale",), r"(?i)(?:Grant(?:o|0)r|Trustor)s?:": ("grant", "trustor"), r"(?i)(?:abc)?x\d+": (), r"(?:abc)+\s*de": ("abc",), r"a|bcd": (), r"(?:ab|cde)\s+f?": ("ab", "cde"),
+        r"(?i)Note:?\s*[\s\S]{0,9}?DOLLARS": ("dollars",), r"[abc]{3}": (), r"(?<=lead)er": ("er",),
+    }
+    for pattern, want in cases.items():
+        assert T.needed(pattern) == want
+    rng = random.Random(1)
+    bits = ["Date of Sale", "DATE OF SALE:", "Grantor", "GRANT0Rs:", "trustor:", "x12", "abcabc de", "bcd", "cde  f", "Note", "dollars", "aab", "leader", " ", "\n", "7"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(5))
+        for pattern, want in cases.items():
+            if want and re.search(pattern, text):
+                assert any(w in text.lower() for w in want)
