@@ -49,9 +49,7 @@ def wrapped_name(captured, after) -> Column:
 def is_party(text) -> Column:
     """An organisation's or person's name rather than a title, a label, an address or a sentence."""
     t = replace(squeeze(text), r"[.,;]+\z")
-    ok = F.length(t).between(3, 200) & t.rlike("^[A-Z]")
-    for pattern in fixed.NOT_A_PARTY:
-        ok = ok & ~t.rlike(pattern)
+    ok = F.length(t).between(3, 200) & t.rlike("^[A-Z]") & ~t.rlike("|".join(f"(?:{p})" for p in fixed.NOT_A_PARTY))
     return F.coalesce(ok, F.lit(False))
 
 
