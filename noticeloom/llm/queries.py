@@ -33,7 +33,8 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scored = lm_scoring.score_texts(docs, crc32_of_id(F.col("doc_id")) % 5 != 1)
+    # A row without an id has no remainder: it trains like the others.
+    scored = lm_scoring.score_texts(docs, F.coalesce(crc32_of_id(F.col("doc_id")) % 5 != 1, F.lit(True)))
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
