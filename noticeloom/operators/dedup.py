@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -259,28 +260,63 @@ def owner_tokens(name) -> Column:
     return F.coalesce(F.array_distinct(F.filter(words, lambda w: F.length(w) > 1)), F.array().cast("array<string>"))
 
 
+def alike_names(one: DataFrame, two: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(x, y) of the distinct lists `names` of `one` and `two` that share SAME_NAMES of the shorter list's words.
+
+    The shorter list shares one of its first words, rarest first, with the other: it asks by these only. Lists that hold a word fall into blocks.
+    """
+    side = lambda df, of: df.select(F.lit(of).alias("of"), "names", F.size("names").alias("n"), F.explode("names").alias("w"))
+    every = side(one, "x").unionByName(side(two, "y"))
+    often = every.groupBy("w").agg(F.count(F.lit(1)).alias("often"), F.count_if(F.col("of") == "x").alias("x"), F.count_if(F.col("of") == "y").alias("y")).where("x > 0 and y > 0")
+    # Words of one side alone come first in the order: they take a place and meet nothing.
+    ranked = every.join(often, "w", "left").groupBy("of", "names", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("order"))
+    least = F.ceil(F.round(F.col("n") * fixed.SAME_NAMES, 9)).cast("int")
+    asking = ranked.select("of", "names", "n", F.explode(F.slice("order", F.lit(1), F.col("n") - least + 1)).alias("p")).where("p.often > 0").select("of", "names", "n", F.col("p.w").alias("w"))
+    cut = lambda of: F.ceil(F.col(of) / block).cast("int")
+
+    def met(short: str, long: str) -> DataFrame:
+        ask = asking.where(F.col("of") == short).join(often, "w").select("w", F.col("names").alias(short), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), cut(long) - 1)).alias("i"))
+        hold = every.where(F.col("of") == long).join(often, "w").select("w", F.col("names").alias(long), F.col("n").alias("o"), F.pmod(F.xxhash64("names"), cut(long)).cast("int").alias("i"))
+        return ask.join(hold, ["w", "i"]).where(F.col("m") <= F.col("o")).where(F.size(F.array_intersect("x", "y")) / F.col("m") >= fixed.SAME_NAMES).select("x", "y")
+
+    return met("x", "y").unionByName(met("y", "x")).distinct()
+
+
 def legacy_matches(legacy: DataFrame, ingested: DataFrame, fields: list[str], id_l: str = "legacy_id", id_r: str = "case_id") -> DataFrame:
     """Per legacy row its class and ingested row. A: same filing number. B: same instrument number, or three equal fields of `fields`
     and names. E: one or two. C: none, and no match.
 
     Both have number, instrument and names (array of strings, null without an owner's name); names that share 0.6 of the
     shorter list count as a field. Of several rows with a number the last id counts, of equally many fields the first.
-    Only rows that share a field or a word of a name meet, and rows that are equal in all of these meet once.
+    No pairs are made: every set of fields, alone and with alike names, is a key, whose least ingested id is known once; a row's best is the least id
+    of its largest key that any ingested row has. Keys of a row double with each field, so `fields` are few.
     """
     last = lambda c, name: ingested.where(F.col(c).isNotNull()).groupBy(c).agg(F.max(id_r).alias(name))
     told = [*fields, "names"]
-    named = lambda df: df.withColumn("_name", F.sha2(F.to_json(F.struct(*told)), 256))
+    listed = F.array_sort(F.array_distinct(F.array_compact("names")))
+    named = lambda df: df.withColumn("names", listed).withColumn("_name", F.sha2(F.to_json(F.struct(*told)), 256))
     classes = lambda df, i: df.groupBy("_name").agg(F.min(F.col(i)).alias("id"), *(F.first(c).alias(c) for c in told))
-    legacy = named(legacy)
-    one, two = classes(legacy, id_l), classes(named(ingested), id_r)
-    cells = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields))
-    side = lambda df, k: df.select(F.col("id").alias(k), F.explode(cells).alias("k")).where("k.v is not null")
-    equal = side(one, "l").join(side(two, "r"), "k").groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
-    words = lambda df, k: df.select(F.col("id").alias(k), F.size("names").alias(f"n{k}"), F.explode("names").alias("w"))
-    shared = words(one, "l").join(words(two, "r"), "w").groupBy("l", "r", "nl", "nr").agg(F.count(F.lit(1)).alias("n"))
-    alike = shared.where(F.col("n") / F.least("nl", "nr") >= fixed.SAME_NAMES).select("l", "r", F.lit(1).cast("long").alias("n"))
-    counted = equal.unionByName(alike).groupBy("l", "r").agg(F.sum("n").alias("n"))
-    best = counted.groupBy("l").agg(F.min(F.struct((-F.col("n")).alias("n"), "r")).alias("b")).select(F.col("l").alias("id"), F.col("b.r").alias("best_id"), (-F.col("b.n")).alias("n_equal"))
+    # Written once: spelling names takes long, and each side is read several times.
+    legacy, named_r = written(named(legacy), "legacy-names"), written(named(ingested), "ingested-names")
+    one, two = classes(legacy, id_l), classes(named_r, id_r)
+    sets = [s for k in range(len(fields) + 1) for s in itertools.combinations(fields, k)]
+
+    def keyed(df: DataFrame, alike: tuple[bool, ...]) -> DataFrame:
+        keys = []
+        for k, own in enumerate(sets):
+            for a in alike:
+                if not (own or a):
+                    continue
+                values = [F.col(c).cast("string") for c in own] + [F.col("names")] * a
+                stated = functools.reduce(Column.__and__, (v.isNotNull() for v in values))
+                keys.append(F.when(stated, F.struct(F.lit(len(values)).cast("long").alias("n"), F.lit(2 * k + a).alias("of"), *(F.xxhash64(F.lit(h), *values).alias(f"h{h}") for h in (0, 1)))))
+        return df.select("id", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+
+    words = lambda df: df.select("names").where("size(names) > 0").distinct()
+    lists = alike_names(words(one), words(two))
+    meant = two.join(lists.withColumnRenamed("y", "names"), "names").drop("names").withColumnRenamed("x", "names")
+    theirs = keyed(two, (False,)).unionByName(keyed(meant, (True,))).groupBy("key").agg(F.min("id").alias("r"))
+    best = keyed(one.withColumn("names", F.when(F.size("names") > 0, F.col("names"))), (False, True)).join(theirs, "key").groupBy("id").agg(F.min(F.struct((-F.col("key.n")).alias("n"), "r")).alias("b")).select("id", F.col("b.r").alias("best_id"), (-F.col("b.n")).alias("n_equal"))
     found = one.select("_name", "id").join(best, "id", "left").drop("id")
     full = legacy.select(id_l, "number", "instrument", "_name").join(last("number", "exact_id"), "number", "left").join(last("instrument", "instrument_id"), "instrument", "left").join(found, "_name")
     n = F.coalesce("n_equal", F.lit(0)).cast("long")

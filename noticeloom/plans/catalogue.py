@@ -450,11 +450,11 @@ def legacy_best_match(spark, d):
     names = lambda key, nation, segment: dedup.owner_tokens(F.concat_ws(" ", F.concat(F.lit("K"), (F.col(key) % 7).cast("string")), F.concat(F.lit("N"), F.col(nation).cast("string")), segment))
     number = lambda kind, n: F.concat(F.lit(kind), F.floor(n).cast("string"))
     key, segment = F.col("c_custkey"), F.when(F.col("s_acctbal") > 5000, "BUILDING").otherwise("MACHINERY")
-    l = views.table(spark, d, "customer").select(
+    l = views.dealt(views.table(spark, d, "customer")).select(
         key.alias("legacy_id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.substring("c_name", 10, 7).alias("stem"), names("c_custkey", "c_nationkey", F.col("c_mktsegment")).alias("names"),
         F.when(key % 40 == 0, number("F", key / 40)).alias("number"), F.when(key % 40 == 1, number("I", key / 40)).alias("instrument"),
     )
-    i = views.table(spark, d, "supplier").select(
+    i = views.dealt(views.table(spark, d, "supplier")).select(
         F.col("s_suppkey").alias("case_id"), F.col("s_nationkey").alias("nation"), segment.alias("segment"), F.substring("s_name", 10, 7).alias("stem"), names("s_suppkey", "s_nationkey", segment).alias("names"),
         number("F", F.col("s_suppkey") / 2).alias("number"), F.when(F.col("s_suppkey") % 3 == 0, number("I", F.col("s_suppkey"))).alias("instrument"),
     )
