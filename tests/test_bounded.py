@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from noticeloom.operators import dedup
+from noticeloom.operators import dedup, match
 
 
 def test_legacy_rows_match_without_pairs(spark):
@@ -27,3 +27,15 @@ def test_legacy_rows_match_without_pairs(spark):
     pairs = {(tuple(r["x"]), tuple(r["y"])) for r in dedup.alike_names(lists(one), lists(two), block=3).collect()}
     told = lambda rows: {tuple(sorted(r[4])) for r in rows if r[4]}
     assert pairs == {(x, y) for x in told(left) for y in told(right) if alike(x, y)}
+
+
+def test_acreage_is_part_of_the_join(spark, capsys):
+    """Owners of one surname meet a case only where acreages are near, also at the edges of cells; nothing of rows is a broadcast."""
+    none = "cast(null as string)"
+    cases = spark.range(40).selectExpr("'x' county", "id case_id", "array('Ana Belt') owner_names", "id * 0.05D + 0.001D acreage", *(f"{none} {c}" for c in ("stated_address", "parcel_id", "geographic_id", "subdivision", "legal_text", "lot", "block")))
+    records = spark.range(200).selectExpr("'x' county", "cast(id as string) candidate_id", "'BELT, ANA' owner_name", "id * 0.01D acreage", *(f"{none} {c}" for c in ("situs_address", "parcel_id", "geographic_id", "subdivision", "legal_text", "lot", "block")))
+    got = match.search_properties(cases, records)
+    assert {(r["case_id"], int(r["candidate_id"])) for r in got.collect()} == {(c, r) for c in range(40) for r in range(200) if abs(c * 0.05 + 0.001 - r * 0.01) < 0.05}
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "cell" in plan and "BroadcastHashJoin" not in plan
