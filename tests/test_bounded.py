@@ -39,3 +39,16 @@ def test_acreage_is_part_of_the_join(spark, capsys):
     got.explain()
     plan = capsys.readouterr().out
     assert "cell" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_names_spelt_out_before_score_the_same(spark):
+    none = "cast(null as string)"
+    owners = ["array('Ana Belt')", "array('Belt Ana', 'Cruz Dee Jr')", "array('Fox Holdings LLC')", "cast(null as array<string>)", "array(cast(null as string))"]
+    case = lambda k, o: spark.range(1).selectExpr(f"{k} case_id", f"{o} owner_names", f"'P{k}' parcel_id", "0.5D acreage", *(f"{none} {c}" for c in match.CASE if c not in ("case_id", "owner_names", "parcel_id", "acreage")))
+    cases = case(0, owners[0])
+    for k, o in enumerate(owners[1:], 1):
+        cases = cases.unionByName(case(k, o))
+    records = spark.createDataFrame([(str(k), o) for k, o in enumerate(["BELT, ANA", "DEE CRUZ", "FOX HOLDINGS LLC", "ELM A & B", None, ""])], "candidate_id string, owner_name string")
+    records = records.selectExpr("*", "concat('P', candidate_id) parcel_id", "0.52D acreage", *(f"{none} {c}" for c in match.RECORD if c not in ("candidate_id", "owner_name", "parcel_id", "acreage")))
+    told = lambda c, r: sorted(match.score(cases.select(c.alias("c")).crossJoin(records.select(r.alias("r")))).select("c.case_id", "r.candidate_id", "score", "matched", "conflicting").collect())
+    assert told(match.case_side(), match.record_side()) == told(F.struct(*match.CASE), F.struct(*match.RECORD))
