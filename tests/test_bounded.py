@@ -52,3 +52,11 @@ def test_names_spelt_out_before_score_the_same(spark):
     records = records.selectExpr("*", "concat('P', candidate_id) parcel_id", "0.52D acreage", *(f"{none} {c}" for c in match.RECORD if c not in ("candidate_id", "owner_name", "parcel_id", "acreage")))
     told = lambda c, r: sorted(match.score(cases.select(c.alias("c")).crossJoin(records.select(r.alias("r")))).select("c.case_id", "r.candidate_id", "score", "matched", "conflicting").collect())
     assert told(match.case_side(), match.record_side()) == told(F.struct(*match.CASE), F.struct(*match.RECORD))
+
+
+def test_any_import_of_plans_has_all_queries():
+    import subprocess
+    import sys
+
+    told = subprocess.run([sys.executable, "-c", "from noticeloom.plans import catalogue; print('duplicate_tier' in catalogue.QUERIES)"], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert told.stdout.strip() == "True"
