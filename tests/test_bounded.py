@@ -69,3 +69,22 @@ def test_pairs_fall_together_as_keys(spark, capsys):
     further._pairs(spark, "/root/testdata/sf0.001").explain()
     grouped = [line for line in capsys.readouterr().out.splitlines() if "HashAggregate" in line]
     assert grouped and not any("owner_name" in line or "c#" in line for line in grouped)
+
+
+def test_tiered_pairs_are_all_pairs_with_a_tier(spark):
+    """Against every two rows scored, with values that hold others and rows that lack them; a day that all rows share makes no pairs."""
+    rnd = random.Random(7)
+    shape = "case_id int, borrower_names array<string>, property_address string, subdivision string, lot string, principal_cents long, sale_date string, deed_date string, lender_name string, raw_text string"
+
+    def rows(n, addresses, subs):
+        return [(k, [rnd.choice(["Ana Belt", "Bo Cole"])], rnd.choice(addresses), rnd.choice(subs), rnd.choice(["1", "2", "-", None, ""]), rnd.choice([1, 2, None]), "s", "d", "Bank", rnd.choice([None, f"2026-12345-TX {k}"])) for k in range(n)]
+
+    for addresses, subs in ((["1 Elm", "11 Elm.", "2 Elm"], ["Oak", "oak park"]), (["1 Elm", "2 Elm", None, ""], ["Oak", "Pine", None])):
+        made = rows(40, addresses, subs)
+        df = spark.createDataFrame([*made, (100, *made[0][1:])], shape)
+        x, y = (df.select(F.struct("*").alias(k)) for k in "ab")
+        scored = dedup.score_pairs(x.crossJoin(y).where("a.case_id < b.case_id").withColumn("dice", F.lit(0.0)))
+        want = {(r["a"]["case_id"], r["b"]["case_id"]) for r in scored.where("confidence is not null").collect()}
+        got = [(r["a"], r["b"]) for r in dedup.class_members(dedup.tiered_pairs(df, block=3), dedup.snapshot_classes(df)).collect()]
+        assert len(got) == len(set(got)) and want <= set(got)
+        assert None in addresses or want == set(got)
