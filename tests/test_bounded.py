@@ -88,3 +88,12 @@ def test_tiered_pairs_are_all_pairs_with_a_tier(spark):
         got = [(r["a"], r["b"]) for r in dedup.class_members(dedup.tiered_pairs(df, block=3), dedup.snapshot_classes(df)).collect()]
         assert len(got) == len(set(got)) and want <= set(got)
         assert None in addresses or want == set(got)
+
+
+def test_scored_candidates_fall_together_as_keys(spark, capsys):
+    """Before the structs of cases and records are made."""
+    from noticeloom.plans import catalogue
+
+    catalogue.QUERIES["candidate_score"](spark, "/root/testdata/sf0.001").explain()
+    grouped = [line for line in capsys.readouterr().out.splitlines() if "HashAggregate" in line]
+    assert grouped and not any("parcel_id" in line or "c#" in line for line in grouped)
