@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "bundle_id string, page_no int, text string"
 PAGE_END = "\f"
+#: Letters of a batch of pages. Spark gathers rows by number, so long pages would take much memory; a longer page is a batch alone.
+BATCH = 1 << 21
 
 
 @dataclass
@@ -56,6 +58,21 @@ class Folder:
             if rest:
                 yield name, number + 1, rest
 
+    def batches(self, name: str, letters: int = BATCH) -> Iterator:
+        """Pages in order as Arrow batches of about so many letters."""
+        import pyarrow as pa
+
+        shape = pa.schema([("bundle_id", pa.string()), ("page_no", pa.int32()), ("text", pa.string())])
+        held, size = [], 0
+        for page in self.pages(name):
+            if held and size + len(page[2]) > letters:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), shape)], schema=shape)
+                held, size = [], 0
+            held.append(page)
+            size += len(page[2])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), shape)], schema=shape)
+
 
 class BundleReader(DataSourceReader):
     def __init__(self, folder: Folder):
@@ -64,9 +81,9 @@ class BundleReader(DataSourceReader):
     def partitions(self) -> list[Bundle]:
         return [Bundle(n) for n in self.folder.names()]
 
-    def read(self, partition: Bundle | None) -> Iterator[tuple]:
+    def read(self, partition: Bundle | None) -> Iterator:
         if partition is not None:  # a folder without bundles is one partition of nothing
-            yield from self.folder.pages(partition.name)
+            yield from self.folder.batches(partition.name)
 
 
 class BundleStream(DataSourceStreamReader):
@@ -82,8 +99,8 @@ class BundleStream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Bundle]:
         return [Bundle(n) for n in self.folder.names() if start["last"] < n <= end["last"]]
 
-    def read(self, partition: Bundle) -> Iterator[tuple]:
-        yield from self.folder.pages(partition.name)
+    def read(self, partition: Bundle) -> Iterator:
+        yield from self.folder.batches(partition.name)
 
     def commit(self, end: dict) -> None:
         pass

@@ -97,3 +97,15 @@ def test_scored_candidates_fall_together_as_keys(spark, capsys):
     catalogue.QUERIES["candidate_score"](spark, "/root/testdata/sf0.001").explain()
     grouped = [line for line in capsys.readouterr().out.splitlines() if "HashAggregate" in line]
     assert grouped and not any("parcel_id" in line or "c#" in line for line in grouped)
+
+
+def test_bundles_are_read_in_batches_of_letters(tmp_path):
+    """Whatever the number of pages; a page longer than a batch is one alone."""
+    from noticeloom.sources import county
+
+    pages = ["a" * 600, "b" * 600, "", "c" * 5000, "d"]
+    (tmp_path / "one.txt").write_text("\f".join(pages))
+    found = list(county.BundleReader(county.Folder(str(tmp_path))).read(county.Bundle("one.txt")))
+    assert [b.num_rows for b in found] == [5] and found[0].to_pydict()["page_no"] == [1, 2, 3, 4, 5]
+    small = list(county.Folder(str(tmp_path)).batches("one.txt", 1000))
+    assert [b.num_rows for b in small] == [1, 2, 1, 1] and [t for b in small for t in b.to_pydict()["text"]] == pages
