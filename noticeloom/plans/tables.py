@@ -52,7 +52,8 @@ def approvals(spark, d):
     key = lambda: F.concat(F.lit("SUBDIVISION:PLAT "), F.col("c_nationkey").cast("string"), F.lit("|LOT:"), (F.col("c_custkey") % 3).cast("string"), F.lit("|BLOCK:")).alias("legal_key")
     cache = t("customer").where("c_nationkey < 5").select(F.lit("x").alias("county"), key(), F.lit(0).cast("long").alias("candidate_id"), F.lit(1).cast("long").alias("times_reused")).dropDuplicates(["county", "legal_key"])
     whole = {
-        "candidate": (pairs.select("case_id", "candidate_id", F.lit("open").alias("state")).distinct(), ["case_id", "candidate_id"]), "property": (o.select(F.col("o_orderkey").alias("case_id"), F.lit("UNRESOLVED").alias("state")), ["case_id"]),
+        # Dealt before they become distinct: a scan's task would hold all of its rows, as few are equal.
+        "candidate": (pairs.select("case_id", "candidate_id", F.lit("open").alias("state")).repartition("case_id").distinct(), ["case_id", "candidate_id"]), "property": (o.select(F.col("o_orderkey").alias("case_id"), F.lit("UNRESOLVED").alias("state")), ["case_id"]),
         "task": (o.select(F.col("o_orderkey").alias("case_id"), F.lit("OPEN").alias("state")), ["case_id"]), "cache": (cache, ["county", "legal_key"]), "audit": (o.limit(0).select(F.col("o_orderkey").alias("case_id"), F.lit("").alias("state")), ["case_id"]),
     }
     base = own.commit({name: own.replaced(df, keys) for name, (df, keys) in whole.items()}, 0)

@@ -103,9 +103,9 @@ class Tables:
         return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("bucket")
 
     def _write(self, df: DataFrame, keys: list[str], n: int) -> dict[str, str]:
-        """Rows by bucket in a folder of their own; the buckets that have any."""
+        """Rows by bucket in a folder of their own; the buckets that have any. A large bucket is several tasks' work, and several files."""
         path = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.withColumn("bucket", self._bucket(keys, n)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        df.withColumn("bucket", self._bucket(keys, n)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
         fs, at = _fs(self.spark, path)
         folders = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]
         return {f.split("=")[1]: f"{path}/{f}" for f in folders if f.startswith("bucket=")}

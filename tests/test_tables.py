@@ -81,3 +81,20 @@ def test_the_ledger_is_asked_first_and_the_budget_is_exact(spark):
     assert same.count() == after.count() and rows(again.select("id", "outcome")) == rows(out.select("id", "outcome"))
     none, _ = fallback.answered(wanted, None, ledger.limit(0), 10_000, F.length("text"), kinds)
     assert {r["outcome"] for r in none.collect()} == {"NOT_CONFIGURED"}
+
+
+def test_a_large_bucket_is_several_files(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    held = spark.conf.get(size)
+    own = Tables(spark, str(tmp_path / "t"))
+    try:
+        spark.conf.set(size, "20000")
+        big = spark.range(0, 40000, 1, 4).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        own.commit({"t": own.replaced(big, ["k"], 1)}, 0)
+    finally:
+        spark.conf.set(size, held)
+    (path,) = own.manifest()["t"]["buckets"].values()
+    import glob
+
+    assert len(glob.glob(f"{path.removeprefix('file:')}/*.parquet")) > 1
+    assert own.read("t").count() == 40000 and own.read("t").select("k").distinct().count() == 40000
