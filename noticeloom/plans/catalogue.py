@@ -469,9 +469,9 @@ def legacy_best_match(spark, d):
 def candidate_score(spark, d):
     """Parcel and city evidence of line items' suppliers for their orders' customers."""
     t = lambda n: views.table(spark, d, n)
-    # Equal rows fall together as keys, before the texts that follow from them are made.
+    # Equal rows fall together as keys, before the texts that follow from them are made; dealt before, as few are equal and a scan's task would hold all of its rows.
     j = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    j = j.select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "o_custkey", "c_nationkey", "s_nationkey").distinct()
+    j = j.select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "o_custkey", "c_nationkey", "s_nationkey").repartition("l_orderkey").distinct()
     none = F.lit(None).cast("string")
     c = dict(case_id=F.col("l_orderkey"), owner_names=F.array().cast("array<string>"), city=F.col("c_nationkey").cast("string"), parcel_id=F.col("o_custkey").cast("string"), geographic_id=none, legal_text=none, subdivision=none, lot=none, block=none, acreage=F.lit(None).cast("double"), mailing_address=none)
     r = dict(candidate_id=F.concat_ws("-", "l_suppkey", "l_partkey", "l_linenumber"), owner_name=none, situs_address=none, city=F.col("s_nationkey").cast("string"), parcel_id=F.col("l_suppkey").cast("string"), geographic_id=none, legal_text=none, subdivision=none, lot=none, block=none, acreage=F.lit(None).cast("double"))
