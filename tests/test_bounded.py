@@ -109,3 +109,16 @@ def test_bundles_are_read_in_batches_of_letters(tmp_path):
     assert [b.num_rows for b in found] == [5] and found[0].to_pydict()["page_no"] == [1, 2, 3, 4, 5]
     small = list(county.Folder(str(tmp_path)).batches("one.txt", 1000))
     assert [b.num_rows for b in small] == [1, 2, 1, 1] and [t for b in small for t in b.to_pydict()["text"]] == pages
+
+
+def test_sets_of_texts_are_made_once(spark, capsys):
+    """No step after them reads the texts again; their hashes tell the same as the bigrams' texts."""
+    from noticeloom.functions import text as T
+
+    df = spark.createDataFrame([(1, "Doc-1 a b a b"), (2, "a  b, a"), (3, ""), (4, None), (5, "one")], "id int, text string")
+    dedup.dice_join(df, "id", "text").explain()
+    dedup.text_classes(df, "id", "text").explain()
+    assert "regexp_replace" not in capsys.readouterr().out
+    sizes = [(r[0], r[1]) for r in df.select(F.size(T.bigram_hashes("text")), F.size(T.word_bigrams("text"))).collect()]
+    assert [n for n, _ in sizes] == [2, 2, 0, 0, 0] and [m for _, m in sizes][:3] == [2, 2, 0]
+    assert {r["id"]: r["class_id"] for r in dedup.text_classes(df, "id", "text").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
