@@ -8,7 +8,9 @@ text is walked once from left to right; the walk carries a state and adds up wha
 No machine holds the whole automaton. Documents go into shards of about SHARD_TOKENS tokens, and
 each builds the states and arcs that its own texts can reach: shards send their distinct n-grams
 with counts to hash buckets, buckets add them up, and totals come back in the order asked.
-N-grams travel as 64-bit hashes; a count is wrong only if two of them collide.
+Contexts that were seen once have one word after them, so only those seen more often ask for
+how many they have. N-grams travel as 64-bit hashes; a count is wrong only if two of them collide.
+Shards are written in buckets of their number, so answers travel to them and they stay in place.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let_go, small_batches, staged, text_bytes, unstage
+from .shared import bucketed, let_go, small_batches, staged, unstage
 
 SHARD_TOKENS = 1_000_000
+#: A shard whose words are this large is closed with fewer tokens.
+SHARD_BYTES = 1 << 27
 #: Tokens of the corpus for each bucket that adds up counts.
 BUCKET_TOKENS = 1_000_000
 #: Longest n-gram. More orders repeat one exchange of counts each.
 ORDER = 3
-#: Parts of the shards that are scored one after the other, so that not all answers are on their way at once.
-PARTS = 4
 #: Tokens that are walked in one go; the pieces of a shard's texts are walked side by side.
 PIECE = 64
 
@@ -41,6 +43,19 @@ def _end_key() -> int:
     return xxhash.xxh64_intdigest(b" ")  # no word holds a blank
 
 
+def _split(texts):
+    """Words of Arrow texts, one after the other, and how many each text has: A-Z made lower, cut at the six ASCII blanks."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = pieces.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # blanks at a text's ends cut off empty pieces
+    each = np.diff(pieces.offsets.to_numpy())
+    return flat.filter(pa.array(full)).cast(pa.large_binary()), np.bincount(np.repeat(np.arange(len(each)), each)[full], minlength=len(each))
+
+
 def shard_tokens(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as shards: ids, whether they train, lengths with the end, token numbers, word hashes."""
 
@@ -51,43 +66,57 @@ def shard_tokens(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_
         from pyspark import TaskContext
 
         part, nth = TaskContext.get().partitionId(), 0
-        number: dict[bytes, int] = {b" ": 0}
         ids: list = []
         train: list = []
-        tokens: list = []
-        lengths: list = []
-        size = 0
+        words: list = []
+        counts: list = []
+        size = letters = 0
 
         def close():
-            words = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
+            coded = pa.chunked_array(words, pa.large_binary()).dictionary_encode().combine_chunks()
+            lengths = np.concatenate(counts) + 1
+            inside = np.ones(lengths.sum(), bool)
+            inside[np.cumsum(lengths) - 1] = False
+            tokens = np.zeros(len(inside), np.uint32)  # 0 is the end
+            tokens[inside] = coded.indices.to_numpy() + 1
+            hashes = np.array([_end_key(), *map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist())], np.uint64)
             cells = [
                 pa.array([part << 24 | nth]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())),
-                pa.array([lengths], pa.list_(pa.int32())), pa.array([np.concatenate(tokens).view(np.uint8).reshape(-1, 4).T.tobytes()]), pa.array([words.tobytes()]),
+                pa.array([lengths], pa.list_(pa.int32())), pa.array([_small(tokens)]), pa.array([hashes.tobytes()]),
             ]
             return pa.RecordBatch.from_arrays(cells, ["shard", "doc_ids", "trained", "lengths", "tokens", "words"])
 
         for batch in batches:
-            texts = text_bytes(batch.column(2))
-            for at in range(0, len(texts), 256):
-                block = [(t or b"").lower().split() for t in texts[at : at + 256]]  # bytes: A-Z, and the six ASCII blanks
-                for w in set().union(*block).difference(number):
-                    number[w] = len(number)
-                get = number.__getitem__
-                for words in block:
-                    tokens.append(np.append(np.fromiter(map(get, words), np.uint32, len(words)), np.uint32(0)))
-                    lengths.append(len(words) + 1)
-                    size += len(words) + 1
-                ids += batch.column(0).slice(at, 256).to_pylist()
-                train += batch.column(1).slice(at, 256).to_pylist()
-                if size >= SHARD_TOKENS:
+            for at in range(0, len(batch), 256):
+                block = batch.slice(at, 256)
+                flat, each = _split(block.column(2))
+                words.append(flat)
+                counts.append(each)
+                size += len(flat) + len(each)
+                letters += flat.nbytes
+                ids += block.column(0).to_pylist()
+                train += block.column(1).to_pylist()
+                if size >= SHARD_TOKENS or letters >= SHARD_BYTES:
                     yield close()
-                    nth, size = nth + 1, 0
-                    number, ids, train, tokens, lengths = {b" ": 0}, [], [], [], []
+                    nth, size, letters = nth + 1, 0, 0
+                    ids, train, words, counts = [], [], [], []
         if ids:
             yield close()
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(text_col).cast("string").alias("text"))
-    return staged(rows.mapInArrow(run, SHARDS), "lm-shards")
+    return bucketed(rows.mapInArrow(run, SHARDS), "lm-shards", "shard")
+
+
+def _fold(words):
+    """One 64-bit hash of the words' hashes in their order."""
+    import numpy as np
+
+    found = words[0]
+    for w in words[1:]:
+        found = found * np.uint64(0x9E3779B97F4A7C15) ^ (w + (found >> np.uint64(29)))
+        found = found * np.uint64(0xBF58476D1CE4E5B9)
+        found = found ^ found >> np.uint64(32)
+    return found
 
 
 class Corpus:
@@ -103,6 +132,7 @@ class Corpus:
         self.trained = np.repeat(np.array(row["trained"], bool), self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
         self.starts, self.inside = starts, np.arange(len(self.tokens)) - np.repeat(starts, self.lengths)
+        self.tables: dict = {}
 
     def before(self, k: int):
         """Hash of the word k places earlier; before a text stands its end, again and again."""
@@ -113,20 +143,42 @@ class Corpus:
             own = np.where(self.inside >= k, np.roll(own, k), np.uint64(_end_key()))
         return own
 
-    def keys(self, n: int):
-        """At each token the hash of its n-gram, and of the context, the n-1 words before."""
+    def table(self, n: int):
+        """Sorted distinct n-grams as hashes, a token where each ends, and each token's n-gram among them."""
         import numpy as np
 
-        def fold(words):
-            found = words[0]
-            for w in words[1:]:
-                found = found * np.uint64(0x9E3779B97F4A7C15) ^ (w + (found >> np.uint64(29)))
-                found = found * np.uint64(0xBF58476D1CE4E5B9)
-                found = found ^ found >> np.uint64(32)
-            return found
+        if n not in self.tables:
+            if n > 1:
+                self.tables[n] = _distinct(_fold([self.before(k) for k in range(n - 1, -1, -1)]))
+            else:  # the words themselves: each stands in some text
+                order = np.argsort(self.words)
+                number = np.empty(len(order), np.int64)
+                number[order] = np.arange(len(order))
+                own, at = number[self.tokens], np.empty(len(order), np.int64)
+                at[own] = np.arange(len(own))
+                self.tables[n] = self.words[order], at, own
+        return self.tables[n]
+
+    def contexts(self, n: int):
+        """At each token its context among the (n-1)-grams, or their number at a text's first token.
+
+        The context that stands before texts ends no (n-1)-gram that is a context elsewhere: no word follows an end.
+        """
+        import numpy as np
+
+        keys, _, own = self.table(n - 1)
+        return np.where(self.inside > 0, np.roll(own, 1), len(keys))
+
+    def asking(self, n: int, entered):
+        """Contexts that were seen more than once, as numbers and hashes in order of hashes. Of the others it is known how many words follow."""
+        import numpy as np
 
-        words = [self.before(k) for k in range(n - 1, -1, -1)]
-        return fold(words), fold(words[:-1]) if n > 1 else None
+        keys = np.append(self.table(n - 1)[0], _fold(np.full((n - 1, 1), _end_key(), np.uint64)))
+        used = np.zeros(len(keys), bool)
+        used[self.contexts(n)] = True
+        at = np.flatnonzero(used & (entered > 1))
+        at = at[np.argsort(keys[at], kind="stable")]
+        return at, keys[at]
 
 
 def _distinct(keys):
@@ -242,11 +294,11 @@ def _totals(rows: list[dict], name: str):
     return np.concatenate([_numbers(r["totals"]) for r in own]) if own else np.zeros(0, np.int64)
 
 
-def _marks(rows: list[dict]):
-    """A shard's marks of the keys that it was first to count, in key order."""
+def _marks(rows: list[dict], name: str):
+    """A shard's marks of the keys of one table that it was first to count, in key order."""
     import numpy as np
 
-    own = sorted(rows, key=lambda r: r["bucket"])
+    own = sorted((r for r in rows if r["table"] == name), key=lambda r: r["bucket"])
     return np.concatenate([np.unpackbits(np.frombuffer(r["first"], np.uint8), count=r["n"]) for r in own]).astype(bool) if own else np.zeros(0, bool)
 
 
@@ -313,36 +365,33 @@ class Automaton:
         return told
 
 
-def automaton(corpus: Corpus, counts: dict, after: dict, discount: dict, n_train: int, n_words: int, order: int) -> Automaton:
+def automaton(corpus: Corpus, counts: dict, after: dict, discount: dict, n_train: int, n_words: int, n_texts: int, order: int) -> Automaton:
     """A shard's automaton. `counts[n]` are totals of its sorted distinct n-grams, `after[n]` the distinct words after its contexts.
 
     Smoothing is absolute discounting interpolated down to the base estimate; an n-gram's arc holds the interpolated share.
     """
     import numpy as np
 
-    _, one, own = _distinct(corpus.keys(1)[0])
-    seen = counts[1][own]
-    share = (seen + 0.5) / (n_train + 0.5 * (n_words + 1))
     words = corpus.tokens.astype(np.int64)
-    ends = int(seen[corpus.starts[0] + corpus.lengths[0] - 1])
-    inside, last = corpus.inside > 0, np.zeros(len(words), bool)
+    last = np.zeros(len(words), bool)
     last[corpus.starts + corpus.lengths - 1] = True
     state = np.zeros(len(words), np.int64)  # at every token the context of n - 1 words, where it was seen
     arcs, weights, first, fails, fail_weights, n_states = [], [], [], [np.zeros(1, np.int64)], [np.zeros(1)], 1
-    nexts, known, entered = [], seen, np.full(len(words), n_train)
-    at_start = [0]
+    nexts, at_start = [], [0]
     for n in range(1, order + 1):
-        if n > 1:
-            key, context = corpus.keys(n)
-            _, one, own = _distinct(key)
+        _, one, own = corpus.table(n)
+        known = counts[n][own]
+        if n == 1:
+            share = (known + 0.5) / (n_train + 0.5 * (n_words + 1))
+        else:
             # A context was left as often as it was entered: that is its own count; texts' starts count as ends.
-            entered = np.where(inside, np.roll(known, 1), ends)
-            known = counts[n][own]
-            _, at, which = _distinct(context)
-            left = np.maximum(entered[at], 1)
-            mass = np.where(entered[at] > 0, discount[n] * after[n] / left, 1.0)
+            entered, which = np.append(counts[n - 1], n_texts), corpus.contexts(n)
+            left = np.maximum(entered, 1)
+            mass = np.where(entered > 0, discount[n] * after[n] / left, 1.0)
             share = np.where(known > 0, np.maximum(known - discount[n], 0) / left[which], 0.0) + mass[which] * share
-            real = entered[at] > 0
+            at = np.full(len(entered), -1)
+            at[which] = np.arange(len(which))
+            real = (entered > 0) & (at >= 0)
             number = np.cumsum(real) - 1 + n_states
             fails.append(state[at[real]])
             fail_weights.append(np.log10(mass[real]))
@@ -372,8 +421,10 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
     after a context and one unknown word have probabilities that sum to 1.
     """
     shards = shard_tokens(docs, trained, id_col, text_col)
-    size = shards.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
-    buckets = max(16, -(-size // BUCKET_TOKENS))
+    tokens, texts = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x), F.size(F.filter("trained", lambda t: t))
+    apart = docs.sparkSession.read.schema(shards.schema).parquet(shards.staged_at)  # the same rows in as few tasks as their files fill
+    sizes = apart.agg(F.sum(tokens).alias("tokens"), F.sum(texts).alias("texts")).first()
+    buckets, n_texts = max(16, -(-(sizes["tokens"] or 0) // BUCKET_TOKENS)), sizes["texts"] or 0
 
     def count(n: int):
         def run(batches):
@@ -382,7 +433,7 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
             for batch in batches:
                 for row in batch.to_pylist():
                     corpus = Corpus(row)
-                    keys, _, own = _distinct(corpus.keys(n)[0])
+                    keys, _, own = corpus.table(n)
                     yield from _asked(row["shard"], keys, np.bincount(own[corpus.trained], minlength=len(keys)), buckets).to_batches()
 
         return run
@@ -394,27 +445,30 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
             import numpy as np
             import pyarrow as pa
 
-            out = []
+            out, answered = [], right.to_pylist()
             for row in left.to_pylist():
                 corpus = Corpus(row)
-                key, context = corpus.keys(n)
-                _, at, _ = _distinct(key)
-                first = _marks(right.to_pylist())
-                contexts, _, own = _distinct(context)
-                out.append(_asked(row["shard"], contexts, np.bincount(own[at[first]], minlength=len(contexts)), buckets))
+                entered = np.append(_totals(answered, f"count{n - 1}"), n_texts)
+                at, keys = corpus.asking(n, entered)
+                one = corpus.table(n)[1][_marks(answered, f"count{n}")]
+                out.append(_asked(row["shard"], keys, np.bincount(corpus.contexts(n)[one], minlength=len(entered))[at], buckets))
             return pa.concat_tables(out) if out else _asked(0, np.zeros(0, np.uint64), np.zeros(0), 1)
 
         return run
 
-    answers, stats = [], {}
+    def replies(answer: DataFrame, *cells: str) -> DataFrame:
+        """Answers to the shards, with those of the cells `totals` and `first` that are asked for."""
+        return answer.where("shard >= 0").select("shard", "table", "bucket", "n", *(F.col(c) if c in cells else F.lit(None).cast("binary").alias(c) for c in ("totals", "first")))
+
+    counts, afters, stats = {}, {}, {}
     for n in range(1, order + 1):
-        answers.append(_add_up(shards.mapInArrow(count(n), ASK), f"count{n}"))
-        stats[n] = _sums(answers[-1])
+        counts[n] = _add_up(apart.mapInArrow(count(n), ASK), f"count{n}")
+        stats[n] = _sums(counts[n])
         let_go(docs.sparkSession)
         if n > 1:
-            marked = answers[-1].where("shard >= 0").select("shard", "bucket", "n", "first")
-            answers.append(_add_up(shards.groupBy("shard").cogroup(marked.groupBy("shard")).applyInArrow(distinct_after(n), ASK), f"after{n}"))
-            del marked
+            told = replies(counts[n - 1], "totals").unionByName(replies(counts[n], "first"))
+            afters[n] = _add_up(shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(distinct_after(n), ASK), f"after{n}")
+            del told
             let_go(docs.sparkSession)
     discount = {n: min(0.95, max(0.1, stats[n][2] / max(1, stats[n][2] + 2 * stats[n][3]))) for n in range(2, order + 1)}
     n_train, n_words = stats[1][0], stats[1][1]
@@ -427,12 +481,18 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
         answered = right.to_pylist()
         for row in left.to_pylist():
             corpus = Corpus(row)
-            seen = _totals(answered, "count1")[_distinct(corpus.keys(1)[0])[2]]
+            totals = {n: _totals(answered, f"count{n}") for n in range(1, order + 1)}
+            seen = totals[1][corpus.table(1)[2]]
             share = (seen + 0.5) / (n_train + 0.5 * (n_words + 1))
             base = np.add.reduceat(np.log10(share), corpus.starts)
             known = np.add.reduceat((seen > 0).astype(np.int64), corpus.starts)
-            tables = {n: _totals(answered, f"count{n}") for n in range(1, order + 1)}
-            model = automaton(corpus, tables, {n: _totals(answered, f"after{n}") for n in range(2, order + 1)}, discount, n_train, n_words, order)
+            after = {}
+            for n in range(2, order + 1):
+                entered = np.append(totals[n - 1], n_texts)
+                after[n] = (entered == 1).astype(np.int64)
+                after[n][corpus.asking(n, entered)[0]] = _totals(answered, f"after{n}")
+            model = automaton(corpus, totals, after, discount, n_train, n_words, n_texts, order)
+            corpus.tables.clear()
             score = np.add.reduceat(model.walk(corpus.tokens.astype(np.int64), corpus.starts, corpus.lengths, order - 1), corpus.starts)
             out.append(pa.table({
                 "doc_id": pa.array(row["doc_ids"], pa.int64()), "trained": pa.array(row["trained"], pa.bool_()), "n_tokens": corpus.lengths,
@@ -440,16 +500,10 @@ def score_texts(docs: DataFrame, trained: Column, order: int = ORDER, id_col: st
             }))
         return pa.concat_tables(out)
 
-    replies = answers[0]
-    for a in answers[1:]:
-        replies = replies.unionByName(a)
-    replies = replies.where("shard >= 0").select("shard", "table", "bucket", "totals")
-    parts = []
-    for k in range(PARTS):
-        one, two = (df.where(F.pmod(F.xxhash64("shard"), F.lit(PARTS)) == k).groupBy("shard") for df in (shards, replies))
-        parts.append(staged(one.cogroup(two).applyInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), f"lm-scores-{k}"))
-        del one, two
-        let_go(docs.sparkSession)
-    del replies
+    answers = [*counts.values(), *afters.values()]
+    told = functools.reduce(DataFrame.unionByName, (replies(a, "totals") for a in answers))
+    schema = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scores = staged(shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, schema), "lm-scores")
+    del told
     unstage(shards, *answers)
-    return functools.reduce(DataFrame.unionByName, parts)
+    return scores

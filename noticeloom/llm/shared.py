@@ -60,6 +60,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """`staged` in buckets of `key`, as many as joins have partitions: joins and groups by it find their rows in place.
+
+    Spark keeps buckets in its catalogue, so the table has a name there until `unstage`.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/noticeloom/{mark}/{name}", f"noticeloom_{mark}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.staged_at, out.staged_as = path, table
+    return out
+
+
 def let_go(spark: SparkSession) -> None:
     """Plans that nothing holds any more go now, and Spark's cleaner removes their shuffle files."""
     gc.collect()
@@ -67,7 +81,7 @@ def let_go(spark: SparkSession) -> None:
 
 
 def unstage(*tables: DataFrame) -> None:
-    """Remove what `staged` wrote for `tables`, for when all that was made of them is itself written.
+    """Remove what `staged` and `bucketed` wrote for `tables`, for when all that was made of them is itself written.
 
     Nothing is then computed from them again, whichever executors are lost.
     """
@@ -75,6 +89,8 @@ def unstage(*tables: DataFrame) -> None:
     for table in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if name := getattr(table, "staged_as", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     let_go(spark)
 
 

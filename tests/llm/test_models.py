@@ -84,6 +84,40 @@ def test_lm_long_and_repeated_texts(spark):
     assert all(r["n_tokens"] == 30_001 for r in got if r["doc_id"] in (1, 2)) and all(r["score"] < 0 for r in got)
 
 
+def test_words_are_cut_as_bytes_are():
+    """Against Python's bytes, whose blanks are the same six; other scripts' blanks and letters stay."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = ["", None, " ", " A b ", "\u0130 \u212a", *("".join(rng.choice("aB \t\n\x0b\x0c\r\x1c\x1f\x00\u00a0\u0085\u3000\u00c9") for _ in range(rng.randint(0, 30))) for _ in range(1000))]
+    words, each = lm_scoring._split(pa.array(["first", *texts], pa.string()).slice(1))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws] and each.tolist() == [len(ws) for ws in want]
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    jvm = spark._jvm
+    stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_lm_shards_stay_and_contexts_seen_once_ask_nothing(spark):
+    """What travels are n-grams with their counts, once an order, and the totals; nearly all pairs of words occur once."""
+    rng = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=1000))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    before = _shuffled(spark)
+    assert lm_scoring.score_texts(docs, F.col("doc_id") % 5 != 1).count() == 200
+    assert (_shuffled(spark) - before) / 200_200 < 30  # 45 when shards travelled too
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("noticeloom_")]
+    docs.unpersist()
+
+
 def test_lm_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.score_texts(empty, F.lit(True)).count() == 0
