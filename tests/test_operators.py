@@ -233,3 +233,21 @@ def test_filter_validation():
     for bad in ({"page": 0}, {"page_size": 101}, {"value_min_cents": 2, "value_max_cents": 1}, {"city": ""}, {"min_address_confidence": 2.0}):
         with pytest.raises(ValueError):
             ListingFilter(**bad)
+
+
+def test_duplicate_tier_takes_equal_names_as_its_sql(spark, tmp_path):
+    """Houses 1 and 11 of one lot, owned by "cold rod" and "old rod": one name holds the other, which SQL does not count."""
+    import duckdb
+
+    from noticeloom.plans import catalogue
+    from noticeloom.plans import search  # noqa: F401
+
+    spark.sql("select * from values (1L, 'cold rod', 'SMALL', 7), (11L, 'old rod', 'SMALL', 7) t(p_partkey, p_name, p_type, p_size)").write.parquet(f"{tmp_path}/part.parquet")
+    rows = "(1L, 1L, timestamp'1995-01-02', 1000.5D), (2L, 11L, timestamp'1996-03-04', 2000.5D), (3L, 11L, timestamp'1997-05-06', 2000.7D)"
+    spark.sql(f"select * from values {rows} t(o_orderkey, o_custkey, o_orderdate, o_totalprice)").write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    for name in ("part", "orders"):
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(catalogue.ORACLES["duplicate_tier"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["duplicate_tier"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) == 3
