@@ -122,3 +122,25 @@ def test_sets_of_texts_are_made_once(spark, capsys):
     sizes = [(r[0], r[1]) for r in df.select(F.size(T.bigram_hashes("text")), F.size(T.word_bigrams("text"))).collect()]
     assert [n for n, _ in sizes] == [2, 2, 0, 0, 0] and [m for _, m in sizes][:3] == [2, 2, 0]
     assert {r["id"]: r["class_id"] for r in dedup.text_classes(df, "id", "text").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_pairs_of_names_are_told_without_a_shuffle_of_pairs(spark, capsys):
+    """Random cases of few values, so that most pairs are found by several searches: against each search alone. What a name finds is not gathered by pair."""
+    import random
+
+    rng, some = random.Random(11), lambda *x: rng.choice([None, *x])
+    names, places, streets = ("Ana Belt", "Bo Belter", "Cy Fox"), ("OAK", "OAK PARK", "ELM 1"), ("1 Elm St", "11 Elm St", "2 Oak Ave")
+    shape = "county string, case_id int, owner_names array<string>, stated_address string, parcel_id string, geographic_id string, legal_text string, subdivision string, lot string, block string, acreage double"
+    cases = spark.createDataFrame([("x", k, [n] if (n := some(*names)) else None, some(*streets), some("p1", "p2"), some("G1", "G12"), some("LOT 1 OAK", "OAK PARK"), some(*places), some("1", "2"), some("1"), some(0.5, 0.52, 0.6)) for k in range(60)], shape)
+    shape = "county string, candidate_id string, owner_name string, situs_address string, parcel_id string, geographic_id string, legal_text string, subdivision string, lot string, block string, acreage double"
+    records = spark.createDataFrame([("x", str(k), some("BELT ANA", "BELTER, BO", "FOX"), some(*streets), some("p1", "p2"), some("G12", "G123"), some("LOT 1 OAK PARK", "LOT 2 ELM 1"), some(*places), some("1", "2"), some("1", "2"), some(0.5, 0.53, 0.6)) for k in range(40)], shape)
+    got = match.candidates(cases, records)
+    asked = cases.select("*", F.explode(match.searches_of()).alias("_k"))
+    each = match._searched(asked.withColumn("case_id", F.col("case_id") * 8 + F.col("_k")).withColumn("_searches", F.array("_k")), records, "county", single=True)
+    want = each.groupBy(F.floor(F.col("case_id") / 8).alias("c"), "candidate_id").agg(F.min("strategy").alias("s"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in want.collect()} and {r[2] for r in rows} == set(range(8))
+    got.explain()
+    plan = capsys.readouterr().out.split("Physical Plan", 1)[1].splitlines()
+    top = next(line for line in plan[1:] if not any(x in line for x in ("Adaptive", "==", "QueryStage")))
+    assert top.lstrip("+-: ").startswith("Union"), top
