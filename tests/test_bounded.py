@@ -144,3 +144,17 @@ def test_pairs_of_names_are_told_without_a_shuffle_of_pairs(spark, capsys):
     plan = capsys.readouterr().out.split("Physical Plan", 1)[1].splitlines()
     top = next(line for line in plan[1:] if not any(x in line for x in ("Adaptive", "==", "QueryStage")))
     assert top.lstrip("+-: ").startswith("Union"), top
+
+
+def test_decide_gathers_few_rows_a_case(spark, capsys):
+    """Leads over random candidates with many ties, against sorting them all; the plan sorts no case's candidates."""
+    rng = random.Random(7)
+    rows = [(k % 9, f"r{k}", rng.randint(0, 3), rng.choice([0.5, 0.9, 0.97, 0.97]), ["parcelId"], []) for k in range(60)] + [(50, "only", 0, 0.95, ["parcelId"], [])]
+    got = match.decide(spark.createDataFrame(rows, "case_id int, candidate_id string, strategy int, score double, matched array<string>, conflicting array<string>"))
+    for r in got.collect():
+        own = sorted((x for x in rows if x[0] == r["case_id"]), key=lambda x: (-x[3], x[2], x[1]))
+        lead = round(own[0][3] - own[1][3], 9) if len(own) > 1 else own[0][3]
+        assert (r["confidence"], r["candidate_count"]) == (own[0][3], len(own))
+        assert r["selected_id"] == (own[0][1] if own[0][3] >= 0.92 and (len(own) == 1 or lead >= 0.15) else None)
+    got.explain()
+    assert "Window" not in capsys.readouterr().out
