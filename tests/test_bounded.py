@@ -158,3 +158,32 @@ def test_decide_gathers_few_rows_a_case(spark, capsys):
         assert r["selected_id"] == (own[0][1] if own[0][3] >= 0.92 and (len(own) == 1 or lead >= 0.15) else None)
     got.explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_tiered_scores_shuffle_no_pairs(spark, capsys):
+    """Random rows of few places with and without all fields, against every two rows; rows of a place meet in blocks, both sides of a join are one shuffle."""
+    import itertools
+
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("abcdefghij") for _ in range(30)) for _ in range(3)]
+    shape = "case_id int, borrower_names array<string>, property_address string, subdivision string, lot string, principal_cents long, sale_date string, deed_date string, lender_name string, raw_text string"
+    row = lambda k, lack: (k, rng.choice([None, ["Old Rod"], ["Cold Rod"]]), rng.choice(["1 Elm", "11 Elm."] + [None] * lack), rng.choice(["Oak", "oak park"] + [None] * lack), rng.choice(["1", "2", None]), rng.choice([1, 2, None]), rng.choice(["d", None]), f"e{k % 5}", rng.choice(["Bank", "", None]), rng.choice(base) + f" {rng.choice('kl')}")
+    for lack in (0, 1):
+        rows = [row(k, lack) for k in range(45)]
+        rows += [(45, *rows[0][1:]), (46, *rows[0][1:])]
+        df = spark.createDataFrame(rows, shape)
+        every = df.alias("x").join(df.alias("y"), F.expr("x.case_id < y.case_id")).select(F.col("x.case_id").alias("a"), F.col("y.case_id").alias("b"), F.struct(*(f"x.{c}" for c in dedup.SCORED)).alias("_a"), F.struct(*(f"y.{c}" for c in dedup.SCORED)).alias("_b"))
+        told = dedup.text_dice(every, df, "a", "b", "case_id", "raw_text").select("a", "b", "dice", F.col("_a").alias("x"), F.col("_b").alias("y"))
+        for equal in (lack == 0,):
+            pairs = told.select(F.col("a").alias("case_a"), F.col("b").alias("case_b"), "dice", F.col("x").alias("a"), F.col("y").alias("b"))
+            shown = lambda d: sorted(map(tuple, d.where("confidence is not null").select("case_a", "case_b", F.round("score", 6), "confidence", F.array_join("matched", ",")).collect()))
+            want = shown(dedup.score_pairs(pairs, equal))
+            got = dedup.tiered_scores(df, block=7, equal_names=equal)
+            assert shown(got) == want and len(want) > 100 and "CONFIRMED_SAME_EVENT" in {r[3] for r in want}
+            if not lack:
+                seen = got.where("score >= 0")
+                seen.collect()
+                seen.explain()
+                plan = capsys.readouterr().out.split("Initial Plan", 1)[0]
+                # Above the join of rows nothing is dealt out again, and its second side is the first one's shuffle.
+                assert "Exchange" not in plan.split("SortMergeJoin", 1)[0] and "ReusedExchange" in plan
