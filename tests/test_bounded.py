@@ -187,3 +187,15 @@ def test_tiered_scores_shuffle_no_pairs(spark, capsys):
                 plan = capsys.readouterr().out.split("Initial Plan", 1)[0]
                 # Above the join of rows nothing is dealt out again, and its second side is the first one's shuffle.
                 assert "Exchange" not in plan.split("SortMergeJoin", 1)[0] and "ReusedExchange" in plan
+
+
+def test_bigrams_of_one_text_are_counted_and_do_not_travel(spark, capsys):
+    """Texts of few shared words: pairs as of whole sets, and bigrams of one text are left out before lists are gathered."""
+    import re
+
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join([*words, f"own{k}"]) for k in range(3)] + [" ".join(words[:20] + [f"x{k}{j}" for j in range(20)]) for k in range(3)]
+    got = dedup.dice_join(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t")
+    assert {(r["a"], r["b"]): round(r["dice"], 9) for r in got.collect()} == {(a, b): round(39 * 2 / 80, 9) for a, b in ((0, 1), (0, 2), (1, 2))}
+    dedup.dice_join(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").explain()
+    assert re.search(r"Filter \(often#\d+L? > 1\)", capsys.readouterr().out)
